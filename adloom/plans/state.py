@@ -54,7 +54,8 @@ class StateStore:
     def init(self) -> StateStore:
         """Create what is missing; existing tables stay as they are."""
         for table, schema in TABLES.items():
-            empty = self.spark.createDataFrame([], schema)
+            nothing = (F.lit(None).cast(f.dataType).alias(f.name) for f in schema)
+            empty = self.spark.range(1).filter(F.lit(False)).select(*nothing)
             empty.write.mode("ignore").parquet(f"{self.path(table)}/run=0")
         return self
 

@@ -67,7 +67,11 @@ def classify_stream(texts: DataFrame, *rule_sets: RuleSet, text: str = "content"
 
 
 def dedup_stream(
-    texts: DataFrame, ts: str = "ts", delay: str = "1 day", text: str = "content", spread: str = "url"
+    texts: DataFrame,
+    ts: str = "ts",
+    delay: str = "1 day",
+    text: str = "content",
+    spread: str = "url",
 ) -> DataFrame:
     """First row per signature, across and within batches, while the watermark lasts.
 
@@ -75,7 +79,12 @@ def dedup_stream(
     reaches the group of the whole signature.
     """
     salted = texts.withColumns(
-        {"sig": signature(F.col(text)), "_salt": F.pmod(F.xxhash64(spread), F.lit(64))}
-    ).withWatermark(ts, delay)
+        {
+            "sig": signature(F.col(text)),
+            "_salt": F.pmod(F.xxhash64(spread), F.lit(64)),
+            # Watermarks need an instant; only differences of times matter.
+            "_at": F.col(ts).cast("timestamp"),
+        }
+    ).withWatermark("_at", delay)
     partial = salted.dropDuplicatesWithinWatermark(["sig", "_salt"])
-    return partial.dropDuplicatesWithinWatermark(["sig"]).drop("_salt")
+    return partial.dropDuplicatesWithinWatermark(["sig"]).drop("_salt", "_at")
