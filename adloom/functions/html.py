@@ -39,6 +39,8 @@ class Selector:
         """Whether the attribute part of a start tag meets the condition."""
         if self.attr is None:
             return True
+        if self.value not in markup and "&" not in markup:
+            return False
         found = attribute(markup, self.attr)
         if found is None:
             return False
@@ -66,15 +68,16 @@ RAW = frozenset(("script", "style"))
 # Comment, declaration, or tag. Possessive, and open-ended at the end of the page,
 # so that broken markup is still read in one pass.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)"
-    r"""(?P<rest>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)(?:>|\Z)""",
+    r"<(?:(/?)([A-Za-z][^\s/>]*+)"
+    r"""([^>=]*+(?:=(?:\s*+"[^"]*+"|\s*+'[^']*+')?[^>=]*+)*+)(?:>|\Z)"""
+    r"|!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(
     r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?"""
 )
 _SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])/\s*\Z""")
+_RAW_END = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW}
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
 
 
@@ -95,6 +98,11 @@ def attribute(markup: str, name: str) -> str | None:
     return None
 
 
+def self_closed(markup: str) -> bool:
+    """Whether the attribute part of a tag ends in a slash of its own."""
+    return markup.rstrip().endswith("/") and _SELF_CLOSED.search(markup) is not None
+
+
 def select_text(html: str, axes: Sequence[Selector]) -> list[list[list[str]]]:
     """Text nodes below every match: one list per axis, then per match.
 
@@ -106,20 +114,20 @@ def select_text(html: str, axes: Sequence[Selector]) -> list[list[list[str]]]:
     for number, axis in enumerate(axes):
         by_tag[axis.tag].append((number, axis))
     stack: list[tuple[str, int]] = []
-    open_names: Counter[str] = Counter()
+    open_names: dict[str, int] = {}
     receivers: list[list[str]] = []
     pieces: list[str] = []
     at, size = 0, len(html)
 
     def flush() -> None:
-        if pieces:
-            node = "".join(pieces)
-            pieces.clear()
-            for receiver in receivers:
-                receiver.append(node)
+        node = "".join(pieces)
+        pieces.clear()
+        for receiver in receivers:
+            receiver.append(node)
 
+    search = _TAG.search
     while at < size:
-        tag = _TAG.search(html, at)
+        tag = search(html, at)
         if receivers:
             text = html[at : tag.start() if tag else size]
             if text:
@@ -127,11 +135,17 @@ def select_text(html: str, axes: Sequence[Selector]) -> list[list[list[str]]]:
         if tag is None:
             break
         at = tag.end()
-        name = (tag["name"] or "").lower()
-        if tag["end"]:
-            if not open_names[name]:
+        end, name, rest = tag.groups()
+        if name is None:
+            if pieces:
+                flush()
+            continue
+        name = name.lower()
+        if end:
+            if not open_names.get(name):
                 continue
-            flush()
+            if pieces:
+                flush()
             closed = None
             while closed != name:
                 closed, matches = stack.pop()
@@ -139,28 +153,28 @@ def select_text(html: str, axes: Sequence[Selector]) -> list[list[list[str]]]:
                 if matches:
                     del receivers[-matches:]
             continue
-        flush()
-        if not name:
-            continue
+        if pieces:
+            flush()
         opened = []
         for number, axis in by_tag.get(name, ()):
             parent = stack[-1][0] if stack else None
-            if axis.parent in (None, parent) and axis.accepts(tag["rest"]):
+            if axis.parent in (None, parent) and axis.accepts(rest):
                 nodes: list[str] = []
                 found[number].append(nodes)
                 opened.append(nodes)
-        if name in VOID or _SELF_CLOSED.search(tag["rest"]):
+        if name in VOID or self_closed(rest):
             continue
         receivers.extend(opened)
         stack.append((name, len(opened)))
-        open_names[name] += 1
+        open_names[name] = open_names.get(name, 0) + 1
         if name in RAW:
-            end = re.compile(rf"</{name}\b", re.IGNORECASE).search(html, at)
-            stop = end.start() if end else size
+            close = _RAW_END[name].search(html, at)
+            stop = close.start() if close else size
             if receivers and stop > at:
                 pieces.append(html[at:stop])
             at = stop
-    flush()
+    if pieces:
+        flush()
     return found
 
 
@@ -170,49 +184,43 @@ def select_links(html: str, selectors: Sequence[Selector]) -> list[list[str]]:
     An ancestor spans from its start tag to the end tag that pairs with it by
     name; a start tag that is never closed contains nothing.
     """
-    anchors: list[tuple[str | None, tuple[bool, ...]]] = []
-    open_ancestors: dict[str, list[tuple[int, tuple[bool, ...]]]] = {
-        s.ancestor.tag: [] for s in selectors if s.ancestor
-    }
+    numbered = list(enumerate(selectors))
+    by_tag = defaultdict(list)
+    by_ancestor = defaultdict(list)
+    for number, selector in numbered:
+        by_tag[selector.tag].append((number, selector))
+        if selector.ancestor:
+            by_ancestor[selector.ancestor.tag].append((number, selector.ancestor))
+    watched = {*by_tag, *by_ancestor}
+    open_ancestors: dict[str, list[tuple[int, list[int]]]] = {name: [] for name in by_ancestor}
+    anchors: list[tuple[str | None, list[int]]] = []
     # Per selector: +1 where a matching ancestor starts, -1 where it ends.
     cover = [Counter() for _ in selectors]
-    tags = {s.tag for s in selectors}
     for tag in _TAG.finditer(html):
-        name = (tag["name"] or "").lower()
+        end, name, rest = tag.groups()
+        if name is None or (name := name.lower()) not in watched:
+            continue
         nesting = open_ancestors.get(name)
-        if tag["end"]:
+        if end:
             if nesting:
                 start, matched = nesting.pop()
-                for number, hit in enumerate(matched):
-                    if hit:
-                        cover[number][start] += 1
-                        cover[number][len(anchors)] -= 1
+                for number in matched:
+                    cover[number][start] += 1
+                    cover[number][len(anchors)] -= 1
             continue
-        rest = tag["rest"]
-        if name in tags:
-            hits = tuple(s.tag == name and s.accepts(rest) for s in selectors)
-            if any(hits):
-                anchors.append((attribute(rest, "href"), hits))
-        if nesting is not None and not _SELF_CLOSED.search(rest):
-            nesting.append(
-                (
-                    len(anchors),
-                    tuple(
-                        s.ancestor is not None
-                        and s.ancestor.tag == name
-                        and s.ancestor.accepts(rest)
-                        for s in selectors
-                    ),
-                )
-            )
-    result: list[list[str]] = []
-    for number, selector in enumerate(selectors):
-        depth, hrefs = 0, []
-        for index, (href, hits) in enumerate(anchors):
-            depth += cover[number][index]
-            if hits[number] and href is not None and (depth or selector.ancestor is None):
-                hrefs.append(href)
-        result.append(hrefs)
+        hits = [number for number, selector in by_tag.get(name, ()) if selector.accepts(rest)]
+        if hits:
+            anchors.append((attribute(rest, "href"), hits))
+        if nesting is not None and not self_closed(rest):
+            matched = [number for number, upper in by_ancestor[name] if upper.accepts(rest)]
+            nesting.append((len(anchors), matched))
+    result: list[list[str]] = [[] for _ in selectors]
+    depth = [0] * len(numbered)
+    for index, (href, hits) in enumerate(anchors):
+        for number, selector in numbered:
+            depth[number] += cover[number].get(index, 0)
+            if number in hits and href is not None and (depth[number] or not selector.ancestor):
+                result[number].append(href)
     return result
 
 

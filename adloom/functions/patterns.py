@@ -252,6 +252,12 @@ def _foldable(run: str) -> list[str]:
     return ["".join(chars).lower() for good, chars in stretches if good]
 
 
+# Characters that match a plain letter without it being their lower case.
+_ODD_CASES = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
+
+
 def fold(text: Column) -> Column:
     """Case-folded text that contains the factor of any pattern matching the text."""
-    return F.lower(F.upper(F.replace(text, F.lit("\u0130"), F.lit("i"))))
+    for odd, plain in _ODD_CASES:
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)

@@ -45,3 +45,38 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
         ),
     )
     return salted_rows.drop("_hot").join(salted_groups.drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of rows to a table with one row per ``key``, safe for hot keys.
+
+    The most frequent keys of ``rows``, a bounded number, are served by a broadcast
+    of their table rows; only rows of other keys are shuffled.
+    """
+    hot = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .orderBy(F.desc("_size"), key)
+        .limit(HOT_KEYS)
+        .select(key)
+    )
+    hot_rows = rows.join(F.broadcast(hot), key, "left_semi")
+    hot_table = table.join(F.broadcast(hot), key, "left_semi")
+    cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
+    return hot_rows.join(F.broadcast(hot_table), key, "left").unionByName(
+        cold_rows.join(table, key, "left")
+    )
+
+
+def without_known(
+    incoming: DataFrame, known: DataFrame, key: str, bound: int | None
+) -> DataFrame:
+    """Incoming rows, one per key, whose key is not in a table of any size.
+
+    With few incoming rows (``bound``, counted beforehand) the table is only
+    scanned for them; otherwise both sides are shuffled.
+    """
+    keys = known.select(key)
+    if bound is not None and bound <= BROADCAST_ROWS:
+        keys = F.broadcast(keys.join(F.broadcast(incoming.select(key)), key, "left_semi"))
+    return incoming.join(keys, key, "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.dedup import keep_one
+from adloom.operators.skew import lookup, without_known
 
 
 def new_rows(
@@ -37,14 +38,16 @@ def upsert_replace(
     return keep_one(both, key, ["_step", *order], last=True).drop("_step")
 
 
-def store_urls(current: DataFrame, urls: DataFrame, ts: Column) -> DataFrame:
-    """Unknown urls as unvisited rows of the url table; combined before the shuffle."""
-    return (
-        urls.filter(F.col("url").isNotNull())
-        .groupBy("url")
-        .agg(F.lit(0).alias("visited"))
-        .join(current.select("url"), "url", "left_anti")
-        .select("url", ts.alias("ts"), "visited")
+def store_urls(
+    current: DataFrame, urls: DataFrame, ts: Column, bound: int | None = None
+) -> DataFrame:
+    """Unknown urls as unvisited rows of the url table; combined before the shuffle.
+
+    ``bound`` is the number of given urls, where it is known.
+    """
+    distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct()
+    return without_known(distinct, current, "url", bound).select(
+        "url", ts.alias("ts"), F.lit(0).alias("visited")
     )
 
 
@@ -78,6 +81,6 @@ def mark_visited(current: DataFrame, keys: DataFrame) -> DataFrame:
 def visited_counts(current: DataFrame, keys: DataFrame) -> DataFrame:
     """Per given url, the number of rows its update touches: 0 or 1."""
     known = current.select("url", F.lit(1).alias("_known"))
-    return keys.join(known, "url", "left").select(
+    return lookup(keys, known, "url").select(
         *keys.columns, F.coalesce("_known", F.lit(0)).alias("changed")
     )

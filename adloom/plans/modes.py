@@ -15,7 +15,7 @@ from adloom.operators import classify as C
 from adloom.operators import dedup as D
 from adloom.operators import extract, report, upsert
 from adloom.operators.links import absolute_links
-from adloom.operators.skew import broadcast_if
+from adloom.operators.skew import BROADCAST_ROWS
 from adloom.plans.state import Run, StateStore
 from adloom.sources.pages import route
 from adloom.sources.rules import RuleSet
@@ -46,9 +46,11 @@ def browse(
     selectors: Sequence[H.Selector] = H.LISTING_LINKS,
 ) -> DataFrame:
     """Links of listing pages into the queue; returns the urls that are new."""
-    found = links(pages, selectors).select(F.col("link").alias("url"))
+    hits = links(pages, selectors).select(F.col("link").alias("url"))
+    # Written before it is counted and used, so that pages are parsed once.
+    found = store.write("found", hits.distinct(), run.id)
     known = store.log("url", before=run.id)
-    new = upsert.store_urls(known, found, B.timestamp(run.as_of))
+    new = upsert.store_urls(known, found, B.timestamp(run.as_of), bound=found.count())
     return store.write("url", new, run.id)
 
 
@@ -75,8 +77,7 @@ def collect(
     )
     queue = store.write("backlog", B.pending(waiting, content, limit), run.id)
     known = B.recently_fetched(content)
-    wanted = broadcast_if(B.new_urls(queue, known), limit)
-    fetched = one_per_url(pages.join(wanted, "url", "left_semi"))
+    fetched = _pages_of(pages, B.new_urls(queue, known), limit)
     done = _store_pages(store, fetched, run, axes, snapshot, within_batch)
     closed = queue
     if retry_failed:
@@ -100,6 +101,15 @@ def collect_pages(
     return _store_pages(store, fresh, run, axes, snapshot, within_batch)
 
 
+def _pages_of(pages: DataFrame, urls: DataFrame, bound: int | None) -> DataFrame:
+    """One page for each url. Few urls filter the pages before any shuffle; otherwise
+    pages are combined per task first, so that a page fetched over and over is small.
+    """
+    if bound is not None and bound <= BROADCAST_ROWS:
+        return one_per_url(pages.join(F.broadcast(urls), "url", "left_semi"))
+    return one_per_url(pages).join(urls, "url", "left_semi")
+
+
 def one_per_url(pages: DataFrame) -> DataFrame:
     """The first page of every url, by page id where there is one."""
     order = "page_id" if "page_id" in pages.columns else "html"
@@ -134,10 +144,12 @@ def _store_pages(
 
 
 def _keep_recent(store: StateStore, new: DataFrame, run: Run) -> None:
-    newest = D.recent_signatures(new)
+    """The newest signatures after the run, from those before it and the new ones."""
     before = store.snapshot(run.id, D.SNAPSHOT)
-    kept = before.join(F.broadcast(newest.select("sig")), "sig", "left_anti")
-    store.write("recent", D.recent_signatures(kept.unionByName(newest)), run.id)
+    replaced = new.select("sig").join(F.broadcast(before.select("sig")), "sig", "left_semi")
+    kept = before.join(F.broadcast(replaced), "sig", "left_anti")
+    newest = kept.unionByName(D.recent_signatures(new))
+    store.write("recent", D.recent_signatures(newest), run.id)
 
 
 def fetch(pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES) -> DataFrame:

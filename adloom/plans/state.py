@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom import schemas
-from adloom.operators.dedup import keep_one
+from adloom.operators.dedup import SNAPSHOT, keep_one, recent_signatures
 
 TABLES = {
     "url": T.StructType(schemas.URL.fields[:2]),
+    # Urls found by browsing, and urls taken up for collecting, per run.
+    "found": schemas.VISITED,
     "backlog": T.StructType(schemas.URL.fields[:2]),
     "visited": schemas.VISITED,
     "content": schemas.CONTENT,
@@ -32,7 +34,10 @@ TABLES = {
 
 @dataclass(frozen=True)
 class Run:
-    """One execution of the modes: ids rise from 1, ``as_of`` stamps its rows."""
+    """One execution of the modes: ids rise from 1, ``as_of`` stamps its rows.
+
+    Later runs must not have an earlier ``as_of``.
+    """
 
     id: int
     as_of: datetime
@@ -99,8 +104,6 @@ class StateStore:
         left is exact, since a signature that is not among them can only come back
         by being written again. A request for more than was kept ranks `dupe`.
         """
-        from adloom.operators.dedup import SNAPSHOT, recent_signatures
-
         if limit is None or limit > SNAPSHOT:
             return recent_signatures(self.current("dupe", upto=before - 1), limit)
         kept = self.log("recent", before=before)
@@ -119,11 +122,5 @@ class StateStore:
             target.write(table, self.current(table, upto=run), run)
         target.write("url", self.log("url", upto=run), run)
         target.write("visited", self.log("visited", upto=run).distinct(), run)
-        target.write("recent", self.snapshot(run + 1, None).transform(_newest), run)
+        target.write("recent", self.snapshot(run + 1, SNAPSHOT), run)
         return target
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    from adloom.operators.dedup import recent_signatures
-
-    return recent_signatures(rows)
