@@ -33,14 +33,20 @@ def purify(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}]+", "")
 
 
+def _present(text: Column) -> Column:
+    """Null as empty text. A key that cannot be null is computed once: joins would
+    otherwise compute it in a null filter first."""
+    return F.coalesce(text, F.lit(""))
+
+
 def signature(text: Column) -> Column:
     """Near-duplicate key: equal for texts with equal letters."""
-    return F.md5(purify(text))
+    return F.md5(purify(_present(text)))
 
 
 def content_hash(text: Column) -> Column:
     """Exact-duplicate key over the raw text."""
-    return F.md5(text)
+    return F.md5(_present(text))
 
 
 def clip(text: Column, width: int) -> Column:

@@ -47,10 +47,9 @@ def classify(df: DataFrame, *rule_sets: RuleSet, text: str = "content") -> DataF
         _verdict(rules.name, F.col(f"_likes{n}"), F.col(f"_dislikes{n}"))
         for n, rules in enumerate(rule_sets)
     ]
-    if len(verdicts) == 1:
-        result = judged.withColumn("_verdict", verdicts[0])
-    else:
-        result = judged.withColumn("_verdict", F.explode(F.array(*verdicts)))
+    # A generator even for one rule set: filters on the verdict stay above it, where
+    # they would otherwise be pushed below and match the patterns once more.
+    result = judged.withColumn("_verdict", F.explode(F.array(*verdicts)))
     return result.select(*df.columns, "_verdict.*")
 
 

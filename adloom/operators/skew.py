@@ -26,9 +26,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     aggregate and broadcast; their rows are salted so that no task gets a whole
     hot group. Any other group holds less than one row in ``HOT_KEYS``.
     """
+    # Both uses of the aggregate refer to all its columns, so that it runs once.
+    others = [c for c in groups.columns if c not in (key, size)]
+    groups = groups.filter(F.col(size) > 0)
     hot = F.broadcast(
         groups.filter(F.col(size) > SALTS)
-        .orderBy(F.desc(size), key)
+        .orderBy(F.desc(size), key, *others)
         .limit(HOT_KEYS)
         .select(key, F.lit(True).alias("_hot"))
     )

@@ -311,7 +311,7 @@ def q_admit_strict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_admit_batches(spark: SparkSession, sf: str) -> DataFrame:
     batches = T.signed_ads(spark, sf).select(
-        "doc_id", "sig", F.floor(F.col("doc_id") / 250).alias("batch")
+        "doc_id", "sig", F.expr("doc_id div 250").alias("batch")
     )
     return D.admit_batches(batches, "doc_id").select("doc_id", "batch", "sig")
 

@@ -16,7 +16,8 @@ SETTINGS = {
     # Pages can be large, so Arrow batches are bounded by bytes as well as rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
-    "spark.sql.execution.pythonUDF.arrow.enabled": "true",
+    # Recording the call site of every expression makes long plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
