@@ -8,7 +8,9 @@ out as alternatives in order of falling length.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 import re
 import warnings
 from dataclasses import dataclass
@@ -19,7 +21,11 @@ from pyspark.sql import functions as F
 # Unicode case folding, line mode, and newline as the only line end.
 FLAGS = "(?iumd)"
 MAX_SHAPES = 256
-MIN_FACTOR = 2
+# One common literal of this length is selective enough; otherwise the texts that a
+# match can be made of are told apart, up to a number of them.
+GOOD_FACTOR, MIN_FACTOR = 4, 2
+MAX_TEXTS = 8
+GAP = "\0"
 
 _BOUND = re.compile(r"\{(\d+)(,(\d*))?\}")
 _BRACKET = re.compile(r"\[(\^?)(\]?(?:\[:[a-z]+:\]|\[=.=\]|\[\..\.\]|[^\]])*)\]", re.DOTALL)
@@ -60,12 +66,14 @@ def quote(char: str) -> str:
 
 @dataclass
 class Shape:
-    """A translated part: its text, its fixed-width forms if there are few, and
-    whether it is a bare character."""
+    """A translated part: its regex, its fixed-width forms if there are few, and the
+    texts it matches, where ``GAP`` stands for anything. ``texts`` tells choices
+    apart, ``plain`` is one text with gaps for them."""
 
     java: str
     forms: list[tuple[int, str]] | None
-    literal: str | None = None
+    texts: tuple[str, ...] = (GAP,)
+    plain: str = GAP
 
 
 def _product(left: list | None, right: list | None) -> list | None:
@@ -80,40 +88,34 @@ class _Reader:
     def __init__(self, pattern: str) -> None:
         self.pattern, self.at = pattern, 0
         self.alternatives, self.variable = False, 0
-        self.runs: list[str] = []
 
-    def alternation(self, depth: int = 0) -> Shape:
-        branches = [self.branch(depth)]
+    def alternation(self) -> Shape:
+        branches = [self.branch()]
         while self.pattern.startswith("|", self.at):
             self.at += 1
             self.alternatives = True
-            branches.append(self.branch(depth))
+            branches.append(self.branch())
         if len(branches) == 1:
             return branches[0]
-        if depth == 0:
-            self.runs = []
         forms = None
         if all(b.forms is not None for b in branches):
             forms = [form for b in branches for form in b.forms]
-        return Shape("(?:" + "|".join(b.java for b in branches) + ")", forms)
+        texts = tuple(text for b in branches for text in b.texts)
+        return Shape("(?:" + "|".join(b.java for b in branches) + ")", forms, texts)
 
-    def branch(self, depth: int) -> Shape:
-        java, forms, run = "", [(0, "")], ""
+    def branch(self) -> Shape:
+        java, forms, texts, plain = "", [(0, "")], ("",), ""
         while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
-            piece = self.piece(depth)
+            piece = self.piece()
             java += piece.java
+            plain += piece.plain
             forms = _product(forms, piece.forms)
-            if depth == 0 and piece.literal is not None:
-                run += piece.literal
-            elif run:
-                self.runs.append(run)
-                run = ""
-        if run:
-            self.runs.append(run)
-        return Shape(java, forms)
-
-    def piece(self, depth: int) -> Shape:
-        shape = self.atom(depth)
+            added = piece.texts if len(texts) * len(piece.texts) <= MAX_TEXTS else (GAP,)
+            texts = tuple(dict.fromkeys(left + right for left in texts for right in added))
+        return Shape(java, forms, texts, plain)
+
+    def piece(self) -> Shape:
+        shape = self.atom()
         while self.at < len(self.pattern):
             bound = _BOUND.match(self.pattern, self.at)
             sign = self.pattern[self.at]
@@ -146,24 +148,25 @@ class _Reader:
             if forms is not None and len(forms) > MAX_SHAPES:
                 forms = None
         upper = "" if high is None else high
-        return Shape(f"(?:{shape.java}){{{low},{upper}}}", forms)
+        texts = ("", *shape.texts) if (low, high) == (0, 1) else (GAP,)
+        return Shape(f"(?:{shape.java}){{{low},{upper}}}", forms, texts)
 
-    def atom(self, depth: int) -> Shape:
+    def atom(self) -> Shape:
         char = self.pattern[self.at]
         self.at += 1
         if char == "(":
-            inner = self.alternation(depth + 1)
+            inner = self.alternation()
             if not self.pattern.startswith(")", self.at):
                 raise ValueError(f"unclosed group in pattern {self.pattern!r}")
             self.at += 1
-            return Shape(f"(?:{inner.java})", inner.forms)
+            return Shape(f"(?:{inner.java})", inner.forms, inner.texts, inner.plain)
         if char == "[":
             return self.bracket()
         if char == ".":
             return Shape(r"[^\n]", [(1, r"[^\n]")])
         if char in "^$":
             anchor = LINE_START if char == "^" else LINE_END
-            return Shape(anchor, [(0, anchor)])
+            return Shape(anchor, [(0, anchor)], ("",), "")
         if char in "*+?":
             raise ValueError(f"nothing to repeat in pattern {self.pattern!r}")
         if char == "\\":
@@ -172,15 +175,15 @@ class _Reader:
             char = self.pattern[self.at]
             self.at += 1
             if char in ANCHORS:
-                return Shape(ANCHORS[char], [(0, ANCHORS[char])])
-        return Shape(quote(char), [(1, quote(char))], char)
+                return Shape(ANCHORS[char], [(0, ANCHORS[char])], ("",), "")
+        return Shape(quote(char), [(1, quote(char))], (char,), char)
 
     def bracket(self) -> Shape:
         found = _BRACKET.match(self.pattern, self.at - 1)
         if not found or not found[2]:
             raise ValueError(f"unclosed bracket in pattern {self.pattern!r}")
         self.at = found.end()
-        items = []
+        items, chars = [], []
         for item in _BRACKET_ITEM.finditer(found[2]):
             named, _, single, first, last, plain = item.groups()
             if named:
@@ -191,17 +194,19 @@ class _Reader:
                 items.append(f"{quote(first)}-{quote(last)}")
             else:
                 items.append(quote(single or plain))
+                chars.append(single or plain)
         body = "[" + ("^\\n" if found[1] else "") + "".join(items) + "]"
-        return Shape(body, [(1, body)])
+        listed = not found[1] and len(chars) == len(items)
+        return Shape(body, [(1, body)], tuple(chars) if listed else (GAP,))
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A rule pattern ready for Spark; ``factor`` is a text every match contains."""
+    """A rule pattern ready for Spark; every match contains one of ``factors``."""
 
     source: str
     java: str
-    factor: str | None
+    factors: tuple[str, ...]
 
     @staticmethod
     def compile(source: str) -> Pattern:
@@ -220,9 +225,7 @@ class Pattern:
             else:
                 widest = sorted(dict.fromkeys(shape.forms), key=lambda form: -form[0])
                 java = "|".join(form for _, form in widest)
-        factors = [part for run in reader.runs for part in _foldable(run)]
-        factor = max(factors, key=len, default="")
-        return Pattern(source, FLAGS + java, factor if len(factor) >= MIN_FACTOR else None)
+        return Pattern(source, FLAGS + java, _factors(shape))
 
     def found(self, text: Column, folded: Column | None = None) -> Column:
         """The first match in its original case, or null.
@@ -231,24 +234,38 @@ class Pattern:
         most texts the regex.
         """
         hit = text.rlike(self.java)
-        if folded is not None and self.factor is not None:
-            hit = folded.contains(self.factor) & hit
+        if folded is not None and self.factors:
+            gate = functools.reduce(operator.or_, (folded.contains(f) for f in self.factors))
+            hit = gate & hit
         return F.when(hit, F.regexp_extract(text, self.java, 0))
 
 
-def _foldable(run: str) -> list[str]:
+def _factors(shape: Shape) -> tuple[str, ...]:
+    """Texts one of which is in every match; nothing if there are none of use."""
+    common = max(_foldable(shape.plain), key=len, default="")
+    if len(common) < GOOD_FACTOR:
+        longest = [max(_foldable(text), key=len, default="") for text in shape.texts]
+        if len(longest) <= MAX_TEXTS and min(map(len, longest)) > max(len(common), 1):
+            return tuple(
+                f for f in dict.fromkeys(longest) if not any(g in f for g in longest if g != f)
+            )
+    return (common,) if len(common) >= MIN_FACTOR else ()
+
+
+def _foldable(text: str) -> list[str]:
     """Lower-case stretches of a literal whose letters have one simple case pair."""
 
     def simple(char: str) -> bool:
         lower = char.lower()
         return (
-            ord(char) < 0x250
+            char != GAP
+            and ord(char) < 0x250
             and len(lower) == len(char.upper()) == 1
             and lower.upper().lower() == lower == char.upper().lower()
             and char != "\u00b5"
         )
 
-    stretches = itertools.groupby(run, simple)
+    stretches = itertools.groupby(text, simple)
     return ["".join(chars).lower() for good, chars in stretches if good]
 
 
