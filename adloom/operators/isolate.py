@@ -66,5 +66,9 @@ def failures(mapped: DataFrame) -> DataFrame:
 
 
 def fold(mapped: DataFrame, *aggregates: Column) -> DataFrame:
-    """Combine the survivors with aggregates that Spark can pre-combine per task."""
-    return survivors(mapped).agg(*aggregates)
+    """Combine the survivors' values, and count the failures.
+
+    Failed rows have a null value, which aggregates over ``value`` leave out, so one
+    pass gives both.
+    """
+    return mapped.agg(*aggregates, F.count("error").alias("n_failed"))

@@ -54,7 +54,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join of rows to a table with one row per ``key``, safe for hot keys.
 
     The most frequent keys of ``rows``, a bounded number, are served by a broadcast
-    of their table rows; only rows of other keys are shuffled.
+    of their table rows; only rows of other keys are shuffled. ``rows`` is read three
+    times, so it should be a table or cheap to derive from one.
     """
     hot = (
         rows.groupBy(key)

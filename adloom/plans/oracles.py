@@ -239,9 +239,9 @@ ORACLES: dict[str, str] = {
         WITH {URL_T}, {CONTENT_T}
         SELECT url, {SHOWN}, CASE WHEN url IN (SELECT url FROM content_t) THEN 1
                                   ELSE visited END AS visited FROM url_t""",
-    "q_mark_visited_counts": f"""
-        WITH {LINKS}, {CONTENT_T},
-        given AS (SELECT url FROM content_t UNION ALL SELECT link FROM links)
+    "q_mark_visited_counts": """
+        WITH given AS (
+            SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '[?#].*', '') FROM pages)
         SELECT url, CASE WHEN url IN (SELECT url FROM pages) THEN 1 ELSE 0 END AS changed
         FROM given""",
     "q_seed_listings": """

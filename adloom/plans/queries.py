@@ -55,12 +55,7 @@ def q_safe_map(spark: SparkSession, sf: str) -> DataFrame:
         lambda url: int(url.split("page=")[1].split("&")[0]),
         "bigint",
     )
-    survived = isolate.fold(
-        mapped, F.count(F.lit(1)).alias("n_ok"), F.sum("value").alias("total")
-    )
-    return survived.crossJoin(
-        F.broadcast(isolate.failures(mapped).agg(F.count(F.lit(1)).alias("n_failed")))
-    )
+    return isolate.fold(mapped, F.count("value").alias("n_ok"), F.sum("value").alias("total"))
 
 
 @query
@@ -125,8 +120,10 @@ def q_mark_visited(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_mark_visited_counts(spark: SparkSession, sf: str) -> DataFrame:
-    given = T.content_t(spark, sf).select("url").unionByName(_links(T.pages(spark, sf)))
-    return upsert.visited_counts(T.url_t(spark, sf), given)
+    """Page urls as they are, and cut off where query or fragment starts."""
+    pages = T.pages(spark, sf).select("url")
+    cut = pages.select(F.regexp_replace("url", "[?#].*", "").alias("url"))
+    return upsert.visited_counts(T.url_t(spark, sf), pages.unionByName(cut))
 
 
 @query

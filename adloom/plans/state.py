@@ -36,7 +36,8 @@ TABLES = {
 class Run:
     """One execution of the modes: ids rise from 1, ``as_of`` stamps its rows.
 
-    Later runs must not have an earlier ``as_of``.
+    Later runs must not have an earlier ``as_of``. A run that failed half-way is to be
+    repeated under its id before the next one starts.
     """
 
     id: int

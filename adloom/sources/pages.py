@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions import urls as U
@@ -10,6 +10,17 @@ from adloom.functions import urls as U
 OK = 200
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table of fetched pages."""
+    return spark.read.parquet(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as ``(url, content)``, to be classified without being stored."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.input_file_name().alias("url"), F.col("value").alias("content"))
+
+
 def _optional(pages: DataFrame, name: str, default: Column) -> Column:
     return F.coalesce(F.col(name), default) if name in pages.columns else default
 

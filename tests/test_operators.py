@@ -279,3 +279,9 @@ def test_seed_listings(spark):
     assert {k: sorted(v) for k, v in by_page.items()} == {
         n: [f"http://a/p{n}?x=1", "http://b/1"] for n in (1, 2, 3)
     }
+
+
+def test_texts_from_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("line one\nline two\n", "utf8")
+    row = P.read_texts(spark, str(tmp_path)).first()
+    assert row.content == "line one\nline two\n" and row.url.endswith("a.txt")
