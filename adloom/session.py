@@ -16,6 +16,10 @@ SETTINGS = {
     # Pages can be large, so Arrow batches are bounded by bytes as well as rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    # Streaming deduplication may keep more keys than fit on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Recording the call site of every expression makes long plans slow to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

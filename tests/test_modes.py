@@ -124,7 +124,7 @@ def letters(number):
     return "word" + "".join("abcdefghij"[int(d)] for d in str(number))
 
 
-def batches(seed, runs=7, size=12, kinds=14):
+def batches(seed, runs=5, size=12, kinds=12):
     rng = random.Random(seed)
     return [
         {f"http://h/{n}-{i}": f"{letters(rng.randrange(kinds))} {rng.randrange(99)}" for i in range(size)}
@@ -198,13 +198,13 @@ def test_same_content_at_two_urls_leaves_the_last(spark, store):
 
 
 def test_compacted_copy_goes_on_like_the_original(spark, store):
-    runs = batches(3, runs=4)
-    for number, pages in enumerate(runs[:3], 1):
+    runs = batches(3, runs=3)
+    for number, pages in enumerate(runs[:2], 1):
         modes.collect_pages(store, ads(spark, pages), run_at(number), snapshot=3)
-    modes.browse(store, listing(spark, ["/q"]), run_at(3))
-    copy = store.copy_to(shared_dir(spark, "copy"), 3)
+    modes.browse(store, listing(spark, ["/q"]), run_at(2))
+    copy = store.copy_to(shared_dir(spark, "copy"), 2)
     for one in (store, copy):
-        modes.collect_pages(one, ads(spark, runs[3]), run_at(4), snapshot=3)
+        modes.collect_pages(one, ads(spark, runs[2]), run_at(3), snapshot=3)
     for table in ("url", "content", "dupe"):
         assert sorted(store.current(table).collect()) == sorted(copy.current(table).collect())
 
@@ -224,7 +224,7 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
 
 
 def test_stream_equals_batch_loop(spark, store):
-    runs = batches(4, runs=4)
+    runs = batches(4, runs=3)
     folder, offsets = shared_dir(spark, "in"), shared_dir(spark, "offsets")
     schema = "page_id bigint, url string, html string"
     for pages in runs:
