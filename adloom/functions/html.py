@@ -227,10 +227,14 @@ def select_links(html: str, selectors: Sequence[Selector]) -> list[list[str]]:
 def text_nodes(html: Column, axes: Sequence[Selector] = AD_AXES) -> Column:
     """Struct ``(value, error)``; value is axis -> match -> text nodes."""
     chosen = tuple(axes)
+    if any(axis.ancestor for axis in chosen):
+        raise ValueError("text is selected by parent, not by ancestor")
     return isolated(lambda page: select_text(page, chosen), "array<array<array<string>>>")(html)
 
 
 def links(html: Column, selectors: Sequence[Selector] = LISTING_LINKS) -> Column:
     """Struct ``(value, error)``; value is selector -> hrefs in document order."""
     chosen = tuple(selectors)
+    if any(s.parent or (s.ancestor and s.ancestor.ancestor) for s in chosen):
+        raise ValueError("links are selected by one ancestor, not by parent")
     return isolated(lambda page: select_links(page, chosen), "array<array<string>>")(html)

@@ -16,16 +16,21 @@ def _conditions(selector: H.Selector) -> list[H.Selector]:
     return [s for s in (selector, *upper) if s.attr is not None]
 
 
+def _always_plain(value: str) -> bool:
+    return value.isascii() and value.replace("-", "").isalnum() and "fj" not in value
+
+
 def _may_match(html: Column, selectors: Sequence[H.Selector]) -> Column:
     """False only for pages in which no selector can match.
 
     A page without the attribute value of any condition has no hit, unless the
-    value is spelled with numeric character references.
+    value is spelled with character references. Letters and digits have numeric ones
+    only, but for the pair ``fj``.
     """
     gate = F.lit(False)
     for selector in selectors:
         values = [s.value for s in _conditions(selector)]
-        if not values or not all(v.replace("-", "").isalnum() and v.isascii() for v in values):
+        if not values or not all(map(_always_plain, values)):
             return F.lit(True)
         needed = F.lit(True)
         for value in values:

@@ -82,5 +82,6 @@ def without_known(
     """
     keys = known.select(key)
     if bound is not None and bound <= BROADCAST_ROWS:
-        keys = F.broadcast(keys.join(F.broadcast(incoming.select(key)), key, "left_semi"))
+        found = keys.join(F.broadcast(incoming.select(key)), key, "left_semi")
+        keys = F.broadcast(found.distinct())
     return incoming.join(keys, key, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,4 +203,5 @@ def run_cycle(
     browse(store, listings, run)
     collect(store, pages, run, limit=limit)
     search(store, rule_sets, run, hours)
-    return report.digest(store.current("liked", upto=run.id), run.as_of)
+    since = run.as_of - timedelta(hours=report.WINDOW_HOURS)
+    return report.digest(store.current("liked", upto=run.id, since=since), run.as_of)

@@ -225,7 +225,7 @@ ORACLES: dict[str, str] = {
             SELECT '{T.ADS}t/' || sig AS url, md5(content) AS content, ts, ts >= {SPLIT} AS late
             FROM ads)
         SELECT url, content, {SHOWN} FROM keyed
-        QUALIFY row_number() OVER (PARTITION BY url ORDER BY late, keyed.ts) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY late, keyed.ts, content) = 1""",
     "q_upsert_signatures": f"""
         WITH {ADS}, kept AS (
             SELECT sig, url AS recent_url, ts, 0 AS step FROM ads WHERE ts >= {SPLIT}

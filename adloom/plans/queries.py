@@ -89,8 +89,9 @@ def _keyed_by_text(ads: DataFrame) -> DataFrame:
 @query
 def q_store_content(spark: SparkSession, sf: str) -> DataFrame:
     ads = T.ad_texts(spark, sf)
-    current = D.keep_one(_keyed_by_text(T.old(ads)), ["url"], ["ts"], last=False)
-    return _shown(upsert.insert_ignore(current, _keyed_by_text(T.new(ads)), ["url"], ["ts"]))
+    order = ["ts", "content"]
+    current = D.keep_one(_keyed_by_text(T.old(ads)), ["url"], order, last=False)
+    return _shown(upsert.insert_ignore(current, _keyed_by_text(T.new(ads)), ["url"], order))
 
 
 def _dupe_rows(ads: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom import schemas
+from adloom.operators.backlog import timestamp
 from adloom.operators.dedup import SNAPSHOT, keep_one, recent_signatures
 
 TABLES = {
@@ -84,9 +85,16 @@ class StateStore:
         rows.select(*TABLES[table].names).write.mode("overwrite").parquet(target)
         return self.of_run(table, run)
 
-    def current(self, table: str, upto: int | None = None) -> DataFrame:
-        """The table as it stands after a run."""
+    def current(
+        self, table: str, upto: int | None = None, since: datetime | None = None
+    ) -> DataFrame:
+        """The table as it stands after a run, or its rows later than ``since``.
+
+        Superseding rows are never earlier, so older ones need not be read for that.
+        """
         rows = self.log(table, upto=upto)
+        if since is not None:
+            rows = rows.filter(F.col("ts") > timestamp(since))
         if table == "url":
             visited = self.log("visited", upto=upto).select("url").distinct()
             return rows.drop("run").join(

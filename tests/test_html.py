@@ -1,6 +1,15 @@
 import time
 
-from adloom.functions.html import AD_AXES, LISTING_LINKS, Selector, select_links, select_text
+import pytest
+from adloom.functions.html import (
+    AD_AXES,
+    LISTING_LINKS,
+    Selector,
+    select_links,
+    select_text,
+    text_nodes,
+)
+from adloom.functions.html import links as html_links
 from adloom.operators import extract, isolate, links
 from pyspark.sql import functions as F
 
@@ -166,6 +175,13 @@ def test_gate_sends_only_candidates_but_loses_none(spark):
     assert {(r.url, r.href) for r in found} == {("1", "/1"), ("2", "/2")}
 
 
+def test_unsupported_selectors_are_refused(spark):
+    with pytest.raises(ValueError):
+        text_nodes(F.col("html"), (Selector("b", ancestor=Selector("div")),))
+    with pytest.raises(ValueError):
+        html_links(F.col("html"), (Selector("a", parent="div"),))
+
+
 def test_pages_are_parsed_once(spark):
     pages = spark.createDataFrame([("u", "<p>")], "url string, html string")
     for df in (extract.page_text(pages), links.absolute_links(pages)):
