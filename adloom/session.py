@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,12 +35,10 @@ def builder(app_name: str = "adloom") -> SparkSession.Builder:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder that the cluster names.
 
-    Every executor must reach this path. Only a local session without a
-    configured folder gets one on this machine.
+    Every executor must reach this path. Without a configured folder it lies below
+    the warehouse, which a cluster shares as well.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="adloom-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_adloom"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
