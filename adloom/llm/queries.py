@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adloom.llm import common as C
-from adloom.llm import quality
+from adloom.llm import language, quality
+
+#: Vocabularies of public tokenizers; every operator takes such a path as a parameter.
+BPE_JSON, BPE_RANKS, PIECES = map(
+    public_tokenizers.path,
+    ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"),
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +25,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model)
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir, "doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs, PIECES))
+
+
 REGISTRY: dict[str, Query] = {
+    "op2_language_id": language_id,
     "op10_quality_rules": quality_rules,
 }
 ORACLES: dict[str, str] = {}
