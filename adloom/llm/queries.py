@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adloom.llm import common as C
-from adloom.llm import language, quality
+from adloom.llm import bpe, language, packing, quality, toxicity
 
 #: Vocabularies of public tokenizers; every operator takes such a path as a parameter.
 BPE_JSON, BPE_RANKS, PIECES = map(
@@ -25,13 +25,35 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model)
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(C.documents(spark, sf_dir, "doc_id", "text"), load_tokenizer)
+
+
+def load_tokenizer() -> Callable:
+    return packing.tokenizer(BPE_RANKS, public_tokenizers.PATTERN)
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir, "doc_id", "text", "lang")
     return language.predict(docs, language.fit(docs, PIECES))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir, "doc_id", "text")
+    labels = C.table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir, "doc_id", "text")
+    return bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN)
+
+
 REGISTRY: dict[str, Query] = {
+    "op1_best_fit_packing": best_fit_packing,
     "op2_language_id": language_id,
+    "op5_toxicity": toxicity_scores,
+    "op8_byte_bpe": bpe_round_trip,
     "op10_quality_rules": quality_rules,
 }
 ORACLES: dict[str, str] = {}
