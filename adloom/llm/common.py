@@ -134,7 +134,9 @@ def words(texts: pa.Array) -> Words:
     lengths = np.flatnonzero(closing) - starts
     start = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths + 1, out=start[1:])
-    return Words(raw[~space | closing], start, np.searchsorted(starts, begin))
+    data = raw[~space | closing]
+    data[start[1:] - 1] = 32
+    return Words(data, start, np.searchsorted(starts, begin))
 
 
 def per_text(values: np.ndarray, begin: np.ndarray) -> np.ndarray:

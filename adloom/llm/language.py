@@ -18,7 +18,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,21 @@ UNKNOWN = "und"
 #: Labelled documents that are read for each language, and distinct words kept of them.
 SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 20_000
+SALTS = 64
 #: Letters of the longest word that is learned from.
-SAMPLE_LETTERS = 50
+SAMPLE_LETTERS = 40
 ROUNDS = 4
 #: Held-out documents: remainder of the id's checksum.
 MODULUS, HELD_OUT = 4, 2
 #: Mark before a word, and the longest piece that is used.
 MARK = "▁"
 LONGEST = 12
-#: Words whose scores a task remembers.
-CACHE = 200_000
-#: Letters of all words in one forward pass, and of a word that has a pass of its own.
-BLOCK = 100_000
-LONG_WORD = 500
+#: Words in one forward pass, and letters beyond which a word has a pass of its own, with
+#: scaled sums.
+BLOCK = 50_000
+LONG_WORD = 40
+#: Base of the rolling hash that finds pieces, and bits of a bitmap over it.
+_BASE, _BITMAP = np.uint64(0x100000001B3), 19
 _LETTERS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -62,6 +65,120 @@ def vocabulary(path: str) -> list[str]:
     return sorted(usable)
 
 
+@dataclass
+class Pieces:
+    """The vocabulary as sorted hashes, with a bitmap that most other strings fail."""
+
+    hashes: np.ndarray
+    number: np.ndarray
+    bitmap: np.ndarray
+    by_text: dict[str, int]
+
+    @classmethod
+    def of(cls, pieces: Sequence[str]) -> Pieces:
+        hashes = np.zeros(len(pieces), np.uint64)
+        for i, piece in enumerate(pieces):
+            value = 0
+            for char in piece:
+                value = (value * int(_BASE) + ord(char)) & 0xFFFFFFFFFFFFFFFF
+            hashes[i] = value
+        number = np.argsort(hashes)
+        bitmap = np.zeros(1 << _BITMAP, bool)
+        bitmap[slot(hashes)] = True
+        return cls(hashes[number], number, bitmap, {p: i for i, p in enumerate(pieces)})
+
+
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITMAP)
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Every place of every piece in many words at once, in order of where pieces end.
+
+    Words are sorted by falling length, so that the words that reach a place are the
+    first ones. A cell is a place in a word; the cells of one place lie side by side.
+    """
+
+    word: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    #: First edge that ends at each place; first cell of each place.
+    edge_of: np.ndarray
+    cell_of: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, code: np.ndarray, length: np.ndarray, pieces: Pieces) -> Lattice:
+        """``code`` holds the characters of words of falling length."""
+        first = np.cumsum(length) - length
+        word_of = np.repeat(np.arange(len(length)), length)
+        offset = np.arange(len(code)) - first[word_of]
+        left = length[word_of] - offset
+        covered = np.zeros(len(code), bool)
+        found = []
+        rolling = np.zeros(len(code), np.uint64)
+        for n in range(1, min(LONGEST, int(length.max(initial=0))) + 1):
+            rolling = rolling[: len(code) - n + 1] * _BASE + code[n - 1 :]
+            at = np.flatnonzero((left[: len(rolling)] >= n) & pieces.bitmap[slot(rolling)])
+            near = np.minimum(np.searchsorted(pieces.hashes, rolling[at]), len(pieces.hashes) - 1)
+            same = pieces.hashes[near] == rolling[at]
+            at, piece = at[same], pieces.number[near[same]]
+            if n == 1:
+                covered[at] = True
+                bare = np.flatnonzero(~covered)
+                at = np.concatenate([at, bare])
+                piece = np.concatenate([piece, np.full(len(bare), len(pieces.number))])
+            found.append((word_of[at], offset[at], offset[at] + n, piece))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, int)] * 4
+        order = np.argsort(columns[2].astype(np.int16), kind="stable")
+        word, begin, end, piece = (c[order] for c in columns)
+        longest = int(length.max(initial=0))
+        reaching = np.searchsorted(-length, -np.arange(longest + 1), "right")
+        cell_of = np.concatenate(([0], np.cumsum(reaching)))
+        return cls(word, begin, end, piece, np.searchsorted(end, np.arange(longest + 2)),
+                   cell_of, length)
+
+    def cells(self, place: np.ndarray | int, word: np.ndarray) -> np.ndarray:
+        return self.cell_of[place] + word
+
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Sum over all segmentations of what lies before each cell, by language."""
+        alpha = np.ones((self.cell_of[-1], prob.shape[1]))
+        for place in range(1, len(self.cell_of) - 1):
+            low, high = self.edge_of[place], self.edge_of[place + 1]
+            word = self.word[low:high]
+            terms = alpha[self.cells(self.begin[low:high], word)] * prob[self.piece[low:high]]
+            a, b = self.cell_of[place], self.cell_of[place + 1]
+            for lang in range(prob.shape[1]):
+                alpha[a:b, lang] = np.bincount(word, terms[:, lang], b - a)
+        return alpha
+
+    def totals(self, alpha: np.ndarray) -> np.ndarray:
+        """Each word's probability by language."""
+        return alpha[self.cells(self.length, np.arange(len(self.length)))]
+
+    def expected_counts(self, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece is used over all segmentations, for one language."""
+        alpha = self.forward(p[:, None])
+        total = self.totals(alpha)[:, 0]
+        beta = np.zeros(self.cell_of[-1])
+        beta[self.cells(self.length, np.arange(len(self.length)))] = 1.0
+        counts = np.zeros(len(p))
+        order = np.argsort(self.begin, kind="stable")
+        bounds = np.searchsorted(self.begin[order], np.arange(len(self.cell_of)))
+        for place in range(len(self.cell_of) - 3, -1, -1):
+            at = order[bounds[place] : bounds[place + 1]]
+            word = self.word[at]
+            ahead = p[self.piece[at]] * beta[self.cells(self.end[at], word)]
+            used = alpha[self.cells(place, word), 0] * ahead * (weight / total)[word]
+            counts += np.bincount(self.piece[at], used, len(p))
+            a, b = self.cell_of[place], self.cell_of[place + 1]
+            beta[a:b] += np.bincount(word, ahead, b - a)
+        return counts
+
+
 @dataclass
 class Model:
     """Piece probabilities: one row per piece, one column per language.
@@ -70,63 +187,37 @@ class Model:
     """
 
     languages: list[str]
-    number: dict[str, int]
+    pieces: Pieces
     prob: np.ndarray
-    cache: dict[bytes, np.ndarray] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
 
     def score_words(self, words: Sequence[bytes]) -> np.ndarray:
         """Log probability by language, and number of letters, of each given word."""
-        known = self.cache
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHE:
-                known = self.cache = {}
-                fresh = list(words)
-            runs = [_LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in fresh]
-            flat = [MARK + run for parts in runs for run in parts]
-            scores = np.empty((len(flat), len(self.languages) + 1), np.float32)
-            scores[:, :-1] = self.forward(flat)
-            scores[:, -1] = [len(w) - 1 for w in flat]
-            total = np.zeros((len(flat) + 1, scores.shape[1]))
-            np.cumsum(scores, axis=0, dtype=np.float64, out=total[1:])
-            ends = np.cumsum([len(parts) for parts in runs])
-            begins = ends - [len(parts) for parts in runs]
-            known.update(zip(fresh, (total[ends] - total[begins]).astype(np.float32)))
-        empty = np.zeros((0, len(self.languages) + 1), np.float32)
-        return np.stack([known[w] for w in words]) if len(words) else empty
-
-    def forward(self, marked: Sequence[str]) -> np.ndarray:
-        """Log of the sum over all segmentations, by word and language."""
-        result = np.zeros((len(marked), self.prob.shape[1]))
-        order = sorted(range(len(marked)), key=lambda i: len(marked[i]))
-        first = 0
-        while first < len(order):
-            size = len(marked[order[first]]) + 1
-            if size > LONG_WORD:
-                result[order[first]] = self.forward_long(marked[order[first]])
-                first += 1
-                continue
-            # Neighbours in order of length are about as long.
-            last = first + max(1, BLOCK // (2 * size))
-            block = [i for i in order[first:last] if len(marked[i]) < 2 * size]
-            edges, length = lattice([marked[i] for i in block], self.number)
-            alpha, scale = forward(edges, length, self.prob)
-            rows = np.arange(len(block))
-            result[block] = np.log(alpha[rows, length]) + scale[rows, length, None]
-            first += len(block)
-        return result
+        runs = letter_runs(words)
+        order = np.argsort(-runs.length, kind="stable")
+        scores = np.zeros((len(order), len(self.languages) + 1))
+        scores[:, -1] = runs.length
+        n_long = int(np.count_nonzero(runs.length > LONG_WORD))
+        for at in order[:n_long]:
+            text = runs.code[runs.first[at] : runs.first[at] + runs.length[at]]
+            scores[at, :-1] = self.forward_long(MARK + text.astype("<u4").tobytes().decode("utf-32-le"))
+        for low in range(n_long, len(order), BLOCK):
+            block = order[low : low + BLOCK]
+            code, length = runs.marked(block)
+            lattice = Lattice.of(code, length, self.pieces)
+            scores[block, :-1] = np.log(lattice.totals(lattice.forward(self.prob)))
+        total = np.zeros((len(order) + 1, scores.shape[1]))
+        np.cumsum(scores, axis=0, out=total[1:])
+        bounds = np.searchsorted(runs.word, np.arange(len(words) + 1))
+        return total[bounds[1:]] - total[bounds[:-1]]
 
     def forward_long(self, text: str) -> np.ndarray:
-        """The same for one long word; it keeps as many sums as a piece has characters."""
+        """The same sum for one long word; it keeps as many sums as a piece has characters."""
         recent = [np.ones(self.prob.shape[1])]
         scale = 0.0
         for end in range(1, len(text) + 1):
             sums, hit = np.zeros(self.prob.shape[1]), False
             for back in range(1, min(LONGEST, end) + 1):
-                piece = self.number.get(text[end - back : end])
+                piece = self.pieces.by_text.get(text[end - back : end])
                 if piece is not None:
                     sums += recent[-back] * self.prob[piece]
                     hit |= back == 1
@@ -140,100 +231,49 @@ class Model:
         return np.log(recent[-1]) + scale
 
 
-@dataclass
-class Edges:
-    """Pieces in words, sorted by where they end; ``level`` bounds those of each end."""
+@dataclass(frozen=True)
+class Runs:
+    """Runs of letters in lower case: their characters, places, and word numbers."""
 
+    code: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
     word: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
-    piece: np.ndarray
-    level: np.ndarray
-
-
-def lattice(marked: Sequence[str], number: dict[str, int]) -> tuple[Edges, np.ndarray]:
-    """Every place of every piece; a character of no piece is an edge of its own."""
-    found: list[tuple[int, int, int, int]] = []
-    unknown = len(number)
-    get = number.get
-    for w, text in enumerate(marked):
-        size = len(text)
-        for i in range(size):
-            hit = False
-            for j in range(i + 1, min(i + LONGEST, size) + 1):
-                piece = get(text[i:j])
-                if piece is not None:
-                    found.append((j, w, i, piece))
-                    hit |= j == i + 1
-            if not hit:
-                found.append((i + 1, w, i, unknown))
-    table = np.array(found, np.int64).reshape(-1, 4)
-    table = table[np.argsort(table[:, 0], kind="stable")]
-    length = np.array([len(text) for text in marked], np.int64)
-    levels = np.arange(1, (length.max() if len(length) else 0) + 2)
-    level = np.searchsorted(table[:, 0], levels)
-    return Edges(table[:, 1], table[:, 2], table[:, 0], table[:, 3], level), length
 
+    def marked(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of the chosen runs, each with the mark before it."""
+        length = self.length[chosen] + 1
+        begin = np.cumsum(length) - length
+        at = np.repeat(self.first[chosen] - 1 - begin, length) + np.arange(length.sum())
+        code = self.code[at]
+        code[begin] = ord(MARK)
+        return code.astype(np.uint64), length
 
-def forward(edges: Edges, length: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward sums by word, place and language, and the log of their scale.
 
-    All words advance by one character at a time. A word is rescaled at every place by
-    its largest sum among the places that later pieces can start from, so that neither
-    long words nor rare pieces underflow.
-    """
-    longest = int(length.max()) if len(length) else 0
-    n_words, n_langs = len(length), prob.shape[1]
-    alpha = np.zeros((n_words, longest + 1, n_langs))
-    scale = np.zeros((n_words, longest + 1))
-    alpha[:, 0] = 1.0
-    shift = np.zeros(n_words)
-    for at in range(1, longest + 1):
-        low, high = edges.level[at - 1], edges.level[at]
-        word, begin = edges.word[low:high], edges.begin[low:high]
-        past = np.exp(scale[word, begin] - shift[word])[:, None]
-        terms = alpha[word, begin] * prob[edges.piece[low:high]] * past
-        for lang in range(n_langs):
-            alpha[:, at, lang] = np.bincount(word, terms[:, lang], n_words)
-        peak = alpha[:, at].max(axis=1)
-        live = peak > 0
-        alpha[live, at] /= peak[live, None]
-        alpha[:, at] = np.maximum(alpha[:, at], 1e-290)
-        shift = shift + np.log(np.where(live, peak, 1.0))
-        scale[:, at] = shift
-    return alpha, scale
-
-
-def expected_counts(
-    edges: Edges, length: np.ndarray, weight: np.ndarray, prob: np.ndarray
-) -> np.ndarray:
-    """How often each piece is used over all segmentations of the words, for one language."""
-    alpha, scale = forward(edges, length, prob)
-    n_words, longest = len(length), alpha.shape[1] - 1
-    alpha, p = alpha[:, :, 0], prob[:, 0]
-    total = np.log(alpha[np.arange(n_words), length]) + scale[np.arange(n_words), length]
-    beta = np.full((n_words, longest + 1), -np.inf)
-    beta[np.arange(n_words), length] = 0.0
-    counts = np.zeros(len(p))
-    log_p = np.log(p)
-    order = np.argsort(edges.begin, kind="stable")[::-1]
-    bounds = np.searchsorted(-edges.begin[order], -np.arange(longest, -1, -1), "right")
-    low = 0
-    for begin, high in zip(range(longest, -1, -1), bounds):
-        at = order[low:high]
-        low = high
-        if not len(at):
-            continue
-        word, ahead = edges.word[at], log_p[edges.piece[at]] + beta[edges.word[at], edges.end[at]]
-        here = np.exp(np.log(alpha[word, begin]) + scale[word, begin] + ahead - total[word])
-        counts += np.bincount(edges.piece[at], here * weight[word], len(p))
-        np.logaddexp.at(beta[:, begin], word, ahead)
-    return counts
+def letter_runs(words: Sequence[bytes]) -> Runs:
+    text = "\n" + b"\n".join(words).decode("utf-8", "replace").lower() + "\n"
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    letter = letters()[code]
+    change = np.diff(letter.astype(np.int8))
+    first = np.flatnonzero(change == 1) + 1
+    last = np.flatnonzero(change == -1) + 1
+    breaks = np.cumsum(code == 10)
+    return Runs(code, first, last - first, breaks[first] - 1)
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    every = (chr(i).isalpha() for i in range(0x110000))
+    return np.fromiter(every, bool, 0x110000)
 
 
 def training_words(docs: DataFrame) -> list[tuple[str, bytes, int]]:
     """The most frequent words of a sample of each language: language, word, count."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    # First within salted groups, since one language may hold most rows.
+    salted = Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(SALTS))).orderBy(*order)
+    whole = Window.partitionBy("lang").orderBy(*order)
     usable = (
         docs.select("doc_id", "lang", "text")
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -241,7 +281,9 @@ def training_words(docs: DataFrame) -> list[tuple[str, bytes, int]]:
     )
     chosen = (
         usable.select("doc_id", "lang")
-        .withColumn("_place", F.row_number().over(order))
+        .withColumn("_place", F.row_number().over(salted))
+        .filter(F.col("_place") <= SAMPLE_DOCS)
+        .withColumn("_place", F.row_number().over(whole))
         .filter(F.col("_place") <= SAMPLE_DOCS)
         .drop("_place")
     )
@@ -285,32 +327,33 @@ def training_words(docs: DataFrame) -> list[tuple[str, bytes, int]]:
 
 def fit(docs: DataFrame, vocabulary_path: str) -> Model:
     """Piece probabilities of every language in the labelled documents."""
-    number = {piece: i for i, piece in enumerate(vocabulary(vocabulary_path))}
     by_lang: dict[str, dict[str, int]] = {}
     for lang, word, n in training_words(docs):
-        by_lang.setdefault(lang, {})[MARK + word] = n
-    return learn(by_lang, number)
+        by_lang.setdefault(lang, {})[word] = n
+    return learn(by_lang, vocabulary(vocabulary_path))
 
 
-def learn(by_lang: dict[str, dict[str, int]], number: dict[str, int]) -> Model:
+def learn(by_lang: dict[str, dict[str, int]], vocabulary: Sequence[str]) -> Model:
     """Expectation maximisation from equal probabilities, smoothed by half a count."""
-    languages = sorted(by_lang)
-    prob = np.full((len(number) + 1, max(len(languages), 1)), 1.0 / (len(number) + 1))
+    languages, pieces = sorted(by_lang), Pieces.of(vocabulary)
+    prob = np.full((len(vocabulary) + 1, max(len(languages), 1)), 1.0 / (len(vocabulary) + 1))
     for column, lang in enumerate(languages):
-        words = sorted(by_lang[lang])
+        words = sorted(by_lang[lang], key=lambda w: (-len(w), w))
         weight = np.array([by_lang[lang][w] for w in words], float)
-        edges, length = lattice(words, number)
+        code = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32)
+        length = np.array([len(w) + 1 for w in words], np.int64)
+        lattice = Lattice.of(code.astype(np.uint64), length, pieces)
         for _ in range(ROUNDS):
-            counts = expected_counts(edges, length, weight, prob[:, column : column + 1]) + 0.5
+            counts = lattice.expected_counts(weight, prob[:, column]) + 0.5
             prob[:, column] = counts / counts.sum()
-    return Model(languages, number, prob)
+    return Model(languages, pieces, prob)
 
 
 def posterior(model: Model, texts: pa.Array) -> np.ndarray:
     """Posterior by text and language; a row of zeros where there are no letters."""
     words = C.words(texts)
     number, names = words.encode()
-    scores = model.score_words(names)[number].astype(np.float64)
+    scores = model.score_words(names)[number]
     total = np.zeros((len(number) + 1, scores.shape[1]))
     np.cumsum(scores, axis=0, out=total[1:])
     sums = total[words.first[1:]] - total[words.first[:-1]]
