@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adloom.llm import common as C
-from adloom.llm import bpe, language, packing, quality, toxicity
+from adloom.llm import bpe, language, packing, quality, substrings, suffixes, toxicity
 
 #: Vocabularies of public tokenizers; every operator takes such a path as a parameter.
 BPE_JSON, BPE_RANKS, PIECES = map(
@@ -38,12 +38,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs, PIECES))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(C.documents(spark, sf_dir, "doc_id", "text"))
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir, "doc_id", "text")
     labels = C.table(spark, sf_dir, "labels", "doc_id", "toxic")
     return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(C.documents(spark, sf_dir, "doc_id", "text"))
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir, "doc_id", "text")
     return bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN)
@@ -52,7 +60,9 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_language_id": language_id,
+    "op4_substring_dedup": substring_dedup,
     "op5_toxicity": toxicity_scores,
+    "op6_suffix_array_dedup": suffix_array_dedup,
     "op8_byte_bpe": bpe_round_trip,
     "op10_quality_rules": quality_rules,
 }
