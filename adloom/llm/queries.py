@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adloom.llm import common as C
-from adloom.llm import bpe, language, packing, quality, substrings, suffixes, toxicity
+from adloom.llm import (
+    bpe,
+    language,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    suffixes,
+    toxicity,
+)
 
 #: Vocabularies of public tokenizers; every operator takes such a path as a parameter.
 BPE_JSON, BPE_RANKS, PIECES = map(
@@ -52,6 +61,10 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(C.documents(spark, sf_dir, "doc_id", "text"))
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(C.documents(spark, sf_dir, "doc_id", "text"))
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir, "doc_id", "text")
     return bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN)
@@ -63,6 +76,7 @@ REGISTRY: dict[str, Query] = {
     "op4_substring_dedup": substring_dedup,
     "op5_toxicity": toxicity_scores,
     "op6_suffix_array_dedup": suffix_array_dedup,
+    "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_byte_bpe": bpe_round_trip,
     "op10_quality_rules": quality_rules,
 }
