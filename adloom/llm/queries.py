@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from adloom.llm import common as C
 from adloom.llm import (
     bpe,
+    extract,
+    fingerprint,
     language,
     packing,
     quality,
@@ -47,6 +49,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs, PIECES))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = C.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return extract.main_texts(pages, extract.fit(extract.labelled_pages()))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(C.documents(spark, sf_dir, "doc_id", "text"))
 
@@ -65,6 +72,10 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(C.documents(spark, sf_dir, "doc_id", "text"))
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(C.documents(spark, sf_dir, "doc_id", "text"))
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir, "doc_id", "text")
     return bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN)
@@ -73,11 +84,13 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_language_id": language_id,
+    "op3_html_extraction": html_extraction,
     "op4_substring_dedup": substring_dedup,
     "op5_toxicity": toxicity_scores,
     "op6_suffix_array_dedup": suffix_array_dedup,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_byte_bpe": bpe_round_trip,
+    "op9_document_fingerprints": document_fingerprints,
     "op10_quality_rules": quality_rules,
 }
 ORACLES: dict[str, str] = {}
