@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from adloom.llm import common as C
 
 #: Labelled documents of each class that are learned from, and the longest in characters.
-SAMPLE = 3000
+SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 #: Held-out documents: remainder of the id's checksum.
 MODULUS, HELD_OUT = 5, 0
@@ -115,6 +115,47 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(row.text, row.toxic) for row in rows.collect()]
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Words of the sampled texts, each with its bag of trained buckets."""
+
+    number: np.ndarray
+    first: np.ndarray
+    bucket: np.ndarray
+    begin: np.ndarray
+    #: One over the full size of each word's bag.
+    weight: np.ndarray
+
+    def entries(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Buckets and their shares in the average of each run of words, and run starts."""
+        size = high - low
+        at, run = spread(low, size)
+        word = self.number[at]
+        bag = self.begin[word + 1] - self.begin[word]
+        place, entry = spread(self.begin[word], bag)
+        share = np.repeat(self.weight[word] / np.repeat(np.maximum(size, 1), size), bag)
+        return self.bucket[place], share.astype(np.float32), entry[run]
+
+    def word_values(self, by_bucket: np.ndarray) -> np.ndarray:
+        return sums(by_bucket[self.bucket], self.begin) * self.weight
+
+
+def corpus(texts: Sequence[str]) -> Corpus:
+    words = C.words(pa.array(texts, pa.string()))
+    number, names = words.encode()
+    parts = [subwords(names[i : i + 20_000]) for i in range(0, len(names), 20_000)]
+    bucket = np.concatenate([p.bucket.astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
+    size = np.concatenate([np.diff(p.begin) for p in parts] or [np.zeros(0, np.int64)])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    whole = Corpus(number.astype(np.int32), words.first, bucket, begin, 1.0 / np.maximum(size, 1))
+    met = np.zeros(1 << BITS, np.int64)
+    for a, b in zip(words.first[:-1], words.first[1:]):
+        met[np.unique(whole.entries(np.array([a]), np.array([b]))[0])] += 1
+    keep = (met >= LEAST_TEXTS)[bucket]
+    before = np.concatenate(([0], np.cumsum(keep)))
+    return Corpus(whole.number, words.first, bucket[keep], before[begin], whole.weight)
+
+
 def fit(rows: Sequence[tuple[str, int]]) -> Model:
     """Train table and softmax together by Adam on small batches; the seed is fixed.
 
@@ -124,11 +165,9 @@ def fit(rows: Sequence[tuple[str, int]]) -> Model:
     label = np.array([toxic for _, toxic in rows], np.int64)
     if not label.any() or label.all():
         return Model(np.zeros(1 << BITS), 0.0)
-    parts = [bucket_shares(t, whole) for whole in (True, False) for t in grouped(rows)]
-    half = len(parts) // 2
-    whole, window = (joined(group) for group in (parts[:half], parts[half:]))
-    usable = np.bincount(whole.bucket, minlength=1 << BITS) >= LEAST_TEXTS
-    whole, window = whole.restricted(usable), window.restricted(usable)
+    known = corpus([text for text, _ in rows])
+    usable = np.zeros(1 << BITS, bool)
+    usable[known.bucket] = True
     rng = np.random.default_rng(7)
     table = rng.normal(0, 0.02, (1 << BITS, DIM)).astype(np.float32)
     table[~usable] = 0.0
@@ -137,26 +176,26 @@ def fit(rows: Sequence[tuple[str, int]]) -> Model:
     params = (table, out, bias)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     kind_weight = 0.5 * len(label) / np.bincount(label, minlength=2)
+    begin, owner = windows(known.first)
     step, n_steps = 0, EPOCHS * -(-len(rows) // BATCH)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(rows))
-        source, places = whole, np.arange(len(rows))
+        low, high = known.first[:-1], known.first[1:]
         if epoch >= WHOLE_EPOCHS:
-            toward = (table @ (out[:, 1] - out[:, 0]))[window.bucket]
-            logit = sums(toward * window.share, window.begin)
-            source, places = window, worst(logit, window.owner, len(rows))
+            value = known.word_values(table @ (out[:, 1] - out[:, 0]))[known.number]
+            picked = worst(sums(value, begin) / np.maximum(np.diff(begin), 1), owner, len(rows))
+            low, high = begin[picked], begin[picked + 1]
         for first in range(0, len(order), BATCH):
             chosen = order[first : first + BATCH]
-            at, begin = source.rows(places[chosen])
-            bucket, share = source.bucket[at], source.share[at]
+            bucket, share, runs = known.entries(low[chosen], high[chosen])
             step += 1
-            hidden = GAIN * sums(table[bucket] * share[:, None], begin)
+            hidden = GAIN * sums(table[bucket] * share[:, None], runs)
             logits = hidden @ out + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
             prob[np.arange(len(chosen)), label[chosen]] -= 1.0
             error = prob * kind_weight[label[chosen], None] / len(chosen)
-            back = np.repeat(GAIN * error @ out.T, np.diff(begin), axis=0) * share[:, None]
+            back = np.repeat(GAIN * error @ out.T, np.diff(runs), axis=0) * share[:, None]
             table_grad = np.stack(
                 [np.bincount(bucket, back[:, k], 1 << BITS) for k in range(DIM)], axis=1
             )
@@ -171,48 +210,12 @@ def fit(rows: Sequence[tuple[str, int]]) -> Model:
     return Model(weight, float(bias[1] - bias[0]))
 
 
-def grouped(rows: Sequence[tuple[str, int]], size: int = 100) -> list[list[str]]:
-    return [[t for t, _ in rows[i : i + size]] for i in range(0, len(rows), size)]
-
-
-@dataclass(frozen=True)
-class Shares:
-    """Sparse rows: buckets with their share in an average of averages, by text or window."""
-
-    bucket: np.ndarray
-    share: np.ndarray
-    begin: np.ndarray
-    #: Number of the text that each row belongs to.
-    owner: np.ndarray
-
-    def restricted(self, usable: np.ndarray) -> Shares:
-        keep = usable[self.bucket]
-        before = np.concatenate(([0], np.cumsum(keep)))
-        return Shares(self.bucket[keep], self.share[keep], before[self.begin], self.owner)
-
-    def rows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the chosen rows' entries, and where each row begins among them."""
-        return spread(self.begin[chosen], self.begin[chosen + 1] - self.begin[chosen])
-
-
 def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Consecutive numbers from each ``first`` on, and where each run begins."""
     begin = np.concatenate(([0], np.cumsum(size)))
     return np.repeat(first - begin[:-1], size) + np.arange(begin[-1]), begin
 
 
-def joined(parts: Sequence[Shares]) -> Shares:
-    lengths = [len(p.bucket) for p in parts]
-    texts = [int(p.owner.max(initial=-1)) + 1 for p in parts]
-    entries, owners = np.cumsum([0, *lengths]), np.cumsum([0, *texts])
-    return Shares(
-        np.concatenate([p.bucket for p in parts]),
-        np.concatenate([p.share for p in parts]),
-        np.concatenate([*(p.begin[:-1] + e for p, e in zip(parts, entries)), entries[-1:]]),
-        np.concatenate([p.owner + o for p, o in zip(parts, owners)]),
-    )
-
-
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the windows of texts begin, and the text of each.
 
@@ -232,29 +235,6 @@ def worst(logit: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
     return order[np.searchsorted(owner[order], np.arange(n_texts))]
 
 
-def bucket_shares(texts: Sequence[str], whole: bool) -> Shares:
-    """Shares by text, or by window."""
-    words = C.words(pa.array(texts, pa.string()))
-    number, names = words.encode()
-    bags = subwords(names)
-    bag = np.diff(bags.begin)
-    begin, owner = windows(words.first)
-    if whole:
-        begin, owner = words.first, np.arange(len(texts))
-    size = np.diff(begin)
-    row = np.repeat(np.arange(len(size)), size)
-    pair, often = np.unique(row * np.int64(max(len(names), 1)) + number, return_counts=True)
-    row, word = pair // max(len(names), 1), pair % max(len(names), 1)
-    at, _ = spread(bags.begin[word], bag[word])
-    share = np.repeat(often / size[row] / bag[word], bag[word])
-    key, group = np.unique(
-        np.repeat(row, bag[word]) << BITS | bags.bucket[at], return_inverse=True
-    )
-    share = np.bincount(group, share, len(key)).astype(np.float32)
-    edges = np.searchsorted(key >> BITS, np.arange(len(size) + 1))
-    return Shares((key & ((1 << BITS) - 1)).astype(np.int32), share, edges, owner)
-
-
 def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows; zero for none."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
