@@ -2,8 +2,9 @@
 
 Rules are matched case-insensitively, ``.`` and negated brackets stop at newlines,
 and of all matches at the leftmost place the longest counts. Spark's engine takes
-the first alternative instead, so patterns with a bounded set of shapes are written
-out as alternatives in order of falling length.
+the first alternative instead, so patterns with a small set of shapes are written out
+as alternatives in order of falling length. For other patterns with a choice the engine
+only tells which texts match, and an engine with the longest-match rule reads those.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ import functools
 import itertools
 import operator
 import re
-import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode case folding, line mode, and newline as the only line end.
 FLAGS = "(?iumd)"
+# Shapes that are written out; more of them are resolved on matched texts instead.
 MAX_SHAPES = 256
 # One common literal of this length is selective enough; otherwise the texts that a
 # match can be made of are told apart, up to a number of them.
@@ -207,6 +210,8 @@ class Pattern:
     source: str
     java: str
     factors: tuple[str, ...]
+    #: Where the longest match can't be written out: the pattern that resolves it.
+    open_ended: str | None = None
 
     @staticmethod
     def compile(source: str) -> Pattern:
@@ -214,18 +219,13 @@ class Pattern:
         shape = reader.alternation()
         if reader.at != len(source):
             raise ValueError(f"unbalanced group in pattern {source!r}")
-        java = shape.java
+        java, exact = shape.java, True
         if reader.alternatives or reader.variable > 1:
-            if shape.forms is None:
-                warnings.warn(
-                    f"pattern {source!r}: the text reported for a match may be shorter"
-                    " than the longest one; the verdict is not affected",
-                    stacklevel=2,
-                )
-            else:
+            exact = shape.forms is not None
+            if exact:
                 widest = sorted(dict.fromkeys(shape.forms), key=lambda form: -form[0])
                 java = "|".join(form for _, form in widest)
-        return Pattern(source, FLAGS + java, _factors(shape))
+        return Pattern(source, FLAGS + java, _factors(shape), None if exact else shape.java)
 
     def found(self, text: Column, folded: Column | None = None) -> Column:
         """The first match in its original case, or null.
@@ -237,9 +237,37 @@ class Pattern:
         if folded is not None and self.factors:
             gate = functools.reduce(operator.or_, (folded.contains(f) for f in self.factors))
             hit = gate & hit
+        if self.open_ended is not None:
+            # Only texts with a match leave the JVM.
+            return _longest(self.open_ended)(F.when(hit, text))
         return F.when(hit, F.regexp_extract(text, self.java, 0))
 
 
+# Classes and anchors that the two engines write differently.
+_OTHER_NAMES = {r"\p{Cntrl}": r"\p{Cc}", r"\p{Graph}": "[:graph:]", r"\p{Print}": "[:print:]",
+                r"\p{Punct}": "[:punct:]", r"\z": r"\Z"}
+
+
+def _longest(java: str) -> Callable[[Column], Column]:
+    """The leftmost-longest match of texts that are known to have one."""
+    for one, other in _OTHER_NAMES.items():
+        java = java.replace(one, other)
+
+    @F.arrow_udf("string")
+    def resolve(texts: pa.Array) -> pa.Array:
+        import regex
+
+        exact = regex.compile(java, regex.POSIX | regex.IGNORECASE | regex.MULTILINE)
+
+        def first(text: str | None) -> str | None:
+            found = exact.search(text) if text is not None else None
+            return found[0] if found else None
+
+        return pa.array((first(text.as_py()) for text in texts), pa.string())
+
+    return resolve
+
+
 def _factors(shape: Shape) -> tuple[str, ...]:
     """Texts one of which is in every match; nothing if there are none of use."""
     common = max(_foldable(shape.plain), key=len, default="")

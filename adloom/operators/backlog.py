@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from adloom.operators.skew import broadcast_if
 
-# Sizes of one collect run, and the default recency window.
-KNOWN = 299
-BACKLOG = 999
+# Fixed value: the default recency window.
 HOURS = 24
 
 
@@ -24,27 +22,39 @@ def _top(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def recently_fetched(content: DataFrame, limit: int | None = KNOWN) -> DataFrame:
+def recently_fetched(content: DataFrame, limit: int | None = None) -> DataFrame:
     """Urls of the newest content."""
     return _top(content.select("url", "ts"), limit, F.desc("ts"), "url").select("url")
 
 
-def pending(url: DataFrame, content: DataFrame, limit: int | None = BACKLOG) -> DataFrame:
-    """Urls without content and not yet visited, oldest first."""
+def pending(
+    url: DataFrame,
+    content: DataFrame,
+    limit: int | None = None,
+    attempts: DataFrame | None = None,
+) -> DataFrame:
+    """Urls without content and not yet visited, the oldest of them with a limit.
+
+    ``attempts`` (``url``, ``attempts``) puts urls that were tried before behind others.
+    """
     waiting = (
         url.filter(F.col("visited") != 1)
         .select("url", "ts")
         .join(content.select("url"), "url", "left_anti")
     )
-    return _top(waiting, limit, "ts", "url")
+    if attempts is None or limit is None:
+        return _top(waiting, limit, "ts", "url")
+    tried = waiting.join(attempts, "url", "left")
+    order = (F.coalesce("attempts", F.lit(0)), "ts", "url")
+    return _top(tried, limit, *order).select("url", "ts")
 
 
-def new_urls(backlog: DataFrame, known: DataFrame, bound: int | None = KNOWN) -> DataFrame:
+def new_urls(backlog: DataFrame, known: DataFrame, bound: int | None = None) -> DataFrame:
     """Backlog minus known urls; ``bound`` is the row bound of ``known``."""
     return backlog.join(broadcast_if(known.select("url"), bound), "url", "left_anti")
 
 
-def advice(backlog: DataFrame, known: DataFrame, bound: int | None = KNOWN) -> DataFrame:
+def advice(backlog: DataFrame, known: DataFrame, bound: int | None = None) -> DataFrame:
     """One row: counts of backlog and new urls, and what they say about progress."""
     flagged = backlog.join(
         broadcast_if(known.select("url", F.lit(True).alias("known")), bound), "url", "left"

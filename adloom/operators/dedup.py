@@ -8,23 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import text as X
-from adloom.operators.skew import broadcast_if, join_groups
-
-# Fixed value: how many of the newest signatures new content is compared with.
-SNAPSHOT = 1000
+from adloom.operators.skew import broadcast_if
 
 
 def with_signature(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("sig", X.signature(F.col(content)))
 
 
-def recent_signatures(dupe: DataFrame, limit: int | None = SNAPSHOT) -> DataFrame:
-    """The newest signatures; ties go to the smaller signature."""
+def recent_signatures(dupe: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest signatures, all without a limit; ties go to the smaller signature."""
     chosen = dupe.select("sig", "recent_url", "ts")
     return chosen if limit is None else chosen.orderBy(F.desc("ts"), "sig").limit(limit)
 
 
-def admit(rows: DataFrame, snapshot: DataFrame, limit: int | None = SNAPSHOT) -> DataFrame:
+def admit(rows: DataFrame, snapshot: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows whose signature is not in the snapshot.
 
     The snapshot is what was known before the batch, so equal rows within one
@@ -34,7 +31,7 @@ def admit(rows: DataFrame, snapshot: DataFrame, limit: int | None = SNAPSHOT) ->
     return rows.join(known, "sig", "left_anti")
 
 
-def duplicates(rows: DataFrame, snapshot: DataFrame, limit: int | None = SNAPSHOT) -> DataFrame:
+def duplicates(rows: DataFrame, snapshot: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows dropped by :func:`admit`, with the url the signature was last seen at."""
     known = broadcast_if(snapshot.select("sig", "recent_url"), limit)
     return rows.join(known, "sig")
@@ -55,18 +52,15 @@ def keep_one(rows: DataFrame, key: Sequence[str], order: Sequence[str], last: bo
     return kept.select(*key, "_row.*").select(*rows.columns)
 
 
-def admit_batches(rows: DataFrame, row_id: str, batch: str = "batch") -> DataFrame:
+def admit_batches(rows: DataFrame, batch: str = "batch") -> DataFrame:
     """What batch-by-batch admission keeps of a whole table, in one pass.
 
     A signature is admitted by the first batch that holds it and known to all
     later ones. Equal to admitting the batches in turn against all signatures so
-    far; use the state tables where the snapshot bound must take effect.
+    far. The rows of a signature spread over its batches.
     """
-    groups = rows.groupBy("sig").agg(
-        F.min(batch).alias("_first"), F.count(F.lit(1)).alias("_size")
-    )
-    joined = join_groups(rows, groups, "sig", "_size", row_id)
-    return joined.filter(F.col(batch) == F.col("_first")).drop("_first", "_size")
+    first = rows.groupBy("sig").agg(F.min(batch).alias(batch))
+    return rows.join(first, ["sig", batch], "left_semi")
 
 
 def clusters(rows: DataFrame, key: str, row_id: str) -> DataFrame:

@@ -41,11 +41,20 @@ def parse(
     )
 
 
-def page_text(
+def outcomes(
     pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES, html: str = "html"
 ) -> DataFrame:
-    """Pages with ``content`` instead of ``html``; pages that failed to parse are gone."""
-    parsed = parse(pages, axes, html)
-    return parsed.filter(F.col("error").isNull() & F.col("nodes").isNotNull()).select(
-        *(c for c in pages.columns if c != html), compose(F.col("nodes")).alias("content")
+    """Pages with ``content`` and ``error`` instead of ``html``; one of the two is null."""
+    ok = F.col("error").isNull() & F.col("nodes").isNotNull()
+    return parse(pages, axes, html).select(
+        *(c for c in pages.columns if c != html),
+        F.when(ok, compose(F.col("nodes"))).alias("content"),
+        F.when(~ok, F.coalesce("error", F.lit("no body"))).alias("error"),
     )
+
+
+def page_text(
+    pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES, html: str = "html"
+) -> DataFrame:
+    """Pages with ``content`` instead of ``html``; :func:`outcomes` has those that failed."""
+    return outcomes(pages, axes, html).filter(F.col("error").isNull()).drop("error")

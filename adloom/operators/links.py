@@ -55,6 +55,15 @@ def all_hrefs(
     return found.select(*rest, "selector_no", F.posexplode("hrefs").alias("pos", "href"))
 
 
+def failures(
+    pages: DataFrame, selectors: Sequence[H.Selector] = H.LISTING_LINKS, html: str = "html"
+) -> DataFrame:
+    """``url`` and ``error`` of the pages in which links could not be looked for."""
+    gated = F.when(_may_match(F.col(html), selectors), F.col(html))
+    found = pages.select("url", H.links(gated, selectors).alias("found"))
+    return found.select("url", F.col("found.error").alias("error")).filter("error IS NOT NULL")
+
+
 def hrefs(pages: DataFrame, selector: H.Selector, html: str = "html") -> DataFrame:
     """Hits of one selector: page columns, ``pos`` and ``href``."""
     return all_hrefs(pages, (selector,), html).drop("selector_no")

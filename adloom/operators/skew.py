@@ -1,87 +1,39 @@
-"""Size-checked broadcasts and a join that survives hot keys."""
+"""Broadcasts of a measured size. All other joins are left to adaptive execution, which
+splits the side that a hot key makes large."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one narrow table that may go to every executor.
+# What one narrow table may have to go to every executor.
 BROADCAST_ROWS = 10_000
-HOT_KEYS = 1_000
-SALTS = 64
+BROADCAST_BYTES = 4 << 20
 
 
 def broadcast_if(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Hint a broadcast only if the known row bound is small; else Spark decides."""
+    """Hint a broadcast of rows of fixed width if their bound is small."""
     if row_bound is not None and row_bound <= BROADCAST_ROWS:
         return F.broadcast(df)
     return df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
-    """Join rows to their own group's aggregate, one row per ``key`` in ``groups``.
-
-    ``size`` is the group's row count and ``spread`` a column of ``rows`` that
-    differs between rows. The largest groups, a bounded number, are found from the
-    aggregate and broadcast; their rows are salted so that no task gets a whole
-    hot group. Any other group holds less than one row in ``HOT_KEYS``.
-    """
-    # Both uses of the aggregate refer to all its columns, so that it runs once.
-    others = [c for c in groups.columns if c not in (key, size)]
-    groups = groups.filter(F.col(size) > 0)
-    hot = F.broadcast(
-        groups.filter(F.col(size) > SALTS)
-        .orderBy(F.desc(size), key, *others)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    salted_rows = rows.join(hot, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0),
-    )
-    salted_groups = groups.join(hot, key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    return salted_rows.drop("_hot").join(salted_groups.drop("_hot"), [key, "_salt"]).drop("_salt")
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join of rows to a table with one row per ``key``, safe for hot keys.
-
-    The most frequent keys of ``rows``, a bounded number, are served by a broadcast
-    of their table rows; only rows of other keys are shuffled. ``rows`` is read three
-    times, so it should be a table or cheap to derive from one.
-    """
-    hot = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .orderBy(F.desc("_size"), key)
-        .limit(HOT_KEYS)
-        .select(key)
-    )
-    hot_rows = rows.join(F.broadcast(hot), key, "left_semi")
-    hot_table = table.join(F.broadcast(hot), key, "left_semi")
-    cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
-    return hot_rows.join(F.broadcast(hot_table), key, "left").unionByName(
-        cold_rows.join(table, key, "left")
-    )
+def is_small(df: DataFrame, column: str) -> bool:
+    """Whether a table's texts in one column are few and short; reads that column once."""
+    n, size = df.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))
+    ).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def without_known(
-    incoming: DataFrame, known: DataFrame, key: str, bound: int | None
-) -> DataFrame:
+def without_known(incoming: DataFrame, known: DataFrame, key: str, small: bool) -> DataFrame:
     """Incoming rows, one per key, whose key is not in a table of any size.
 
-    With few incoming rows (``bound``, counted beforehand) the table is only
-    scanned for them; otherwise both sides are shuffled.
+    A small set of incoming rows (see :func:`is_small`) is looked for in the table
+    without shuffling it; otherwise both sides are shuffled.
     """
     keys = known.select(key)
-    if bound is not None and bound <= BROADCAST_ROWS:
+    if small:
         found = keys.join(F.broadcast(incoming.select(key)), key, "left_semi")
         keys = F.broadcast(found.distinct())
     return incoming.join(keys, key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.dedup import keep_one
-from adloom.operators.skew import lookup, without_known
+from adloom.operators.skew import without_known
 
 
 def new_rows(
@@ -39,14 +39,14 @@ def upsert_replace(
 
 
 def store_urls(
-    current: DataFrame, urls: DataFrame, ts: Column, bound: int | None = None
+    current: DataFrame, urls: DataFrame, ts: Column, small: bool = False
 ) -> DataFrame:
     """Unknown urls as unvisited rows of the url table; combined before the shuffle.
 
-    ``bound`` is the number of given urls, where it is known.
+    ``small`` tells that the given urls were measured and may be broadcast.
     """
     distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct()
-    return without_known(distinct, current, "url", bound).select(
+    return without_known(distinct, current, "url", small).select(
         "url", ts.alias("ts"), F.lit(0).alias("visited")
     )
 
@@ -81,6 +81,6 @@ def mark_visited(current: DataFrame, keys: DataFrame) -> DataFrame:
 def visited_counts(current: DataFrame, keys: DataFrame) -> DataFrame:
     """Per given url, the number of rows its update touches: 0 or 1."""
     known = current.select("url", F.lit(1).alias("_known"))
-    return lookup(keys, known, "url").select(
+    return keys.join(known, "url", "left").select(
         *keys.columns, F.coalesce("_known", F.lit(0)).alias("changed")
     )

@@ -28,15 +28,17 @@ TOPIC_A = RuleSet(
     ("queaux", "th(ing|er)ly", "[e|é]chan", "ciónes", "gelich"),
     ("casino", "@mail[0-9]?", "[0-9]{16}"),
 )
+# Rules in which the longest match is not that of the first alternative.
+TOPIC_C = RuleSet("topic_c", ("(th|the|there)(a|at|ation)?", "(q|qu|que)*aux"), ("(a|an|and)+t",))
+# The same rules as a file.
+RULE_FILE = '(["(th|the|there)(a|at|ation)?", "(q|qu|que)*aux"], ["(a|an|and)+t"])'
 TOPIC_B = RuleSet("topic_b", ("licen[s|c]e", "queaux"), ("@mail[0-9]?",))
 
 ADS = "https://ads.example.org/"
-# Ages repeat after fifty years, so that ids of any size give a valid time.
-_MINUTES = 50 * 365 * 24 * 60
 
 
 def minutes_ago(minutes: Column) -> Column:
-    return timestamp(AS_OF) - F.expr("INTERVAL '1' MINUTE") * (minutes % _MINUTES)
+    return timestamp(AS_OF) - F.expr("INTERVAL '1' MINUTE") * minutes
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,15 @@ def content_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def titles_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of all pages, one row a page: its raw title."""
+    return pages(spark, sf_dir).select(
+        "url",
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("content"),
+        minutes_ago(F.col("page_id") * 17).alias("ts"),
+    )
+
+
 def ad_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as collected ads: id, url, content, time."""
     return documents(spark, sf_dir).select(
@@ -102,8 +113,28 @@ def new(ads: DataFrame) -> DataFrame:
     return ads.filter(F.col("ts") >= timestamp(SPLIT))
 
 
+def even(ads: DataFrame) -> DataFrame:
+    return ads.filter(F.col("doc_id") % 2 == 0)
+
+
+def odd(ads: DataFrame) -> DataFrame:
+    return ads.filter(F.col("doc_id") % 2 != 0)
+
+
 def ad_pages(ads: DataFrame) -> DataFrame:
-    """Ads as pages in the markup that the default axes select from."""
+    """Ads as pages in the markup that the default axes select from.
+
+    Every axis finds something in some ads: an attribute table in those with an even id,
+    and the text of the second site in every third. Neither has letters, so that copies
+    keep equal signatures.
+    """
+    doc_id = F.col("doc_id").cast("string")
+    table = F.concat(
+        F.lit("<table id='attributeTable'><tr><td>2024</td><td> "),
+        doc_id,
+        F.lit(" (+) </td></tr></table>"),
+    )
+    second = F.concat(F.lit("<div class='col-md-8'>+48 <i>"), doc_id, F.lit(" 000</i></div>"))
     escaped = F.replace(
         F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")
     )
@@ -113,7 +144,10 @@ def ad_pages(ads: DataFrame) -> DataFrame:
         F.concat(
             F.lit("<html><head><title>Listing</title></head><body><span class='pre'>"),
             escaped,
-            F.lit("</span></body></html>"),
+            F.lit("</span>"),
+            F.when(F.col("doc_id") % 2 == 0, table).otherwise(""),
+            F.when(F.col("doc_id") % 3 == 0, second).otherwise(""),
+            F.lit("</body></html>"),
         ).alias("html"),
     )
 

@@ -15,8 +15,9 @@ from adloom.operators import classify as C
 from adloom.operators import dedup as D
 from adloom.operators import extract, report, upsert
 from adloom.operators.links import absolute_links
-from adloom.operators.skew import BROADCAST_ROWS
+from adloom.operators.skew import broadcast_if, is_small
 from adloom.plans.state import Run, StateStore
+from adloom.session import shared_dir
 from adloom.sources.pages import route
 from adloom.sources.rules import RuleSet
 
@@ -26,8 +27,12 @@ class Collected:
     """What a collect run did: stored content, and audits of the rest."""
 
     content: DataFrame
+    #: Urls left out with their signature, and where it was seen last.
     duplicates: DataFrame
+    #: Urls that gave no text, with the reason: refused pages, and pages not parsed.
     rejects: DataFrame
+    #: Texts that were read, stored or not.
+    read: DataFrame
     advice: DataFrame | None = None
 
 
@@ -46,11 +51,12 @@ def browse(
     selectors: Sequence[H.Selector] = H.LISTING_LINKS,
 ) -> DataFrame:
     """Links of listing pages into the queue; returns the urls that are new."""
+    store.claim(run)
     hits = links(pages, selectors).select(F.col("link").alias("url"))
-    # Written before it is counted and used, so that pages are parsed once.
+    # Written before it is measured and used, so that pages are parsed once.
     found = store.write("found", hits.distinct(), run.id)
     known = store.log("url", before=run.id)
-    new = upsert.store_urls(known, found, B.timestamp(run.as_of), bound=found.count())
+    new = upsert.store_urls(known, found, B.timestamp(run.as_of), is_small(found, "url"))
     return store.write("url", new, run.id)
 
 
@@ -59,32 +65,41 @@ def collect(
     pages: DataFrame,
     run: Run,
     axes: Sequence[H.Selector] = H.AD_AXES,
-    limit: int | None = B.BACKLOG,
-    snapshot: int | None = D.SNAPSHOT,
+    limit: int | None = None,
+    snapshot: int | None = None,
+    known: int | None = None,
     retry_failed: bool = False,
     within_batch: bool = False,
 ) -> Collected:
     """Text of queued pages into the content table, near-duplicates left out.
 
-    All urls taken from the queue are closed afterwards, found or not, unless
-    ``retry_failed`` keeps those without a usable page open.
+    All urls are taken from the queue and compared with all known signatures, unless
+    ``limit`` takes up the oldest urls only and ``snapshot`` compares with the newest
+    signatures only; ``known`` leaves out the urls fetched last. All urls taken are
+    closed afterwards, found or not, unless ``retry_failed`` keeps those without a
+    usable page open; then urls tried less often come first.
     """
+    store.claim(run)
     content = store.log("content", before=run.id).drop("run")
     waiting = (
         store.log("url", upto=run.id)
         .join(store.log("visited", before=run.id).select("url"), "url", "left_anti")
         .select("url", "ts", F.lit(0).alias("visited"))
     )
-    queue = store.write("backlog", B.pending(waiting, content, limit), run.id)
-    known = B.recently_fetched(content)
-    fetched = _pages_of(pages, B.new_urls(queue, known), limit)
-    done = _store_pages(store, fetched, run, axes, snapshot, within_batch)
+    attempts = None
+    if retry_failed:
+        tried = store.log("backlog", before=run.id)
+        attempts = tried.groupBy("url").agg(F.count(F.lit(1)).alias("attempts"))
+    queue = store.write("backlog", B.pending(waiting, content, limit, attempts), run.id)
+    fetched_last = B.recently_fetched(content, known)
+    wanted = queue if known is None else B.new_urls(queue, fetched_last, known)
+    done = _store_pages(store, pages, run, axes, snapshot, within_batch, wanted, limit)
     closed = queue
     if retry_failed:
-        usable, _ = route(fetched)
-        closed = queue.join(usable.select("url"), "url", "left_semi")
+        closed = queue.join(done.read.select("url"), "url", "left_semi")
     store.write("visited", closed.select("url"), run.id)
-    return Collected(done.content, done.duplicates, done.rejects, B.advice(queue, known))
+    advice = B.advice(queue, fetched_last, known)
+    return Collected(done.content, done.duplicates, done.rejects, done.read, advice)
 
 
 def collect_pages(
@@ -92,28 +107,36 @@ def collect_pages(
     pages: DataFrame,
     run: Run,
     axes: Sequence[H.Selector] = H.AD_AXES,
-    snapshot: int | None = D.SNAPSHOT,
+    snapshot: int | None = None,
     within_batch: bool = False,
 ) -> Collected:
     """As :func:`collect` for pages that arrive by themselves, without a queue."""
+    store.claim(run)
     content = store.log("content", before=run.id)
-    fresh = one_per_url(pages).join(content.select("url"), "url", "left_anti")
+    fresh = pages.join(content.select("url"), "url", "left_anti")
     return _store_pages(store, fresh, run, axes, snapshot, within_batch)
 
 
-def _pages_of(pages: DataFrame, urls: DataFrame, bound: int | None) -> DataFrame:
-    """One page for each url. Few urls filter the pages before any shuffle; otherwise
-    pages are combined per task first, so that a page fetched over and over is small.
-    """
-    if bound is not None and bound <= BROADCAST_ROWS:
-        return one_per_url(pages.join(F.broadcast(urls), "url", "left_semi"))
-    return one_per_url(pages).join(urls, "url", "left_semi")
-
+def one_per_url(pages: DataFrame, urls: DataFrame | None = None, bound: int | None = None) -> DataFrame:
+    """The first page of every url, or of every given url, by ``page_id`` or else ``ts``.
 
-def one_per_url(pages: DataFrame) -> DataFrame:
-    """The first page of every url, by page id where there is one."""
-    order = "page_id" if "page_id" in pages.columns else "html"
-    return D.keep_one(pages, ["url"], [order], last=False)
+    The choice is made on narrow rows; the html of other pages is not shuffled. Few
+    given urls filter the pages before any shuffle.
+    """
+    order = next((c for c in ("page_id", "ts") if c in pages.columns), None)
+    if order is None:
+        raise ValueError("pages need page_id or ts, which tells the first page of a url")
+    if urls is not None:
+        pages = pages.join(broadcast_if(urls, bound), "url", "left_semi")
+    # Pages that share url and order too are told apart by their html.
+    pages = pages.withColumn("_html", F.xxhash64("html"))
+    first = pages.groupBy("url").agg(F.min(F.struct(order, "_html")).alias("_first"))
+    first = first.select("url", F.col("_first")[order].alias(order), F.col("_first._html").alias("_html"))
+    keys = ["url", order, "_html"]
+    chosen = pages.join(first, keys, "left_semi")
+    # Rows that are equal in all of these stand for one fetch.
+    others = [F.first(c).alias(c) for c in chosen.columns if c not in keys]
+    return chosen.groupBy(*keys).agg(*others).drop("_html")
 
 
 def _store_pages(
@@ -123,33 +146,38 @@ def _store_pages(
     axes: Sequence[H.Selector],
     limit: int | None,
     within_batch: bool,
+    urls: DataFrame | None = None,
+    bound: int | None = None,
 ) -> Collected:
-    usable, rejects = route(pages)
-    text = D.with_signature(
-        extract.page_text(usable.select("url", "html"), axes).withColumn(
-            "ts", B.timestamp(run.as_of)
-        )
+    usable, refused = route(pages)
+    if urls is not None:
+        refused = refused.join(broadcast_if(urls, bound), "url", "left_semi")
+    chosen = one_per_url(usable, urls, bound)
+    parsed = extract.outcomes(chosen.select("url", "html"), axes)
+    # Written once: content, duplicates, and failures are all read from here.
+    parsed = D.with_signature(parsed.withColumn("ts", B.timestamp(run.as_of)))
+    target = shared_dir(store.spark, "parsed")
+    parsed.write.parquet(target)
+    parsed = store.spark.read.schema(parsed.schema).parquet(target)
+    read = parsed.filter(F.col("error").isNull()).drop("error")
+    # Probed by narrow rows, so that a signature that many texts share moves no text.
+    signed = read.select("url", "sig", "ts")
+    repeated = signed.drop("ts").join(
+        store.snapshot(run.id, limit).select("sig", "recent_url"), "sig"
     )
-    known = store.snapshot(run.id, limit)
-    admitted = D.admit(text, known, limit)
+    admitted = signed.join(repeated.select("url"), "url", "left_anti")
     if within_batch:
         admitted = D.first_per_signature(admitted, ["ts", "url"])
-    # Written before it is used again, so that pages are parsed once.
-    content = store.write("content", admitted, run.id)
-    signed = D.with_signature(content).select("sig", F.col("url").alias("recent_url"), "ts")
-    new = D.keep_one(signed, ["sig"], ["ts", "recent_url"], last=True)
-    dupe = store.write("dupe", new, run.id)
-    _keep_recent(store, dupe, run)
-    return Collected(content, D.duplicates(text, known, limit), rejects)
-
-
-def _keep_recent(store: StateStore, new: DataFrame, run: Run) -> None:
-    """The newest signatures after the run, from those before it and the new ones."""
-    before = store.snapshot(run.id, D.SNAPSHOT)
-    replaced = new.select("sig").join(F.broadcast(before.select("sig")), "sig", "left_semi")
-    kept = before.join(F.broadcast(replaced), "sig", "left_anti")
-    newest = kept.unionByName(D.recent_signatures(new))
-    store.write("recent", D.recent_signatures(newest), run.id)
+    content = store.write(
+        "content", read.join(admitted.select("url"), "url", "left_semi"), run.id
+    )
+    named = admitted.select("sig", F.col("url").alias("recent_url"), "ts")
+    store.write("dupe", D.keep_one(named, ["sig"], ["ts", "recent_url"], last=True), run.id)
+    failed = parsed.select("url", F.concat(F.lit("not parsed: "), "error").alias("reason"))
+    failed = failed.filter(F.col("reason").isNotNull())
+    # A refused page counts only where its url has no usable one.
+    refused = refused.join(parsed.select("url"), "url", "left_anti")
+    return Collected(content, repeated, refused.unionByName(failed), read)
 
 
 def fetch(pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES) -> DataFrame:
@@ -165,6 +193,7 @@ def search(
     hours: int = B.HOURS,
 ) -> DataFrame:
     """Classify recent content and store what is liked; returns all verdicts."""
+    store.claim(run)
     recent = B.recent_content(
         store.log("content", upto=run.id).drop("run"), run.as_of, hours
     )
@@ -196,7 +225,7 @@ def run_cycle(
     pages: DataFrame,
     rule_sets: Sequence[RuleSet],
     run: Run,
-    limit: int | None = B.BACKLOG,
+    limit: int | None = None,
     hours: int = B.HOURS,
 ) -> DataFrame:
     """Browse, collect, search; returns the digest of liked content."""

@@ -10,14 +10,24 @@ EARLIER = f"TIMESTAMP '{T.EARLIER}'"
 SPLIT = f"TIMESTAMP '{T.SPLIT}'"
 CUTOFF = "TIMESTAMP '2024-01-30 00:00:00'"
 WINDOW = "TIMESTAMP '2024-01-28 12:34:56'"
-PERIOD = 50 * 365 * 24 * 60
 BLANK_SQL = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 SHOWN = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 NL = "chr(10)"
 
 
 def _ago(minutes: str) -> str:
-    return f"{AS_OF} - to_minutes(({minutes}) % {PERIOD})"
+    return f"{AS_OF} - to_minutes({minutes})"
+
+
+# The rules of topic C, with the alternatives written out by falling length.
+LONGEST_C = T.RuleSet(
+    "topic_c",
+    (
+        "thereation|theation|thation|thereat|therea|there|theat|that|thea|the|tha|th",
+        "(que|qu|q)*aux",
+    ),
+    ("(and|an|a)+t",),
+)
 
 
 def _letters(text: str) -> str:
@@ -95,14 +105,20 @@ ADS = f"""ads AS (
            {_ago("doc_id * 7")} AS ts, {_sig("text")} AS sig FROM documents
 )"""
 SNAPSHOT = f"""{ADS}, known AS (
-    SELECT sig, url AS recent_url, ts FROM ads WHERE ts < {SPLIT}
+    SELECT sig, url AS recent_url, ts FROM ads WHERE doc_id % 2 = 0
     QUALIFY row_number() OVER (PARTITION BY sig ORDER BY ts DESC, url DESC) = 1
-), snapshot AS (SELECT * FROM known ORDER BY ts DESC, sig LIMIT 1000)"""
-# Text of an ad page under the default axes: title, body, and two empty blocks.
+)"""
+TITLES_T = f"""titles_t AS (
+    SELECT url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS content,
+           {_ago("page_id * 17")} AS ts
+    FROM pages
+)"""
+# Text of an ad page under the default axes: title, body, attribute table, second site.
 AD_TEXT = (
     f"'Listing' || {NL} || {NL} || "
     + _lines("CASE WHEN length(content) > 3 THEN content ELSE '' END")
-    + f" || {NL} || {NL} || {NL}"
+    + f" || {NL} || CASE WHEN doc_id % 2 = 0 THEN '2024 ' || doc_id || ' (+)' || {NL} ELSE '' END"
+    + f" || {NL} || CASE WHEN doc_id % 3 = 0 THEN '+48 ' || doc_id || ' 000' || {NL} ELSE '' END || {NL}"
 )
 
 
@@ -168,23 +184,17 @@ def _digest(liked: str) -> str:
     )
 
 
-def _two_collects(limit: str) -> str:
-    """Both collect runs over ads: contents c1 and c2, queue b1 and b2, snapshot s1."""
-    return f"""{ADS}, texts AS (SELECT url, sig AS raw_sig, ts AS added, {AD_TEXT} AS content FROM ads),
-    b1 AS (SELECT url FROM texts WHERE added < {SPLIT} ORDER BY url {limit}),
+# Both collect runs over ads: contents c1 and c2, queue b1 and b2, signatures d1 and d2.
+COLLECTED = f"""{ADS}, texts AS (SELECT url, ts AS added, {AD_TEXT} AS content FROM ads),
     signed AS (SELECT url, content, added, {_sig("content")} AS sig FROM texts),
-    c1 AS (SELECT url, content, sig, {EARLIER} AS ts FROM signed SEMI JOIN b1 USING (url)),
+    c1 AS (SELECT url, content, sig, {EARLIER} AS ts FROM signed WHERE added < {SPLIT}),
     d1 AS (SELECT sig, max(url) AS recent_url FROM c1 GROUP BY sig),
-    s1 AS (SELECT * FROM d1 ORDER BY sig LIMIT 1000),
-    b2 AS (SELECT url FROM signed ANTI JOIN b1 USING (url) ORDER BY added >= {SPLIT}, url {limit}),
-    f2 AS (SELECT * FROM signed SEMI JOIN b2 USING (url)),
-    c2 AS (SELECT url, content, sig, {AS_OF} AS ts FROM f2 ANTI JOIN s1 USING (sig)),
+    f2 AS (SELECT * FROM signed WHERE added >= {SPLIT}),
+    c2 AS (SELECT url, content, sig, {AS_OF} AS ts FROM f2 ANTI JOIN d1 USING (sig)),
     d2 AS (SELECT sig, max(url) AS recent_url FROM c2 GROUP BY sig),
     collected AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
-    dupes AS (SELECT * FROM d2 UNION ALL SELECT * FROM d1 ANTI JOIN d2 USING (sig))"""
-
+    dupes AS (SELECT * FROM d2 UNION ALL SELECT * FROM d1)"""
 
-COLLECTED = _two_collects("")
 
 _PATH = "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)"
 _DIR = f"regexp_replace({_PATH}, '[^/]*$', '')"
@@ -290,50 +300,48 @@ ORACLES: dict[str, str] = {
             SELECT sig, url AS recent_url, ts FROM ads
             QUALIFY row_number() OVER (PARTITION BY sig ORDER BY ts DESC, url DESC) = 1)
         SELECT sig, recent_url, {SHOWN} FROM
-            (SELECT * FROM current ORDER BY ts DESC, sig LIMIT 1000)""",
+            (SELECT * FROM current ORDER BY ts DESC, sig LIMIT 50)""",
     "q_admit": f"""
         WITH {SNAPSHOT}
-        SELECT doc_id, sig FROM ads WHERE ts >= {SPLIT} AND sig NOT IN (SELECT sig FROM snapshot)""",
+        SELECT doc_id, sig FROM ads WHERE doc_id % 2 <> 0 AND sig NOT IN (SELECT sig FROM known)""",
     "q_dup_audit": f"""
         WITH {SNAPSHOT}
-        SELECT a.doc_id, a.url, a.sig, s.recent_url FROM ads a JOIN snapshot s USING (sig)
-        WHERE a.ts >= {SPLIT}""",
+        SELECT a.doc_id, a.url, a.sig, s.recent_url FROM ads a JOIN known s USING (sig)
+        WHERE a.doc_id % 2 <> 0""",
     "q_admit_strict": f"""
         WITH {SNAPSHOT}
-        SELECT doc_id, sig FROM ads WHERE ts >= {SPLIT} AND sig NOT IN (SELECT sig FROM snapshot)
+        SELECT doc_id, sig FROM ads WHERE doc_id % 2 <> 0 AND sig NOT IN (SELECT sig FROM known)
         QUALIFY row_number() OVER (PARTITION BY sig ORDER BY ts, doc_id) = 1""",
     "q_admit_batches": f"""
         WITH batches AS (SELECT doc_id, doc_id // 250 AS batch, {_sig("text")} AS sig FROM documents)
         SELECT doc_id, batch, sig FROM batches
         QUALIFY batch = min(batch) OVER (PARTITION BY sig)""",
     "q_recently_fetched": f"""
-        WITH {CONTENT_T} SELECT url FROM content_t ORDER BY ts DESC, url LIMIT 299""",
+        WITH {TITLES_T} SELECT url FROM titles_t ORDER BY ts DESC, url LIMIT 50""",
     "q_backlog": f"""
         WITH {URL_T}, {CONTENT_T}
         SELECT url, {SHOWN} FROM (
             SELECT url, ts FROM url_t WHERE visited <> 1 AND url NOT IN (SELECT url FROM content_t)
-            ORDER BY ts, url LIMIT 999)""",
+            ORDER BY ts, url LIMIT 50)""",
     "q_new_urls": f"""
         WITH {URL_T}, {CONTENT_T},
-        known AS (SELECT url FROM url_t WHERE contains(url, '#') ORDER BY ts DESC, url LIMIT 299),
+        known AS (SELECT url FROM url_t WHERE contains(url, '#')),
         queue AS (
-            SELECT url FROM url_t WHERE visited <> 1 AND url NOT IN (SELECT url FROM content_t)
-            ORDER BY ts, url LIMIT 999)
+            SELECT url FROM url_t WHERE visited <> 1 AND url NOT IN (SELECT url FROM content_t))
         SELECT url FROM queue WHERE url NOT IN (SELECT url FROM known)""",
     "q_backlog_advice": f"""
         WITH {URL_T}, {CONTENT_T},
-        known AS (SELECT url FROM url_t WHERE contains(url, '#') ORDER BY ts DESC, url LIMIT 299),
+        known AS (SELECT url FROM url_t WHERE contains(url, '#')),
         queue AS (
-            SELECT url FROM url_t WHERE visited <> 1 AND url NOT IN (SELECT url FROM content_t)
-            ORDER BY ts, url LIMIT 999),
+            SELECT url FROM url_t WHERE visited <> 1 AND url NOT IN (SELECT url FROM content_t)),
         counts AS (
             SELECT count(*) AS n_backlog,
                    count(*) FILTER (url NOT IN (SELECT url FROM known)) AS n_new FROM queue)
         SELECT n_backlog, n_new, CASE WHEN n_new = 0 THEN 'none' WHEN n_new = n_backlog
                THEN 'all new' ELSE 'some known' END AS advice FROM counts""",
     "q_recent_content": f"""
-        WITH {CONTENT_T} SELECT url, content, {SHOWN} FROM content_t
-        WHERE content_t.ts >= {CUTOFF}""",
+        WITH {TITLES_T} SELECT url, content, {SHOWN} FROM titles_t
+        WHERE titles_t.ts >= {CUTOFF}""",
     "q_mode_list": f"WITH {ADS} SELECT url FROM ads WHERE ts >= {CUTOFF}",
     "q_rule_matches": f"""
         WITH {ADS}
@@ -360,6 +368,9 @@ ORACLES: dict[str, str] = {
     "q_negative_audit": f"""
         WITH {ADS}
         SELECT url, {MATCHES} FROM {_judged("ads", T.TOPIC_A)} WHERE verdict <> 'liked'""",
+    "q_rule_longest": f"""
+        WITH {ADS}
+        SELECT doc_id, verdict, {MATCHES} FROM {_judged("ads", LONGEST_C)}""",
     "q_mode_match": f"""
         SELECT conv_id, turn, verdict, {MATCHES}
         FROM {_judged("conversations", T.TOPIC_B, "text")}""",
@@ -387,8 +398,14 @@ ORACLES: dict[str, str] = {
     "q_mode_fetch": f"""
         SELECT url, {PAGE_TEXT} AS content FROM pages WHERE {ABSOLUTE} AND {STATUS} = 200""",
     "q_mode_collect": f"WITH {COLLECTED} SELECT url, content, {SHOWN} FROM collected",
+    "q_mode_collect_fetches": f"""
+        WITH {ADS}
+        SELECT url, 'stored' AS outcome FROM ads WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0
+        UNION ALL
+        SELECT url, 'HTTP status 500' FROM ads WHERE doc_id % 5 = 0 OR doc_id % 7 = 0
+        UNION ALL SELECT url, 'no body' FROM ads WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0""",
     "q_mode_collect_audit": f"""
-        WITH {COLLECTED} SELECT f.url, f.sig, s.recent_url FROM f2 f JOIN s1 s USING (sig)""",
+        WITH {COLLECTED} SELECT f.url, f.sig, d.recent_url FROM f2 f JOIN d1 d USING (sig)""",
     "q_state_views": f"""
         WITH {COLLECTED}
         SELECT 1 AS visited, c.url IS NOT NULL AS collected, count(*) AS n,
@@ -403,14 +420,27 @@ ORACLES: dict[str, str] = {
         SELECT rule_set, content_hash, url, content, note, '{T.AS_OF}' AS ts
         FROM {_last_liked(_judged("recent", T.TOPIC_B))}""",
     "q_full_cycle": f"""
-        WITH {_two_collects("LIMIT 999")},
+        WITH {COLLECTED},
         liked AS (SELECT * REPLACE ({AS_OF} AS ts)
                   FROM {_last_liked(_judged("collected", T.TOPIC_A))})
         SELECT line, {SHOWN} FROM ({_digest("liked")})""",
     "q_stream_collect": f"""
         WITH {COLLECTED}
         SELECT url, content, '{T.AS_OF}' AS ts FROM collected""",
+    "q_stream_after_batch": f"""
+        WITH {ADS}, texts AS (
+            SELECT url, content AS raw, doc_id % 3 AS step, {AD_TEXT} AS content FROM ads),
+        signed AS (SELECT url, step, content, {_sig("content")} AS sig FROM texts)
+        SELECT url, content,
+               CASE step WHEN 0 THEN '{T.EARLIER}' ELSE '{T.AS_OF}' END AS ts
+        FROM signed QUALIFY step = min(step) OVER (PARTITION BY sig)""",
     "q_stream_classify": f"""
         WITH {ADS} SELECT doc_id, verdict, {MATCHES} FROM {_judged("ads", T.TOPIC_A)}""",
-    "q_stream_dedup": f"SELECT DISTINCT {_sig('text')} AS sig FROM documents",
+    "q_stream_dedup": f"""
+        WITH {ADS}, parts AS (
+            SELECT *, doc_id >= top // 4 AS p1, doc_id >= top * 2 // 4 AS p2,
+                   doc_id >= top * 3 // 4 AS p3
+            FROM ads, (SELECT max(doc_id) + 1 AS top FROM documents))
+        SELECT doc_id, sig FROM parts QUALIFY row_number() OVER
+            (PARTITION BY sig ORDER BY p1, p2, p3, parts.ts, url) = 1""",
 }

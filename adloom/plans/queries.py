@@ -19,9 +19,12 @@ from adloom.plans import modes
 from adloom.plans.state import Run, StateStore
 from adloom.session import shared_dir
 from adloom.sources import pages as P
+from adloom.sources.rules import load_rules
 from adloom.streaming import stream as S
 
 Query = Callable[[SparkSession, str], DataFrame]
+# How many rows the top-k queries ask for.
+NEWEST = 50
 REGISTRY: dict[str, Query] = {}
 
 
@@ -276,7 +279,8 @@ def q_dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    known = _dupe_rows(T.old(T.signed_ads(spark, sf)))
+    """All signatures of the ads with an even id."""
+    known = _dupe_rows(T.even(T.signed_ads(spark, sf)))
     return D.recent_signatures(D.keep_one(known, ["sig"], ["ts", "recent_url"], last=True))
 
 
@@ -284,25 +288,25 @@ def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
 def q_recent_signatures(spark: SparkSession, sf: str) -> DataFrame:
     known = _dupe_rows(T.signed_ads(spark, sf))
     current = D.keep_one(known, ["sig"], ["ts", "recent_url"], last=True)
-    return _shown(D.recent_signatures(current))
+    return _shown(D.recent_signatures(current, NEWEST))
 
 
 @query
 def q_admit(spark: SparkSession, sf: str) -> DataFrame:
-    admitted = D.admit(T.new(T.signed_ads(spark, sf)), _snapshot(spark, sf))
+    admitted = D.admit(T.odd(T.signed_ads(spark, sf)), _snapshot(spark, sf))
     return admitted.select("doc_id", "sig")
 
 
 @query
 def q_dup_audit(spark: SparkSession, sf: str) -> DataFrame:
-    dropped = D.duplicates(T.new(T.signed_ads(spark, sf)), _snapshot(spark, sf))
+    dropped = D.duplicates(T.odd(T.signed_ads(spark, sf)), _snapshot(spark, sf))
     return dropped.select("doc_id", "url", "sig", "recent_url")
 
 
 @query
 def q_admit_strict(spark: SparkSession, sf: str) -> DataFrame:
     """Duplicates within the batch removed as well."""
-    admitted = D.admit(T.new(T.signed_ads(spark, sf)), _snapshot(spark, sf))
+    admitted = D.admit(T.odd(T.signed_ads(spark, sf)), _snapshot(spark, sf))
     return D.first_per_signature(admitted, ["ts", "doc_id"]).select("doc_id", "sig")
 
 
@@ -311,7 +315,7 @@ def q_admit_batches(spark: SparkSession, sf: str) -> DataFrame:
     batches = T.signed_ads(spark, sf).select(
         "doc_id", "sig", F.expr("doc_id div 250").alias("batch")
     )
-    return D.admit_batches(batches, "doc_id").select("doc_id", "batch", "sig")
+    return D.admit_batches(batches).select("doc_id", "batch", "sig")
 
 
 # Backlog
@@ -319,12 +323,13 @@ def q_admit_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_recently_fetched(spark: SparkSession, sf: str) -> DataFrame:
-    return B.recently_fetched(T.content_t(spark, sf))
+    return B.recently_fetched(T.titles_t(spark, sf), NEWEST)
 
 
 @query
 def q_backlog(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(B.pending(T.url_t(spark, sf), T.content_t(spark, sf)))
+    """The oldest of the queue."""
+    return _shown(B.pending(T.url_t(spark, sf), T.content_t(spark, sf), NEWEST))
 
 
 def _queue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +351,7 @@ def q_backlog_advice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_recent_content(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(B.recent_content(T.content_t(spark, sf), T.AS_OF))
+    return _shown(B.recent_content(T.titles_t(spark, sf), T.AS_OF))
 
 
 @query
@@ -400,6 +405,15 @@ def q_negative_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(C.negatives(judged)).select("url", "matches")
 
 
+@query
+def q_rule_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules read from a file, in which the longest match decides what is reported."""
+    path = shared_dir(spark, "rules")
+    spark.range(1).select(F.lit(T.RULE_FILE)).coalesce(1).write.text(path)
+    rules = load_rules(spark, path, "topic_c")
+    return _joined(C.classify(T.ad_texts(spark, sf), rules)).select("doc_id", "verdict", "matches")
+
+
 @query
 def q_mode_match(spark: SparkSession, sf: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -443,7 +457,7 @@ def q_report_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, label: str) -> StateStore:
-    return StateStore(spark, shared_dir(spark, label)).init()
+    return StateStore(spark, shared_dir(spark, label))
 
 
 FIRST, SECOND = Run(1, T.EARLIER), Run(2, T.AS_OF)
@@ -468,13 +482,13 @@ def q_mode_fetch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _collected(spark: SparkSession, sf: str, label: str) -> tuple[StateStore, modes.Collected]:
-    """Old ads queued and collected, then all ads, without a bound on the queue."""
+    """Old ads queued and collected, then all ads."""
     store = _store(spark, label)
     ads = T.ad_texts(spark, sf)
     done = None
     for run, part in ((FIRST, T.old(ads)), (SECOND, ads)):
         modes.browse(store, T.listing_pages(part), run)
-        done = modes.collect(store, T.ad_pages(ads), run, limit=None)
+        done = modes.collect(store, T.ad_pages(ads), run)
     return store, done
 
 
@@ -484,6 +498,27 @@ def q_mode_collect(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(store.current("content"))
 
 
+@query
+def q_mode_collect_fetches(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages fetched twice, the first time in vain, and what became of every url.
+
+    A url whose second fetch failed as well is rejected with the reason of either.
+    """
+    store = _store(spark, "fetches")
+    ads = T.ad_texts(spark, sf)
+    modes.browse(store, T.listing_pages(ads), FIRST)
+    page = F.col("page_id")
+    good = T.ad_pages(ads).withColumn("status", F.when(page % 5 == 0, 500).otherwise(200))
+    first = good.withColumn("status", F.lit(500))
+    # A page without a body can't be read.
+    second = good.withColumn("html", F.when(page % 7 != 0, F.col("html")))
+    fetched = first.unionByName(second.withColumn("page_id", page + (1 << 40)))
+    done = modes.collect(store, fetched, FIRST)
+    stored = done.content.select("url", F.lit("stored").alias("outcome"))
+    rejected = done.rejects.select("url", F.col("reason").alias("outcome")).distinct()
+    return stored.unionByName(rejected)
+
+
 @query
 def q_mode_collect_audit(spark: SparkSession, sf: str) -> DataFrame:
     _, done = _collected(spark, sf, "audit")
@@ -543,10 +578,22 @@ def q_stream_collect(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(store.current("content"))
 
 
-def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = T.documents(spark, sf).schema
-    stream = S.page_stream(spark, f"{sf}/document[s].parquet", schema)
-    return stream.select(
+@query
+def q_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch run, then a stream, then a stream with a new checkpoint, on one store."""
+    store = _store(spark, "mixed")
+    ads = T.ad_texts(spark, sf)
+    modes.collect_pages(store, T.ad_pages(ads.filter(F.col("doc_id") % 3 == 0)), FIRST)
+    for remainder in (1, 2):
+        folder, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "offsets")
+        T.ad_pages(ads.filter(F.col("doc_id") % 3 == remainder)).write.parquet(folder)
+        arrived = S.page_stream(spark, folder)
+        S.collect_stream(arrived, store, checkpoint, clock=lambda _: T.AS_OF).awaitTermination()
+    return _shown(store.current("content"))
+
+
+def _stream_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id",
         F.concat(F.lit(f"{T.ADS}a/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("content"),
@@ -554,22 +601,28 @@ def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _run_stream(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    folder = shared_dir(spark, label)
+@query
+def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
+    schema = T.documents(spark, sf).schema
+    texts = _stream_texts(S.page_stream(spark, f"{sf}/document[s].parquet", schema))
+    rows = _joined(S.classify_stream(texts, T.TOPIC_A)).select("doc_id", "verdict", "matches")
+    folder = shared_dir(spark, "verdicts")
     sink = rows.writeStream.format("parquet").option("path", folder).outputMode("append")
-    sink = sink.option("checkpointLocation", shared_dir(spark, f"{label}-offsets"))
+    sink = sink.option("checkpointLocation", shared_dir(spark, "verdicts-offsets"))
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-@query
-def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
-    judged = S.classify_stream(_document_stream(spark, sf), T.TOPIC_A)
-    rows = _joined(judged).select("doc_id", "verdict", "matches")
-    return _run_stream(spark, rows, "verdicts")
-
-
 @query
 def q_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.dedup_stream(_document_stream(spark, sf)).select("sig")
-    return _run_stream(spark, rows, "unique")
+    """Texts that arrive in four batches, each older than the one before."""
+    store = _store(spark, "unique")
+    folder, checkpoint = shared_dir(spark, "texts"), shared_dir(spark, "texts-offsets")
+    texts = _stream_texts(T.documents(spark, sf))
+    top = (texts.agg(F.max("doc_id")).first()[0] or 0) + 1
+    for part in range(4):
+        here = F.col("doc_id").between(top * part // 4, top * (part + 1) // 4 - 1)
+        texts.filter(here).write.mode("append").parquet(folder)
+        arrived = S.page_stream(spark, folder, texts.schema)
+        S.dedup_stream(arrived, store, checkpoint, clock=lambda _: T.AS_OF).awaitTermination()
+    return S.kept_rows(store).select("doc_id", "sig")

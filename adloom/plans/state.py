@@ -4,6 +4,7 @@ A run writes only its own partition of each table and reads only earlier runs of
 the tables it writes, so repeating a run after a failure replaces what the first
 attempt left. Known rows are never rewritten: `url` and `content` grow by new keys,
 `dupe` and `liked` by superseding rows that :meth:`StateStore.current` resolves.
+A table comes into being with its first run.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom import schemas
 from adloom.operators.backlog import timestamp
-from adloom.operators.dedup import SNAPSHOT, keep_one, recent_signatures
+from adloom.operators.dedup import keep_one, recent_signatures
 
 TABLES = {
     "url": T.StructType(schemas.URL.fields[:2]),
@@ -27,9 +29,11 @@ TABLES = {
     "visited": schemas.VISITED,
     "content": schemas.CONTENT,
     "dupe": schemas.DUPE,
-    # The newest signatures after each run, so that a run need not rank them all.
-    "recent": schemas.DUPE,
     "liked": schemas.LIKED,
+    # Signatures that a stream without a queue has let through.
+    "seen": T.StructType(schemas.DUPE.fields[:1]),
+    # Who ran a run, and at what time.
+    "claims": schemas.CLAIMS,
 }
 
 
@@ -38,11 +42,13 @@ class Run:
     """One execution of the modes: ids rise from 1, ``as_of`` stamps its rows.
 
     Later runs must not have an earlier ``as_of``. A run that failed half-way is to be
-    repeated under its id before the next one starts.
+    repeated under its id before the next one starts. ``owner`` tells runs of different
+    programs apart, see :meth:`StateStore.claim`.
     """
 
     id: int
     as_of: datetime
+    owner: str = "batch"
 
     def __post_init__(self) -> None:
         if self.id < 1:
@@ -54,36 +60,67 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._claimed: set[Run] = set()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def init(self) -> StateStore:
-        """Create what is missing; existing tables stay as they are."""
-        for table, schema in TABLES.items():
-            nothing = (F.lit(None).cast(f.dataType).alias(f.name) for f in schema)
-            empty = self.spark.range(1).filter(F.lit(False)).select(*nothing)
-            empty.write.mode("ignore").parquet(f"{self.path(table)}/run=0")
-        return self
-
     def log(self, table: str, before: int | None = None, upto: int | None = None) -> DataFrame:
         """Rows with their ``run``; the bounds prune partitions."""
         schema = T.StructType([*TABLES[table].fields, T.StructField("run", T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(self.path(table))
+        try:
+            rows = self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            nothing = (F.lit(None).cast(f.dataType).alias(f.name) for f in schema)
+            return self.spark.range(0).select(*nothing)
         if before is not None:
             rows = rows.filter(F.col("run") < before)
         if upto is not None:
             rows = rows.filter(F.col("run") <= upto)
         return rows
 
-    def of_run(self, table: str, run: int) -> DataFrame:
-        return self.log(table).filter(F.col("run") == run).drop("run")
-
     def write(self, table: str, rows: DataFrame, run: int) -> DataFrame:
-        """Replace the run's partition, and return it as read back."""
+        """Replace the run's partition, and return it as read back from its own folder."""
         target = f"{self.path(table)}/run={run}"
         rows.select(*TABLES[table].names).write.mode("overwrite").parquet(target)
-        return self.of_run(table, run)
+        return self.spark.read.schema(TABLES[table]).parquet(target)
+
+    def claim(self, run: Run) -> Run:
+        """Note down who a run belongs to before anything is written.
+
+        A run of another owner is never overwritten, and time never runs backwards.
+        """
+        if run in self._claimed:
+            return run
+        earlier, later, foreign = self.log("claims").agg(
+            F.max(F.when(F.col("run") < run.id, F.col("as_of"))),
+            F.min(F.when(F.col("run") > run.id, F.col("as_of"))),
+            F.max(F.when((F.col("run") == run.id) & (F.col("owner") != run.owner), F.col("owner"))),
+        ).first()
+        if foreign is not None:
+            raise ValueError(f"run {run.id} belongs to {foreign}")
+        if (earlier and run.as_of < earlier) or (later and run.as_of > later):
+            raise ValueError(f"the time of run {run.id} does not lie between its neighbours'")
+        row = self.spark.range(1).select(
+            F.lit(run.owner).alias("owner"), timestamp(run.as_of).alias("as_of")
+        )
+        self.write("claims", row, run.id)
+        self._claimed.add(run)
+        return run
+
+    def run_of(self, owner: str, as_of: datetime) -> Run:
+        """The run that an owner has claimed before, or the next free one."""
+        mine, at, last, latest = self.log("claims").agg(
+            F.max(F.when(F.col("owner") == owner, F.col("run"))),
+            F.max(F.when(F.col("owner") == owner, F.col("as_of"))),
+            F.max("run"),
+            F.max("as_of"),
+        ).first()
+        if mine is not None:
+            return Run(mine, at, owner)
+        return self.claim(Run((last or 0) + 1, max(as_of, latest or as_of), owner))
 
     def current(
         self, table: str, upto: int | None = None, since: datetime | None = None
@@ -106,18 +143,9 @@ class StateStore:
             return keep_one(rows, ["rule_set", "content_hash"], ["run"], last=True).drop("run")
         return rows.drop("run")
 
-    def snapshot(self, before: int, limit: int | None) -> DataFrame:
-        """Newest signatures known before a run.
-
-        A run that admits content leaves the newest signatures in `recent`; what it
-        left is exact, since a signature that is not among them can only come back
-        by being written again. A request for more than was kept ranks `dupe`.
-        """
-        if limit is None or limit > SNAPSHOT:
-            return recent_signatures(self.current("dupe", upto=before - 1), limit)
-        kept = self.log("recent", before=before)
-        latest = F.broadcast(kept.agg(F.max("run").alias("run")))
-        return recent_signatures(kept.join(latest, "run"), limit)
+    def snapshot(self, before: int, limit: int | None = None) -> DataFrame:
+        """Signatures known before a run, or the newest of them."""
+        return recent_signatures(self.current("dupe", upto=before - 1), limit)
 
     def register_views(self, prefix: str = "", upto: int | None = None) -> None:
         """Temporary views over the current tables, for reports in SQL."""
@@ -126,10 +154,12 @@ class StateStore:
 
     def copy_to(self, root: str, run: int) -> StateStore:
         """A compacted copy: everything up to a run in that run's partitions."""
-        target = StateStore(self.spark, root).init()
+        target = StateStore(self.spark, root)
         for table in ("content", "dupe", "liked"):
             target.write(table, self.current(table, upto=run), run)
-        target.write("url", self.log("url", upto=run), run)
+        for table in ("url", "seen"):
+            target.write(table, self.log(table, upto=run), run)
         target.write("visited", self.log("visited", upto=run).distinct(), run)
-        target.write("recent", self.snapshot(run + 1, SNAPSHOT), run)
+        last = self.log("claims", upto=run).orderBy(F.desc("run")).limit(1)
+        target.write("claims", last, run)
         return target

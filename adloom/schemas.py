@@ -53,6 +53,13 @@ LIKED = T.StructType(
     ]
 )
 
+CLAIMS = T.StructType(
+    [
+        T.StructField("owner", T.StringType()),
+        T.StructField("as_of", T.TimestampNTZType()),
+    ]
+)
+
 RULES = T.StructType(
     [
         T.StructField("rule_set", T.StringType(), False),

@@ -20,6 +20,9 @@ from adloom.schemas import PAGES
 from adloom.sources.rules import RuleSet
 
 
+KEPT = "kept"
+
+
 def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -37,25 +40,46 @@ def page_stream(
     return reader.parquet(path)
 
 
+def run_of_batch(store: StateStore, batch: DataFrame, number: int, at: datetime) -> Run:
+    """The run of a micro-batch: the one it had before, or the next free one.
+
+    A stream is known by the id in its checkpoint, so a new checkpoint starts new runs.
+    """
+    context = batch.sparkSession.sparkContext
+    stream = context.getLocalProperty("sql.streaming.queryId")
+    return store.run_of(f"stream {stream} batch {number}", at)
+
+
 def collect_stream(
     pages: DataFrame,
     store: StateStore,
     checkpoint: str,
     axes: Sequence[H.Selector] = H.AD_AXES,
     clock: Callable[[int], datetime] | None = None,
-    snapshot: int | None = D.SNAPSHOT,
+    snapshot: int | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Collect every micro-batch against the signatures known before it.
 
-    The batch number is the run, so a repeated batch replaces its own rows.
+    A repeated batch has its old run and replaces its own rows; batch runs and other
+    streams on the same store keep theirs.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         at = clock(number) if clock else now()
-        modes.collect_pages(store, batch, Run(number + 1, at), axes, snapshot)
+        run = run_of_batch(store, batch, number, at)
+        modes.collect_pages(store, batch, run, axes, snapshot)
 
-    writer = pages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return _started(pages, on_batch, checkpoint, available_now)
+
+
+def _started(
+    rows: DataFrame,
+    on_batch: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    available_now: bool,
+) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -68,23 +92,33 @@ def classify_stream(texts: DataFrame, *rule_sets: RuleSet, text: str = "content"
 
 def dedup_stream(
     texts: DataFrame,
-    ts: str = "ts",
-    delay: str = "1 day",
+    store: StateStore,
+    checkpoint: str,
+    order: Sequence[str] = ("ts", "url"),
     text: str = "content",
-    spread: str = "url",
-) -> DataFrame:
-    """First row per signature, across and within batches, while the watermark lasts.
+    clock: Callable[[int], datetime] | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """First row per signature, across and within batches, however late rows come.
 
-    Rows of a hot signature first meet in salted groups, and only one row of each
-    reaches the group of the whole signature.
+    Signatures are kept in the state table ``seen``, so nothing is forgotten and no row is
+    dropped for its time. Kept rows are in :func:`kept_rows`; of equal signatures in one
+    batch the first by ``order`` stays.
     """
-    salted = texts.withColumns(
-        {
-            "sig": signature(F.col(text)),
-            "_salt": F.pmod(F.xxhash64(spread), F.lit(64)),
-            # Watermarks need an instant; only differences of times matter.
-            "_at": F.col(ts).cast("timestamp"),
-        }
-    ).withWatermark("_at", delay)
-    partial = salted.dropDuplicatesWithinWatermark(["sig", "_salt"])
-    return partial.dropDuplicatesWithinWatermark(["sig"]).drop("_salt", "_at")
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        run = run_of_batch(store, batch, number, clock(number) if clock else now())
+        signed = batch.withColumn("sig", signature(F.col(text)))
+        first = D.first_per_signature(signed, list(order))
+        new = first.join(store.log("seen", before=run.id).select("sig"), "sig", "left_anti")
+        target = f"{store.path(KEPT)}/run={run.id}"
+        new.write.mode("overwrite").parquet(target)
+        kept = store.spark.read.schema(new.schema).parquet(target)
+        store.write("seen", kept.select("sig"), run.id)
+
+    return _started(texts, on_batch, checkpoint, available_now)
+
+
+def kept_rows(store: StateStore) -> DataFrame:
+    """All rows that :func:`dedup_stream` has let through, with ``sig`` and ``run``."""
+    return store.spark.read.parquet(store.path(KEPT))

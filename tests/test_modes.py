@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from adloom.plans.state import Run, StateStore
 from adloom.session import CHECKPOINT_DIR, shared_dir
 from adloom.sources.rules import RuleSet
 from adloom.streaming import stream as S
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 START = datetime(2024, 1, 10, 6, 0, 0)
@@ -20,7 +22,7 @@ def run_at(number):
 
 @pytest.fixture
 def store(spark):
-    return StateStore(spark, shared_dir(spark, "state")).init()
+    return StateStore(spark, shared_dir(spark, "state"))
 
 
 def listing(spark, urls, status=200):
@@ -35,10 +37,10 @@ def ads(spark, texts):
     """Pages from url -> text; a number stands for that status."""
     return spark.createDataFrame(
         [
-            (u, f"<span class='pre'>{t}</span>", t if isinstance(t, int) else 200)
-            for u, t in texts.items()
+            (n, u, f"<span class='pre'>{t}</span>", t if isinstance(t, int) else 200)
+            for n, (u, t) in enumerate(texts.items())
         ],
-        "url string, html string, status int",
+        "page_id long, url string, html string, status int",
     )
 
 
@@ -46,9 +48,11 @@ def column(df, name="url"):
     return sorted(r[name] for r in df.collect())
 
 
-def test_init_keeps_existing_tables(spark, store):
+def test_tables_come_into_being_with_their_first_run(spark, store):
+    for table in ("url", "content", "dupe", "liked"):
+        assert store.current(table).count() == 0
     modes.browse(store, listing(spark, ["/a", "/a", "/b c", "b#x"]), run_at(1))
-    assert column(store.init().current("url")) == ["http://h/a", "http://h/b#x"]
+    assert column(StateStore(spark, store.root).current("url")) == ["http://h/a", "http://h/b#x"]
 
 
 def test_browse_adds_only_new_urls(spark, store):
@@ -104,7 +108,7 @@ def test_oldest_urls_come_first(spark, store, limit):
 def test_equal_pages_within_a_batch_are_all_stored_unless_strict(spark):
     pages = ads(spark, {"http://h/1": "same text 1", "http://h/2": "same text 2"})
     for strict, expected in ((False, 2), (True, 1)):
-        store = StateStore(spark, shared_dir(spark, "batch")).init()
+        store = StateStore(spark, shared_dir(spark, "batch"))
         assert modes.collect_pages(store, pages, run_at(1), within_batch=strict).content.count() == expected
         assert store.current("dupe").count() == 1
         later = modes.collect_pages(store, ads(spark, {"http://h/3": "same text 3"}), run_at(2))
@@ -118,6 +122,61 @@ def test_first_page_of_a_url_counts(spark, store):
     )
     assert modes.collect_pages(store, twice, run_at(1)).content.first().content == "\nolder text\n\n\n\n"
     assert modes.collect_pages(store, twice, run_at(2)).content.count() == 0
+    with pytest.raises(ValueError):
+        modes.collect_pages(store, twice.drop("page_id"), run_at(3))
+
+
+def test_first_usable_page_of_a_url_counts(spark, store):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://h/1", None, 500),
+            (2, "http://h/1", "<span class='pre'>good text</span>", 200),
+            (2, "http://h/1", "<span class='pre'>good text</span>", 200),
+            (3, "http://h/1", "<span class='pre'>later text</span>", 200),
+            (1, "http://h/2", None, 404),
+        ],
+        "page_id long, url string, html string, status int",
+    )
+    done = modes.collect_pages(store, pages, run_at(1))
+    assert [r.content.strip() for r in done.content.collect()] == ["good text"]
+    assert [tuple(r) for r in done.rejects.collect()] == [("http://h/2", "HTTP status 404")]
+
+
+def test_pages_that_fail_in_extraction_are_rejects(spark, store, monkeypatch):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    monkeypatch.setattr("adloom.functions.html.select_text", failing)
+    modes.browse(store, listing(spark, ["/ok", "/bad"]), run_at(1))
+    pages = ads(spark, {"http://h/ok": "fine", "http://h/bad": "boom"})
+    done = modes.collect(store, pages, run_at(1), retry_failed=True)
+    assert column(done.content) == ["http://h/ok"]
+    assert [tuple(r) for r in done.rejects.collect()] == [("http://h/bad", "not parsed: ValueError: boom")]
+    assert column(store.log("visited")) == ["http://h/ok"]
+
+
+def failing(page, axes):
+    if "boom" in page:
+        raise ValueError("boom")
+    return [[["some text"]] for _ in axes]
+
+
+def test_failures_do_not_starve_the_queue(spark, store):
+    modes.browse(store, listing(spark, ["/a"]), run_at(1))
+    modes.browse(store, listing(spark, ["/b"]), run_at(2))
+    pages = ads(spark, {"http://h/b": "fetched text"})
+    for number in (2, 3):
+        modes.collect(store, pages, run_at(number), limit=1, retry_failed=True)
+    assert column(store.current("content")) == ["http://h/b"]
+
+
+def test_runs_of_others_are_not_overwritten(spark, store):
+    modes.collect_pages(store, ads(spark, {"http://h/1": "some text"}), run_at(1))
+    with pytest.raises(ValueError):
+        store.claim(Run(1, run_at(1).as_of, "other"))
+    with pytest.raises(ValueError):
+        store.claim(Run(2, START))
+    assert store.run_of("other", START).id == 2 and store.run_of("other", START).id == 2
+    assert store.run_of("other", START).as_of == run_at(1).as_of
+    assert store.run_of("third", run_at(5).as_of).id == 3
 
 
 def letters(number):
@@ -241,6 +300,18 @@ def test_stream_equals_batch_loop(spark, store):
     assert column(store.current("dupe"), "sig") == sorted(dupe)
 
 
+def test_streams_after_a_batch_run_keep_its_rows(spark, store):
+    modes.collect_pages(store, ads(spark, {"http://h/1": "one text"}), run_at(1))
+    for number in (2, 3):
+        folder, offsets = shared_dir(spark, "in"), shared_dir(spark, "offsets")
+        page = ads(spark, {f"http://h/{number}": f"{letters(number)} text"})
+        page.select("page_id", "url", "html").write.parquet(folder)
+        stream = S.page_stream(spark, folder)
+        S.collect_stream(stream, store, offsets, clock=lambda _: run_at(9).as_of).awaitTermination()
+    assert column(store.current("content")) == ["http://h/1", "http://h/2", "http://h/3"]
+    assert sorted(r.run for r in store.log("claims").collect()) == [1, 2, 3]
+
+
 def stream_of(spark, rows, schema):
     folder = shared_dir(spark, "texts")
     df = spark.createDataFrame(rows, schema)
@@ -256,11 +327,21 @@ def collected(spark, stream):
     return spark.read.parquet(folder)
 
 
-def test_stream_dedup_keeps_one_of_each(spark):
-    rows = [(f"u{n}", f"{letters(n % 5 if n % 3 else 0)} {n}", START) for n in range(300)]
-    stream = stream_of(spark, rows, "url string, content string, ts timestamp_ntz")
-    kept = collected(spark, S.dedup_stream(stream))
-    assert kept.count() == 5 and set(kept.columns) == {"url", "content", "ts", "sig"}
+def test_stream_dedup_keeps_one_of_each_however_late(spark, store):
+    folder, offsets = shared_dir(spark, "texts"), shared_dir(spark, "offsets")
+    schema = "url string, content string, ts timestamp_ntz"
+    for part in range(3):
+        rows = [
+            (f"u{part}-{n}", f"{letters(n % (3 + part) if n % 3 else 0)} {n}", START - timedelta(days=9 * part))
+            for n in range(100)
+        ]
+        df = spark.createDataFrame(rows, schema)
+        df.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        S.dedup_stream(stream, store, offsets).awaitTermination()
+    kept = S.kept_rows(store)
+    assert kept.count() == 5 and set(kept.columns) == {"url", "content", "ts", "sig", "run"}
+    assert {r.url[:2] for r in kept.collect()} == {"u0", "u1", "u2"}
 
 
 def test_stream_classification(spark):

@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 from itertools import groupby
@@ -57,9 +58,9 @@ def test_admission_against_snapshot(spark, limit):
     assert rows(D.first_per_signature(admitted, ["id"]), "id") == [(1,), (2,)]
 
 
-def test_snapshot_is_broadcast_and_batch_not_shuffled(spark):
+def test_bounded_snapshot_is_broadcast_and_batch_not_shuffled(spark):
     batch = spark.range(100).select(F.col("id").cast("string").alias("sig"))
-    plan = D.admit(batch, batch.limit(5))._jdf.queryExecution().executedPlan().toString()
+    plan = D.admit(batch, batch.limit(5), 5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
@@ -82,36 +83,20 @@ def test_closed_form_equals_batch_loop(spark):
         admitted = [r for r in batch if r.sig not in known]
         known |= {r.sig for r in admitted}
         expected += [(r.id,) for r in admitted]
-    assert rows(D.admit_batches(df, "id"), "id") == sorted(expected)
+    assert rows(D.admit_batches(df), "id") == sorted(expected)
 
 
-def test_hot_group_is_spread_over_tasks(spark):
-    df = batches(spark)
-    groups = df.groupBy("sig").agg(F.count("*").alias("n"))
-    assert rows(skew.join_groups(df, groups, "sig", "n", "id"), "id", "n") == [
-        (r.id, r.n) for r in sorted(df.join(groups, "sig").collect(), key=lambda r: r.id)
-    ]
+def test_rows_of_a_hot_signature_meet_by_batch(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = skew.join_groups(df, groups, "sig", "n", "id")
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert max(r["count"] for r in sizes) < 3000 / 3 / 2
+        plan = D.admit_batches(batches(spark))._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(sig#\d+, batch#\d+", plan)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_lookup_with_hot_and_missing_keys(spark):
-    df = batches(spark).withColumnRenamed("sig", "k")
-    table = spark.createDataFrame([("hot", 1), ("s3", 2), ("other", 3)], "k string, v int")
-    got = rows(skew.lookup(df, table, "k").fillna(0), "id", "v")
-    want = rows(df.join(table, "k", "left").fillna(0), "id", "v")
-    assert got == want and len(got) == 3000
-
-
 def test_clusters(spark):
     found = D.clusters(batches(spark), "sig", "id")
     hot = found.filter("sig = 'hot'").first()
@@ -145,20 +130,26 @@ def test_keep_one_combines_before_the_shuffle(contents):
     assert "partial_max_by" in plan.executedPlan().toString()
 
 
-@pytest.mark.parametrize("bound", [None, 3, 10**9])
-def test_store_urls_and_counts(spark, bound):
+@pytest.mark.parametrize("small", [True, False])
+def test_store_urls_and_counts(spark, small):
     current = spark.createDataFrame([("a", at(9), 1)], "url string, ts timestamp_ntz, visited int")
     given = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "url string")
-    new = upsert.store_urls(current, given, B.timestamp(T0), bound)
+    new = upsert.store_urls(current, given, B.timestamp(T0), small)
     assert rows(new, "url", "ts", "visited") == [("b", T0, 0), ("c", T0, 0)]
     assert tuple(upsert.store_counts(current, given).first()) == (2, 4)
     assert tuple(upsert.store_counts(current, given.filter("false")).first()) == (0, 0)
 
 
+def test_few_long_urls_are_not_small(spark):
+    given = spark.createDataFrame([("u" * 3_000_000,), ("v" * 3_000_000,)], "url string")
+    assert not skew.is_small(given, "url") and skew.is_small(given.limit(1), "url")
+    assert skew.is_small(given.limit(0), "url") and not skew.is_small(spark.range(10_001), "id")
+
+
 def test_few_new_urls_do_not_shuffle_the_table(spark):
     spark.range(100_000).selectExpr("cast(id as string) url").createOrReplaceTempView("many_urls")
     given = spark.createDataFrame([("7",), ("x",)], "url string")
-    new = skew.without_known(given, spark.table("many_urls"), "url", 2)
+    new = skew.without_known(given, spark.table("many_urls"), "url", True)
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and rows(new, "url") == [("x",)]
 
@@ -183,7 +174,7 @@ def test_backlog(spark):
     )
     content = spark.createDataFrame([("d", "x", at(0))], "url string, content string, ts timestamp_ntz")
     queue = B.pending(url, content)
-    assert [r.url for r in queue.collect()] == ["b", "f", "a"]
+    assert rows(queue, "url") == [("a",), ("b",), ("f",)]
     assert [r.url for r in B.pending(url, content, 2).collect()] == ["b", "f"]
     known = B.recently_fetched(content)
     assert tuple(B.advice(queue, known).first()) == (3, 3, "all new")

@@ -1,7 +1,6 @@
 import itertools
 import random
 import re
-import warnings
 
 import pytest
 from adloom.functions.patterns import Pattern, fold
@@ -62,13 +61,16 @@ def test_malformed_patterns(pattern):
         Pattern.compile(pattern)
 
 
-def test_ambiguous_unbounded_pattern_warns():
-    with pytest.warns(UserWarning):
-        Pattern.compile("(a|ab)*c*")
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        Pattern.compile("a+b")
-        Pattern.compile("(a|ab)(c|bcd)?")
+def test_open_ended_patterns_match_longest(spark):
+    texts = ["".join(t) for n in range(6) for t in itertools.product("abc", repeat=n)]
+    for pattern in ["(a|ab)*c*", "(a|ab){0,9}", "(b|bc)+", "(a|ab)(c|bcd)*", "(c|a*)(b|bc)*"]:
+        expected = [leftmost_longest(pattern, t) for t in texts]
+        assert first_matches(spark, pattern, texts) == expected, pattern
+
+
+def test_more_shapes_than_are_written_out(spark):
+    pattern = "(" + "|".join("x" + "y" * n for n in range(300)) + ")(z|zz)?"
+    assert first_matches(spark, pattern, ["aXyyyzz", "x", "q"]) == ["Xyyyzz", "x", None]
 
 
 def leftmost_longest(pattern, text):
@@ -89,7 +91,7 @@ def test_random_finite_patterns_match_longest(spark):
             atom = rng.choice(["a", "b", "c", "[ab]"])
         else:
             atom = "(" + "|".join(branch(depth - 1) for _ in range(rng.randint(1, 3))) + ")"
-        return atom + rng.choice(["", "", "", "?", "{1,2}"])
+        return atom + rng.choice(["", "", "", "?", "{1,2}", "*", "+"])
 
     def branch(depth):
         return "".join(piece(depth) for _ in range(rng.randint(1, 3)))
@@ -97,10 +99,6 @@ def test_random_finite_patterns_match_longest(spark):
     texts = ["".join(t) for n in range(5) for t in itertools.product("abc", repeat=n)]
     for _ in range(15):
         pattern = branch(2)
-        with warnings.catch_warnings(record=True) as caught:
-            Pattern.compile(pattern)
-        if caught:
-            continue
         expected = [leftmost_longest(pattern, t) for t in texts]
         assert first_matches(spark, pattern, texts) == expected, pattern
 
