@@ -185,17 +185,16 @@ def _digest(liked: str) -> str:
 
 
 # Both collect runs over ads: contents c1 and c2, queue b1 and b2, signatures d1 and d2.
-COLLECTED = f"""{ADS}, texts AS (SELECT url, ts AS added, {AD_TEXT} AS content FROM ads),
-    signed AS (SELECT url, content, added, {_sig("content")} AS sig FROM texts),
-    c1 AS (SELECT url, content, sig, {EARLIER} AS ts FROM signed WHERE added < {SPLIT}),
+COLLECTED = f"""{ADS}, texts AS (SELECT url, doc_id, {AD_TEXT} AS content FROM ads),
+    signed AS (SELECT url, content, doc_id, {_sig("content")} AS sig FROM texts),
+    c1 AS (SELECT url, content, sig, {EARLIER} AS ts FROM signed WHERE doc_id % 2 = 0),
     d1 AS (SELECT sig, max(url) AS recent_url FROM c1 GROUP BY sig),
-    f2 AS (SELECT * FROM signed WHERE added >= {SPLIT}),
+    f2 AS (SELECT * FROM signed WHERE doc_id % 2 <> 0),
     c2 AS (SELECT url, content, sig, {AS_OF} AS ts FROM f2 ANTI JOIN d1 USING (sig)),
     d2 AS (SELECT sig, max(url) AS recent_url FROM c2 GROUP BY sig),
     collected AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
     dupes AS (SELECT * FROM d2 UNION ALL SELECT * FROM d1)"""
 
-
 _PATH = "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)"
 _DIR = f"regexp_replace({_PATH}, '[^/]*$', '')"
 _PARENT = f"regexp_replace({_DIR}, '[^/]+/$', '')"

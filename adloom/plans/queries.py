@@ -482,11 +482,11 @@ def q_mode_fetch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _collected(spark: SparkSession, sf: str, label: str) -> tuple[StateStore, modes.Collected]:
-    """Old ads queued and collected, then all ads."""
+    """Ads with an even id queued and collected, then all ads."""
     store = _store(spark, label)
     ads = T.ad_texts(spark, sf)
     done = None
-    for run, part in ((FIRST, T.old(ads)), (SECOND, ads)):
+    for run, part in ((FIRST, T.even(ads)), (SECOND, ads)):
         modes.browse(store, T.listing_pages(part), run)
         done = modes.collect(store, T.ad_pages(ads), run)
     return store, done
@@ -555,7 +555,7 @@ def q_full_cycle(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "cycle")
     ads = T.ad_texts(spark, sf)
     digest = None
-    for run, part in ((FIRST, T.old(ads)), (SECOND, ads)):
+    for run, part in ((FIRST, T.even(ads)), (SECOND, ads)):
         digest = modes.run_cycle(
             store, T.listing_pages(part), T.ad_pages(ads), (T.TOPIC_A,), run
         )
@@ -571,7 +571,7 @@ def q_stream_collect(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "stream")
     folder, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "offsets")
     ads = T.ad_texts(spark, sf)
-    for part in (T.old(ads), T.new(ads)):
+    for part in (T.even(ads), T.odd(ads)):
         T.ad_pages(part).write.mode("append").parquet(folder)
         arrived = S.page_stream(spark, folder)
         S.collect_stream(arrived, store, checkpoint, clock=lambda _: T.AS_OF).awaitTermination()
