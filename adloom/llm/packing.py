@@ -3,7 +3,8 @@
 Packing is online and bounded: a task keeps at most ``OPEN`` sequences open, and a bitset
 holds the amounts of free space that any of them has. A piece goes to the fullest
 sequence that it fits into, which is the lowest set bit at or above its length. When all
-places are taken, the fullest sequence is closed to make room.
+places are taken, the fullest sequence is closed to make room. Pieces arrive in batches of
+bounded size, each in order of falling length.
 
 Documents are cut only if they are longer than a sequence; the rest of the division comes
 first, so that every later piece fills a sequence by itself.
@@ -130,8 +131,12 @@ def pack(rows: DataFrame, n_rows: int) -> DataFrame:
         base = TaskContext.get().partitionId() << TASK_SHIFT
         packer = Packer()
         for batch in batches:
-            placed = [packer.place(size) for size in batch.column("length").to_pylist()]
-            sequence, offset = np.array(placed, np.int64).reshape(-1, 2).T
+            size = batch.column("length").to_numpy(False)
+            placed = np.zeros((len(size), 2), np.int64)
+            # Of the pieces at hand the longest come first and the short ones fill up.
+            order = np.argsort(-size, kind="stable")
+            placed[order] = np.array([packer.place(n) for n in size[order].tolist()]).reshape(-1, 2)
+            sequence, offset = placed.T
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sequence + base), pa.array(offset)],
                 names=[*batch.schema.names, "sequence_id", "offset"],
