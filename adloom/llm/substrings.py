@@ -78,8 +78,13 @@ def joined_runs(hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
             first = i
 
 
+METHOD = S.Method(
+    sort_and_count, windows, lambda bodies: pa.array(bodies, pa.binary()).cast(pa.string())
+)
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    return S.spans(docs, SCHEME, sort_and_count, windows)
+    return S.spans(docs, SCHEME, METHOD)
 
 
 def kept_texts(part: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:

@@ -33,14 +33,13 @@ from adloom.llm import superkmers as S
 from adloom.llm.substrings import joined_runs
 
 WINDOW, MMER = 400, 32
-#: Bytes of the strings that one suffix array holds, and their number.
-ARRAY_BYTES = 1 << 20
-ARRAY_STRINGS = 30_000
+#: Bytes of the strings that one suffix array holds, unless one group has more.
+ARRAY_BYTES = 1 << 19
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def units(texts: pa.Array) -> S.Units:
-    array = pc.fill_null(texts, "").cast(pa.large_binary())
+    array = pc.fill_null(texts.cast(pa.large_binary()), b"")
     _, offsets, data = array.buffers()
     begin = np.frombuffer(offsets, np.int64, len(array) + 1, array.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -56,35 +55,35 @@ def windows(body: bytes) -> list[bytes]:
     return [body[i : i + WINDOW] for i in range(len(body) - WINDOW + 1)]
 
 
-def suffix_order(code: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their first ``least`` codes or more, and ranks of substrings.
+def substring_ranks(code: np.ndarray, bits: int, least: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of the substrings that start at each place, by growing lengths.
 
-    Codes are below 2**16 and there are fewer than 2**21. Ranks of strings of four codes
-    come from their packed values; each further round ranks strings of three times the
-    length by three ranks at once. The ranks of all rounds are returned with the lengths.
+    Codes have so many bits, and there are fewer than 2**21. As many codes as fit are
+    packed and ranked at once; each further round ranks strings of three times the length
+    by three ranks. The last length is a third of ``least`` or more. Where a string reaches
+    over the end, it is shorter and comes first.
     """
-    n = len(code)
+    n, per = len(code), 63 // bits
     key = np.zeros(n, np.uint64)
-    for shift in range(4):
-        key <<= np.uint64(16)
-        key[: n - shift] |= code[shift:].astype(np.uint64)
-    order, rank = ranked(key)
-    levels, size = [(1, code.astype(np.int64)), (4, rank)], 4
-    while size < least:
-        key = np.zeros(n, np.uint64)
-        for step in range(3):
-            key <<= np.uint64(21)
-            at = step * size
-            if at < n:
-                key[: n - at] |= (rank[at:] + 1).astype(np.uint64)
-        order, rank = ranked(key)
+    for step in range(per):
+        key <<= np.uint64(bits)
+        key[: max(n - step, 0)] |= code[step:].astype(np.uint64)
+    levels, size = [(per, ranked(key)[1])], per
+    while 3 * size < least:
+        levels.append((3 * size, ranked(triples(levels[-1], np.arange(n)))[1]))
         size *= 3
-        levels.append((size, rank))
-    return order, levels
+    return levels
+
+
+def triples(level: tuple[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Keys that order the suffixes at the given places by three times the length."""
+    size, rank = level
+    longer = np.concatenate((rank.astype(np.uint64) + np.uint64(1), np.zeros(2 * size, np.uint64)))
+    return (longer[at] << np.uint64(42)) | (longer[at + size] << np.uint64(21)) | longer[at + 2 * size]
 
 
 def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(len(key), np.int64)
     new[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(len(key), np.int64)
@@ -98,9 +97,9 @@ def common_prefixes(
     """Length of the common prefix of each pair of suffixes, by falling lengths."""
     found = np.zeros(len(left), np.int64)
     for size, rank in reversed(levels):
-        for _ in range(3):
+        for _ in range(7 if size == 1 else 3):
             a, b = left + found, right + found
-            ok = (np.maximum(a, b) + size <= n) & (size > 0)
+            ok = np.maximum(a, b) + size <= n
             ok[ok] = rank[a[ok]] == rank[b[ok]]
             found += size * ok
             if not ok.any():
@@ -138,7 +137,9 @@ def longest_previous(code: np.ndarray, least: int = 1, mirrored: bool = False) -
     n = len(code)
     if not n:
         return np.zeros(0, np.int64)
-    order, levels = suffix_order(code, max(n, 1) if least <= 1 else 3 * least)
+    levels = substring_ranks(code.astype(np.int64) + 1, 9, n)
+    order = np.argsort(triples(levels[-1], np.arange(n)))
+    levels.insert(0, (1, code))
     lcp = np.zeros(n, np.int64)
     lcp[1:] = common_prefixes(order[:-1], order[1:], levels, n)
     result = np.empty(n, np.int64)
@@ -156,25 +157,40 @@ def factors(order: np.ndarray, lcp: np.ndarray, least: int, mirrored: bool) -> n
 
 
 def later_and_first(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all strings one after the other: later copies, first copies, and starts."""
+    """Where windows start, over all strings one after the other, that also start earlier
+    and that also start later, and where each string begins.
+
+    These are the places whose longest previous (or next) factor reaches the window. The
+    suffixes of shorter rests are not needed and left out of the order.
+    """
     begin = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    code = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
-    code[begin[1:] - 1] = np.arange(len(strings))
-    order, levels = suffix_order(code, window)
-    lcp = np.zeros(len(code), np.int64)
-    lcp[1:] = common_prefixes(order[:-1], order[1:], levels, len(code))
+    # A mark after each string; no window holds it, so none reaches into the next string.
+    code = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    code[begin[1:] - 1] = 0
+    levels = substring_ranks(code, 9, window)
+    starts = np.ones(len(code) + 1, bool)
+    for row, end in enumerate(begin[1:]):
+        starts[max(end - window, begin[row]) : end] = False
+    starts = np.flatnonzero(starts[:-1])
+    order = starts[np.argsort(triples(levels[-1], starts))]
+    # Neighbours share a window if the pieces that cover it have equal ranks.
+    size, rank = next(level for level in reversed(levels) if level[0] <= window)
+    lcp = np.full(len(order), window)
+    lcp[:1] = 0
+    for at in (*range(0, window - size, size), window - size):
+        lcp[1:][rank[order[1:] + at] != rank[order[:-1] + at]] = 0
     copies = []
     for mirrored in (False, True):
-        reach = np.empty(len(code), np.int64)
-        reach[order] = factors(order, lcp, window, mirrored)
-        copies.append(reach >= window)
+        found = np.zeros(len(code), bool)
+        found[order[factors(order, lcp, window, mirrored) >= window]] = True
+        copies.append(found)
     return copies[0], copies[1], begin
 
 
 def factor_groups(groups: list[S.Group]) -> Iterator[tuple[bytes, int, int]]:
     """Runs of repeated windows of each string, by suffix arrays over many groups."""
     batch: list[S.Group] = []
-    size = count = 0
+    size = 0
     for group in groups:
         if len(group.sid) == 1:
             # Equal strings were merged before: their copies are all there is.
@@ -182,11 +198,11 @@ def factor_groups(groups: list[S.Group]) -> Iterator[tuple[bytes, int, int]]:
                 yield group.sid[0], 0, len(group.body[0]) - WINDOW + 1
             continue
         added = sum(map(len, group.body)) + len(group.body)
-        if batch and (size + added > ARRAY_BYTES or count + len(group.body) > ARRAY_STRINGS):
+        if batch and size + added > ARRAY_BYTES:
             yield from solved(batch)
-            batch, size, count = [], 0, 0
+            batch, size = [], 0
         batch.append(group)
-        size, count = size + added, count + len(group.body)
+        size += added
     if batch:
         yield from solved(batch)
 
@@ -205,8 +221,11 @@ def solved(groups: list[S.Group]) -> Iterator[tuple[bytes, int, int]]:
         yield ids[r], at, size
 
 
+METHOD = S.Method(factor_groups, windows, lambda bodies: pa.array(bodies, pa.large_binary()))
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    return S.spans(docs, SCHEME, factor_groups, windows)
+    return S.spans(docs, SCHEME, METHOD)
 
 
 def digests(docs: DataFrame) -> DataFrame:

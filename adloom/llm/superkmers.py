@@ -30,10 +30,10 @@ _PLACE = 22
 #: Bits of the map of minimisers met more than once. Its size is fixed: when it fills up
 #: with far more text, more strings are sent, and nothing is lost.
 MAP_BITS = 27
-#: Strings of one minimiser that a task holds; beyond, their windows are counted one by one.
+#: Strings of one minimiser that a task holds; beyond, they are cut up and dealt out anew.
 GROUP_BYTES = 1_500_000
 CONTENTS = "minimiser long, sid binary, body binary, n long"
-FOUND = "sid binary, at int, size int, digest binary, n long"
+FOUND = "sid binary, at int, size int, digest binary, minimiser long, body binary, n long"
 #: A document, also when ids repeat or are missing.
 KEYS = ("_k1", "_k2")
 
@@ -120,16 +120,23 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def super_kmers(units: Units, scheme: Scheme) -> SuperKmers:
-    """All super-k-mers of a slice, in order."""
+def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -> SuperKmers:
+    """All super-k-mers of a slice, in order.
+
+    ``above`` gives a hash for each text; only m-mers with a larger one are then looked at.
+    """
     window, m, total = scheme.window, scheme.mmer, len(units.hashes)
     parts = []
     for low in range(0, max(total - window + 1, 0), BLOCK):
         hashes = units.hashes[low : low + BLOCK + window - 1]
         mm = mmers(hashes, m)
-        packed = (mm >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(mm), dtype=np.uint64)
-        place = (sliding_min(packed, window - m + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         owner = np.searchsorted(units.first, np.arange(low, low + len(hashes)), "right") - 1
+        high = mm >> np.uint64(_PLACE)
+        if above is not None:
+            used = high <= above[owner[: len(mm)]] >> np.uint64(_PLACE)
+            high[used] = np.uint64((1 << (64 - _PLACE)) - 1)
+        packed = (high << np.uint64(_PLACE)) | np.arange(len(mm), dtype=np.uint64)
+        place = (sliding_min(packed, window - m + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         inside = owner[: len(place)] == owner[window - 1 :]
         cut = np.ones(len(place) + 1, bool)
         cut[1:-1] = (place[1:] != place[:-1]) | (owner[1 : len(place)] != owner[: len(place) - 1])
@@ -254,13 +261,63 @@ class Group:
 Solver = Callable[[list[Group]], Iterable[tuple[bytes, int, int]]]
 #: Cuts a string into its windows.
 Windows = Callable[[bytes], list[bytes]]
+#: Makes an array of texts from packed strings.
+Texts = Callable[[list[bytes]], pa.Array]
+
+
+@dataclass(frozen=True)
+class Method:
+    """How groups are solved, and how their strings are cut up again."""
+
+    solve: Solver
+    windows: Windows
+    texts: Texts
+
+
+class Deeper:
+    """Strings of a hot minimiser, cut up by their next minimiser above it.
+
+    Equal windows have equal next minimisers too, so they meet again in smaller groups.
+    """
+
+    def __init__(self, scheme: Scheme, method: Method) -> None:
+        self.scheme, self.method = scheme, method
+
+    def rows(self, loose: list[tuple[int, bytes, bytes, int]]) -> list[tuple]:
+        if not loose:
+            return []
+        units = self.scheme.units(self.method.texts([body for _, _, body, _ in loose]))
+        above = np.array([key for key, _, _, _ in loose], np.int64).view(np.uint64)
+        found = super_kmers(units, self.scheme, above)
+        both = mixed(found.minimiser + mixed(above[found.text])).view(np.int64).tolist()
+        base = (found.begin - units.first[found.text]).tolist()
+        return [
+            (loose[text][1], at, None, digest(body), key, body, loose[text][3])
+            for text, at, key, body in zip(
+                found.text.tolist(), base, both, bodies(units, found, self.scheme.window)
+            )
+        ]
+
 
+class Single:
+    """Strings of a minimiser that is hot once more, window by window."""
 
-def repeated_windows(rows: DataFrame, solve: Solver, windows: Windows) -> DataFrame:
+    def __init__(self, method: Method) -> None:
+        self.method = method
+
+    def rows(self, loose: list[tuple[int, bytes, bytes, int]]) -> list[tuple]:
+        return [
+            (sid, at, None, digest(window), None, None, n)
+            for _, sid, body, n in loose
+            for at, window in enumerate(self.method.windows(body))
+        ]
+
+
+def grouped(rows: DataFrame, solve: Solver, cut: Deeper | Single, label: str) -> DataFrame:
     """Windows that start in two places or more, as runs of windows of each string.
 
     Groups arrive sorted and are merged as a stream. A minimiser whose strings outgrow
-    ``GROUP_BYTES`` is not held: its windows leave one by one and are counted by Spark.
+    ``GROUP_BYTES`` is not held: its strings leave cut up, with ``digest`` set.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +325,7 @@ def repeated_windows(rows: DataFrame, solve: Solver, windows: Windows) -> DataFr
         last, held_bytes, flooded = None, 0, False
         for batch in batches:
             ready: list[Group] = []
-            loose: list[tuple[bytes, int, int, bytes, int]] = []
+            loose: list[tuple[int, bytes, bytes, int]] = []
             keys = batch.column("minimiser").to_numpy(False)
             alone = np.ones(len(keys), bool)
             alone[1:] &= keys[1:] != keys[:-1]
@@ -285,50 +342,63 @@ def repeated_windows(rows: DataFrame, solve: Solver, windows: Windows) -> DataFr
                     if held is not None and not flooded:
                         ready.append(held)
                     held, last, held_bytes, flooded = Group([], [], []), key, 0, False
-                if not flooded and held.sid and held.sid[-1] == sid:
-                    held.n[-1] += n
-                    continue
                 if flooded:
-                    loose += single_windows(windows, sid, body, n)
-                    continue
-                held.sid.append(sid)
-                held.body.append(body)
-                held.n.append(n)
-                held_bytes += len(body)
-                if held_bytes > GROUP_BYTES:
-                    for old in zip(held.sid, held.body, held.n):
-                        loose += single_windows(windows, *old)
-                    flooded, held = True, Group([], [], [])
-            yield from found_rows(solve(ready), loose)
+                    loose.append((key, sid, body, n))
+                elif held.sid and held.sid[-1] == sid:
+                    held.n[-1] += n
+                else:
+                    held.sid.append(sid)
+                    held.body.append(body)
+                    held.n.append(n)
+                    held_bytes += len(body)
+                    if held_bytes > GROUP_BYTES:
+                        loose += zip([key] * len(held.sid), held.sid, held.body, held.n)
+                        flooded, held = True, Group([], [], [])
+            yield from found_rows(solve(ready), cut.rows(loose))
         if held is not None and not flooded:
             yield from found_rows(solve([held]), [])
 
     ordered = rows.repartition("minimiser").sortWithinPartitions("minimiser", "sid")
-    found = C.staged(ordered.mapInArrow(run, FOUND), "windows")
-    single = found.filter(F.col("digest").isNotNull())
-    often = single.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1")
-    again = single.join(often, "digest").select("sid", "at", "size")
-    return found.filter(F.col("digest").isNull()).select("sid", "at", "size").unionByName(again)
-
+    return C.staged(ordered.mapInArrow(run, FOUND), label)
 
-def single_windows(windows: Windows, sid: bytes, body: bytes, n: int) -> list:
-    return [(sid, i, 1, digest(w), n) for i, w in enumerate(windows(body))]
 
-
-def found_rows(solved: Iterable[tuple[bytes, int, int]], loose: list) -> Iterator[pa.RecordBatch]:
-    rows = [(sid, at, size, None, None) for sid, at, size in solved] + loose
+def found_rows(solved: Iterable[tuple[bytes, int, int]], cut: list) -> Iterator[pa.RecordBatch]:
+    rows = [(sid, at, size, None, None, None, None) for sid, at, size in solved] + cut
     if rows:
         schema = pa.schema([("sid", pa.binary()), ("at", pa.int32()), ("size", pa.int32()),
-                            ("digest", pa.binary()), ("n", pa.int64())])
+                            ("digest", pa.binary()), ("minimiser", pa.int64()),
+                            ("body", pa.binary()), ("n", pa.int64())])
         columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def spans(docs: DataFrame, scheme: Scheme, solve: Solver, windows: Windows) -> DataFrame:
+def repeated_windows(rows: DataFrame, scheme: Scheme, method: Method) -> DataFrame:
+    """Runs of repeated windows (``sid``, ``at``, ``size``) of all packed strings.
+
+    Hot minimisers are split by their next minimiser; what is still hot then is counted
+    window by window, by an aggregation that combines before it shuffles.
+    """
+    resolved = ["sid", "at", "size"]
+    first = grouped(rows, method.solve, Deeper(scheme, method), "windows")
+    parts = first.filter(F.col("digest").isNotNull())
+    again = parts.select("minimiser", F.col("digest").alias("sid"), "body", "n")
+    second = grouped(again, method.solve, Single(method), "windows")
+    single = second.filter(F.col("digest").isNotNull())
+    often = single.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1")
+    counted = single.join(often, "digest").select("sid", "at", F.lit(1).alias("size"))
+    inner = second.filter(F.col("digest").isNull()).select(*resolved).unionByName(counted)
+    inner = inner.withColumnsRenamed({"sid": "digest", "at": "_at", "size": "_size"})
+    deeper = parts.join(inner, "digest").select(
+        "sid", (F.col("at") + F.col("_at")).alias("at"), F.col("_size").alias("size")
+    )
+    return first.filter(F.col("digest").isNull()).select(*resolved).unionByName(deeper)
+
+
+def spans(docs: DataFrame, scheme: Scheme, method: Method) -> DataFrame:
     """For each document with repeated windows, their runs: first window and number."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(repeated_map(docs, scheme))
-    repeated = repeated_windows(contents(docs, scheme, bitmap), solve, windows)
+    repeated = repeated_windows(contents(docs, scheme, bitmap), scheme, method)
     # A string with many places meets one row or a few here; such keys can be split.
     hits = places(docs, scheme, bitmap).join(repeated, "sid")
     return hits.groupBy(*KEYS).agg(
