@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,10 +27,13 @@ from pyspark.sql import DataFrame
 
 from adloom.llm import common as C
 
-#: Pieces whose ids a task remembers, and the longest of them in bytes.
+#: Pieces whose ids a task remembers, twice over, and the longest of them.
 CACHE = 250_000
-CACHED_BYTES = 64
+CACHED_CHARS = 64
 _NO_LIMIT = 1 << 60
+_SHORT = (2, 1)
+#: White space outside ASCII, and controls that some engines count as such.
+_OTHER_SPACE = regex.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -52,17 +56,19 @@ class Encoder:
     #: The merge that makes each token, and the token that each merge makes.
     parts: list[tuple[int, int]] = field(init=False)
     merge: dict[tuple[int, int], int] = field(init=False)
-    #: Lengths of the tokens that end with a given byte and fit into so many bytes,
-    #: longest first; the last entry holds for all longer prefixes.
-    lengths: list[list[tuple[int, ...]]] = field(init=False)
+    #: Lengths of the tokens that end with the given three bytes, longest first, followed
+    #: by the lengths of shorter tokens.
+    lengths: dict[bytes, tuple[int, ...]] = field(init=False)
     #: Bytes of the longest token.
     reach: int = field(init=False)
-    fits: dict[int, bool] = field(init=False)
+    fits: dict[tuple[int, int], bool] = field(init=False)
     ids_of: dict[str, bytes] = field(init=False)
+    older_ids: dict[str, bytes] = field(init=False)
 
     def __post_init__(self) -> None:
         self.rank = {token: i for i, token in enumerate(self.tokens)}
-        self.parts, self.merge, self.fits, self.ids_of = [], {}, {}, {}
+        self.parts, self.merge, self.fits = [], {}, {}
+        self.ids_of, self.older_ids = {}, {}
         for number, token in enumerate(self.tokens):
             self.parts.append((number, number))
             for cut in range(len(token) - 1, 0, -1):
@@ -74,17 +80,15 @@ class Encoder:
                     self.merge[left, right] = number
                     break
         self.fits = {}
-        by_end: list[set[int]] = [set() for _ in range(256)]
-        for token in self.tokens:
-            by_end[token[-1]].add(len(token))
         self.reach = max(map(len, self.tokens), default=0)
-        self.lengths = [
-            [tuple(sorted((s for s in sizes if s <= n), reverse=True)) for n in range(self.reach + 1)]
-            for sizes in by_end
-        ]
+        by_end: dict[bytes, set[int]] = {}
+        for token in self.tokens:
+            if len(token) > 2:
+                by_end.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.lengths = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in by_end.items()}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}, "ids_of": {}}
+        return self.__dict__ | {"fits": {}, "ids_of": {}, "older_ids": {}}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of both strings together is just these two tokens.
@@ -118,63 +122,98 @@ class Encoder:
                     return True
                 left = inner
 
-    def last_token(self, text: bytes, end: int, last: array) -> int:
-        """The token that ends the encoding of ``text[:end]``; ``last`` holds shorter ones."""
-        find, known, reach = self.rank.get, self.fits.get, self.reach
-        for size in self.lengths[text[end - 1]][end if end < reach else reach]:
-            token = find(text[end - size : end])
-            if token is None:
-                continue
-            if size == end:
-                return token
-            before = last[end - size]
-            good = known(before << 32 | token)
-            if good is None:
-                if len(self.fits) > 4 * CACHE:
-                    self.fits.clear()
-                good = self.fits[before << 32 | token] = self.may_follow(before, token)
-            if good:
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def extend(self, text: bytes, last: array) -> array:
-        """Add the entries that are missing for the prefixes of ``text``."""
-        for end in range(len(last), len(text) + 1):
-            last.append(self.last_token(text, end, last))
+    def extend(self, text: bytes, last: list[int], until: int | None = None) -> list[int]:
+        """Add the last tokens of the prefixes of ``text`` that ``last`` does not hold yet."""
+        find, fits, lengths = self.rank.get, self.fits, self.lengths.get
+        for end in range(len(last), (len(text) if until is None else until) + 1):
+            for size in lengths(text[end - 3 : end], _SHORT) if end > 2 else _SHORT:
+                if size > end:
+                    continue
+                token = find(text[end - size : end])
+                if token is None:
+                    continue
+                if size == end:
+                    break
+                before = last[end - size]
+                good = fits.get((before, token))
+                if good is None:
+                    if len(fits) > 4 * CACHE:
+                        fits.clear()
+                    good = fits[before, token] = self.may_follow(before, token)
+                if good:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
         return last
 
-    def walk_back(self, last: array) -> list[int]:
+    def walk_back(self, last: list[int]) -> list[int]:
         """The ids of the whole text behind the entries."""
-        ids, end = [], len(last) - 1
+        ids, end, tokens = [], len(last) - 1, self.tokens
         while end:
-            ids.append(last[end])
-            end -= len(self.tokens[last[end]])
-        return ids[::-1]
+            token = last[end]
+            ids.append(token)
+            end -= len(tokens[token])
+        ids.reverse()
+        return ids
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece, without splitting it further."""
-        return self.walk_back(self.extend(piece, array("q", [0])))
+        whole = self.rank.get(piece)  # a token is its own encoding
+        return self.walk_back(self.extend(piece, [0])) if whole is None else [whole]
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
         """Ids of all pieces one after the other, as little-endian 32-bit numbers."""
         known = self.ids_of
-        try:
-            return b"".join([known[piece] for piece in pieces])
-        except KeyError:
-            pass
         result = []
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                raw = piece.encode()
-                ids = np.array(self.encode_piece(raw), "<u4").tobytes()
-                if len(raw) <= CACHED_BYTES:
+                ids = self.older_ids.get(piece)
+                if ids is None:
+                    numbers = self.encode_piece(piece.encode())
+                    ids = struct.pack(f"<{len(numbers)}I", *numbers)
+                if len(piece) <= CACHED_CHARS:
                     if len(known) >= CACHE:
-                        known.clear()
+                        # What was not used since the last time is forgotten.
+                        self.older_ids, self.ids_of = known, {}
+                        known = self.ids_of
                     known[piece] = ids
             result.append(ids)
         return b"".join(result)
 
+    def encode_texts(self, texts: pa.Array, split: Callable[[str], list[str]]) -> list[bytes]:
+        """Ids of every text. Each distinct chunk of a slice is split and encoded once.
+
+        A chunk is a run of other bytes with the ASCII space before it; the pattern never
+        joins what lies on both sides of its end. Texts with other white space, whose
+        runs could reach over that end, are split as a whole.
+        """
+        raw, begin = C.padded(texts)
+        space = C.is_space(raw)
+        opens = np.zeros(len(raw), bool)
+        opens[1:] = space[1:] & ~space[:-1]
+        opens[begin[1:] - 1] = False  # the added space
+        opens[begin[:-1][np.diff(begin) > 0]] = True
+        keep = np.ones(len(raw), bool)
+        keep[begin[1:] - 1] = False
+        data = raw[keep]
+        place = np.flatnonzero(opens)
+        owner = np.searchsorted(begin, place, "right") - 1
+        start = np.append(place - owner, len(data))
+        first = np.searchsorted(owner, np.arange(len(begin)))
+        chunks = C.Words(data, start, first).encode_raw()
+        coded = [self.encode_pieces(split(chunk.decode())) for chunk in chunks[1]]
+        number = chunks[0].tolist()
+        result = []
+        for row, text in enumerate(texts.to_pylist()):
+            if text is not None and _OTHER_SPACE.search(text):
+                result.append(self.encode_pieces(split(text)))
+            else:
+                mine = number[first[row] : first[row + 1]]
+                result.append(b"".join(map(coded.__getitem__, mine)))
+        return result
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -185,7 +224,7 @@ class Text:
 
     encoder: Encoder
     raw: bytes = b""
-    last: array = field(default_factory=lambda: array("q", [0]))
+    last: list[int] = field(default_factory=lambda: [0])
 
     def __post_init__(self) -> None:
         self.encoder.extend(self.raw, self.last)
@@ -206,18 +245,16 @@ class Text:
         """
         old, shift = self.last, len(new) - (end - begin)
         self.raw = self.raw[:begin] + new + self.raw[end:]
-        reach = self.encoder.reach
         self.last = old[: begin + 1]
         equal = 0
         while len(self.last) <= len(self.raw):
             at = len(self.last)
-            self.last.append(self.encoder.last_token(self.raw, at, self.last))
+            self.encoder.extend(self.raw, self.last, at)
             after_edit = at > begin + len(new)
             equal = equal + 1 if after_edit and self.last[at] == old[at - shift] else 0
-            if equal >= reach:
-                made = at - begin
+            if equal >= self.encoder.reach:
                 self.last.extend(old[at - shift + 1 :])
-                return made
+                return at - begin
         return len(self.raw) - begin
 
 
@@ -231,8 +268,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = shared.value
         split = regex.compile(pattern).findall
         rows = []
-        for text in part.column("text").to_pylist():
-            ids = encoder.encode_pieces(split(text))
+        for ids in encoder.encode_texts(part.column("text"), split):
             decoded = encoder.decode(np.frombuffer(ids, "<u4"))
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                          hashlib.sha256(decoded).hexdigest()))
