@@ -101,16 +101,16 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
             FROM documents),
         windows AS (
-            SELECT doc_id, at, array_to_string(words[at : at + 34], ' ') AS content
-            FROM texts, unnest(generate_series(1, len(words) - 34)) AS t(at)),
+            SELECT doc_id, pos, array_to_string(words[pos : pos + 34], ' ') AS content
+            FROM texts, unnest(generate_series(1, len(words) - 34)) AS t(pos)),
         repeated AS (SELECT content FROM windows GROUP BY content HAVING count(*) > 1),
         removed AS (
-            SELECT DISTINCT doc_id, unnest(generate_series(at, at + 34)) AS at
+            SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 34)) AS pos
             FROM windows SEMI JOIN repeated USING (content)),
         kept AS (
-            SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS content, count(*) AS n
-            FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM texts)
-            ANTI JOIN removed USING (doc_id, at) GROUP BY doc_id)
+            SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS content, count(*) AS n
+            FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts)
+            ANTI JOIN removed USING (doc_id, pos) GROUP BY doc_id)
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
                CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(content, '')) AS kept_sha256
