@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adloom.functions.html import Selector
 from adloom.functions.text import signature
 from adloom.operators.backlog import timestamp
+from adloom.session import spread
 from adloom.sources.rules import RuleSet
 
 AS_OF = datetime(2024, 1, 31, 12, 34, 56)
@@ -41,21 +42,12 @@ def minutes_ago(minutes: Column) -> Column:
     return timestamp(AS_OF) - F.expr("INTERVAL '1' MINUTE") * minutes
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt out before costly work.
-
-    A small table may be one row group, which one task would have to work off.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
