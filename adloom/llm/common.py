@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.session import shared_dir
+from adloom.session import shared_dir, spread
 
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2000
@@ -31,7 +31,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return rows.select(*columns) if columns else rows
+    return spread(rows.select(*columns) if columns else rows)
 
 
 def staged(rows: DataFrame, label: str) -> DataFrame:
@@ -99,14 +99,18 @@ class Words:
 
     def encode(self) -> tuple[np.ndarray, list[bytes]]:
         """A number for every word, and the distinct words by number."""
+        number, names = self.encode_raw()
+        return number, [name[:-1] for name in names]
+
+    def encode_raw(self) -> tuple[np.ndarray, list[bytes]]:
+        """The same with what follows each word."""
         if len(self.start) == 1:
             return np.zeros(0, np.int64), []
         offsets = pa.py_buffer(self.start.astype(np.int32))
         array = pa.Array.from_buffers(
             pa.binary(), len(self.start) - 1, [None, offsets, pa.py_buffer(self.data)]
         ).dictionary_encode()
-        names = [word[:-1] for word in array.dictionary.to_pylist()]
-        return array.indices.to_numpy(False).astype(np.int64), names
+        return array.indices.to_numpy(False).astype(np.int64), array.dictionary.to_pylist()
 
 
 def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
