@@ -45,9 +45,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, dealt out before costly work.
+    """A table that is read in fewer parts than there are cores, dealt out to all of them.
 
     A small table may be one row group, which one task would have to work off.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
