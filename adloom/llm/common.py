@@ -26,12 +26,12 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The table of documents, restricted to the columns that are needed."""
-    return table(spark, sf_dir, "documents", *columns)
+    return spread(table(spark, sf_dir, "documents", *columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows.select(*columns) if columns else rows)
+    return rows.select(*columns) if columns else rows
 
 
 def staged(rows: DataFrame, label: str) -> DataFrame:

@@ -20,12 +20,11 @@ from adloom.llm import (
     suffixes,
     toxicity,
 )
+from adloom.session import spread
 
 #: Vocabularies of public tokenizers; every operator takes such a path as a parameter.
-BPE_JSON, BPE_RANKS, PIECES = map(
-    public_tokenizers.path,
-    ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"),
-)
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +49,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = C.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = spread(C.table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return extract.main_texts(pages, extract.fit(extract.labelled_pages()))
 
 
@@ -73,7 +72,7 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprints(C.documents(spark, sf_dir, "doc_id", "text"))
+    return fingerprint.fingerprints(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
