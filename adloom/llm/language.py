@@ -43,7 +43,7 @@ MARK = "▁"
 LONGEST = 12
 #: Words in one forward pass, and letters beyond which a word has a pass of its own, with
 #: scaled sums.
-BLOCK = 50_000
+BLOCK = 20_000
 LONG_WORD = 40
 #: Base of the rolling hash that finds pieces, and bits of a bitmap over it.
 _BASE, _BITMAP = np.uint64(0x100000001B3), 19
