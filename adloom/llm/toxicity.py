@@ -36,9 +36,9 @@ EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.02, 1e-4
 #: Sampled texts that must hold a bucket for it to be trained; the others stay zero.
 LEAST_TEXTS = 4
 #: Words in a window, and epochs on whole texts before the windows.
-WINDOW, WHOLE_EPOCHS = 4, 3
+WINDOW, WHOLE_EPOCHS = 2, 3
 #: Factor on the averaged vector, since one word among hundreds must be able to decide.
-GAIN = 100.0
+GAIN = 10.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 

@@ -115,7 +115,8 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert odd[0] > 0.5 > odd[1] and odd[2] == odd[3]
 
 
-def test_windows_cover_the_text():
+def test_windows_cover_the_text(monkeypatch):
+    monkeypatch.setattr(T, "WINDOW", 4)
     first = np.array([0, 0, 3, 20, 24])
     begin, owner = T.windows(first)
     assert begin[0] == 0 and begin[-1] == 24 and (np.diff(begin) >= 0).all()
