@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from adloom.llm import common as C
 
 SHINGLE = 5
-BINS_LOG, BITS = 8, 8
+BINS_LOG, BITS = 8, 4
 BINS = 1 << BINS_LOG
 #: Random probes of an empty bin, before the bins that are left are ranked at once.
 PROBES = 10
@@ -31,6 +31,8 @@ PROBES = 10
 GAP = "[\\x20\\x09-\\x0D]+"
 EDGE = " \t\n\x0b\f\r"
 KEYS = ("_k1", "_k2")
+#: Stands for a missing id; the smallest long is read as one.
+NO_ID = -(1 << 63)
 #: A bin's largest hash, which stands for "empty" until it is filled.
 _SHIFT = 64 - BINS_LOG
 _LAST = (1 << _SHIFT) - 1
@@ -63,8 +65,12 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     packed = F.array_join(
         F.transform(
             b,
-            lambda x: F.coalesce(
-                F.substring(F.hex(x.bitwiseAND(F.lit(low)) + (1 << BITS)), 2, BITS // 4), digit
+            # Mixed with the bin's number: a value that fills many bins agrees by chance in
+            # each of them independently.
+            lambda x, i: F.when(x.isNull(), digit).otherwise(
+                F.substring(
+                    F.hex(F.xxhash64(x, i).bitwiseAND(F.lit(low)) + (1 << BITS)), 2, BITS // 4
+                )
             ),
         ),
         "",
@@ -109,7 +115,7 @@ def likeness(a: str, b: str) -> Column:
 
 def key_columns() -> tuple[Column, Column]:
     return (
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias(KEYS[0]),
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(KEYS[0]),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias(KEYS[1]),
     )
 
@@ -143,16 +149,20 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, following: DataFrame) -> DataFrame:
-    """Each text with its last third replaced by the start of the next document."""
-    rows = docs.select("doc_id", C.text_or_empty(), *key_columns())
-    texts = rows.select(F.col(KEYS[0]).alias("_n1"), F.col(KEYS[1]).alias("_n2"), "text")
-    sizes = rows.select(*KEYS, F.char_length("text").alias("_n"))
-    wanted = following.join(sizes.distinct(), list(KEYS))
+    """Each text with its last third replaced by the start of the next document.
+
+    Both joins need the texts by their own key, so they are shuffled once.
+    """
+    rows = docs.select(C.text_or_empty(), *key_columns())
+    sizes = rows.select(*KEYS, F.char_length("text").alias("_n")).distinct()
+    wanted = following.join(sizes, list(KEYS)).select(
+        F.col(KEYS[0]).alias("_for1"), F.col(KEYS[1]).alias("_for2"), "_n", "_n1", "_n2"
+    )
     third = F.floor(F.col("_n") / 3).cast("int")
     heads = (
-        texts.join(wanted, ["_n1", "_n2"])
-        .select(*KEYS, F.substring("text", F.lit(1), third).alias("_head"))
-        .groupBy(*KEYS)
+        rows.join(wanted, (F.col(KEYS[0]) == F.col("_n1")) & (F.col(KEYS[1]) == F.col("_n2")))
+        .select("_for1", "_for2", F.substring("text", F.lit(1), third).alias("_head"))
+        .groupBy(F.col("_for1").alias(KEYS[0]), F.col("_for2").alias(KEYS[1]))
         .agg(F.first("_head").alias("_head"))
     )
     size = F.char_length("text")
@@ -164,28 +174,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they look."""
     following = C.staged(successors(docs.select(*key_columns())), "following")
     rows = edited(docs, following).select(
-        "doc_id",
         *KEYS,
         "text",
         "_edited",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
     )
-    rows = with_fingerprint(with_fingerprint(rows, "text", "fingerprint"), "_edited", "edited_fingerprint")
+    rows = with_fingerprint(rows, "text", "fingerprint")
+    rows = with_fingerprint(rows, "_edited", "edited_fingerprint")
     made = C.staged(rows.drop("text", "_edited"), "minhash")
-    own = made.select(
-        F.col(KEYS[0]).alias("_n1"), F.col(KEYS[1]).alias("_n2"), F.col("fingerprint").alias("_next")
-    ).groupBy("_n1", "_n2").agg(F.max("_next").alias("_next"))
-    return (
-        made.join(following, list(KEYS))
-        .join(own, ["_n1", "_n2"])
-        .select(
-            "doc_id",
-            "n_chars",
-            "edited_sha256",
-            "fingerprint",
-            "edited_fingerprint",
-            likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-            likeness("fingerprint", "_next").alias("near_next"),
-        )
+    own = made.groupBy(*(F.col(k).alias(n) for k, n in zip(KEYS, ("_n1", "_n2")))).agg(
+        F.max("fingerprint").alias("_next")
+    )
+    after = following.join(own, ["_n1", "_n2"]).select(*KEYS, "_next")
+    return made.join(after, list(KEYS)).select(
+        F.nullif(F.col(KEYS[0]), F.lit(NO_ID)).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "_next").alias("near_next"),
     )
