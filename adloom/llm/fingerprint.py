@@ -94,12 +94,11 @@ def densified(bins: str, value: Column, at: Column) -> Column:
     probes = [filled(bins, F.pmod(F.xxhash64(at, F.lit(t)), F.lit(BINS)).cast("int"))
               for t in range(PROBES)]
     # What is left of the sequence: the filled bin with the least rank for this bin.
-    ranked = F.transform(
-        F.filter(
-            F.transform(bins, lambda x, j: F.struct(F.xxhash64(at, j, F.lit(-1)).alias("r"), x.alias("v"))),
-            lambda s: s["v"].bitwiseAND(F.lit(_LAST)) != _LAST,
+    ranked = F.filter(
+        F.transform(
+            bins, lambda x, j: F.struct(F.xxhash64(at, j, F.lit(-1)).alias("r"), x.alias("v"))
         ),
-        lambda s: s,
+        lambda s: s["v"].bitwiseAND(F.lit(_LAST)) != _LAST,
     )
     return F.coalesce(own, *probes, F.array_min(ranked)["v"])
 

@@ -28,7 +28,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from adloom.llm import common as C
 from adloom.llm import superkmers as S
 from adloom.llm.substrings import joined_runs
 
