@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from adloom.llm import common as C
 
 #: Windows that are looked at together; a place in them must fit into ``_PLACE`` bits.
+#: What lies at the border of two blocks is joined, so no string depends on it.
 BLOCK = 1 << 20
 _PLACE = 22
 #: Bits of the map of minimisers met more than once. Its size is fixed: when it fills up
@@ -123,7 +124,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -> SuperKmers:
     """All super-k-mers of a slice, in order.
 
-    ``above`` gives a hash for each text; only m-mers with a larger one are then looked at.
+    Each depends on its own text alone, not on the texts that share the slice. ``above``
+    gives a hash for each text; only m-mers with a larger one are then looked at.
     """
     window, m, total = scheme.window, scheme.mmer, len(units.hashes)
     parts = []
@@ -146,11 +148,17 @@ def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -
         size = np.add.reduceat(inside.astype(np.int64), begin)
         keep = size > 0
         begin, size = begin[keep], size[keep]
-        parts.append((mm[place[begin]], begin + low, size, owner[begin]))
+        parts.append((mm[place[begin]], begin + low, size, owner[begin], place[begin] + low))
     if not parts:
         none = np.zeros(0, np.int64)
         return SuperKmers(none.astype(np.uint64), none, none, none)
-    return SuperKmers(*(np.concatenate(column) for column in zip(*parts)))
+    minimiser, begin, size, text, at = (np.concatenate(column) for column in zip(*parts))
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    if len(first) < len(at):
+        size = np.add.reduceat(size, first)
+    return SuperKmers(minimiser[first], begin[first], size, text[first])
 
 
 def bodies(units: Units, found: SuperKmers, window: int) -> list[bytes]:

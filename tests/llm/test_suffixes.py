@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from adloom.llm import substrings as W
 from adloom.llm import suffixes as B
 from adloom.llm import superkmers as S
 
@@ -46,6 +48,20 @@ def brute(texts):
     return rows
 
 
+def brute_words(texts):
+    docs = [t.split() for t in texts]
+    seen = Counter(tuple(d[i : i + 35]) for d in docs for i in range(len(d) - 34))
+    rows = []
+    for d in docs:
+        gone = [False] * len(d)
+        for i in range(len(d) - 34):
+            if seen[tuple(d[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        kept = " ".join(w for w, g in zip(d, gone) if not g)
+        rows.append((len(d), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return rows
+
+
 def texts(seed):
     rng = random.Random(seed)
     prose = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
@@ -74,3 +90,37 @@ def test_repeated_and_missing_ids_and_empty_table(as_docs):
     got = B.digests(as_docs(given, ids=[None, 3, 3, 3] * (len(given) // 4) + [3] * (len(given) % 4)))
     assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(brute(given))
     assert B.digests(as_docs(["a"]).filter("doc_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("scheme", [B.SCHEME, W.SCHEME])
+@pytest.mark.parametrize("block", [1, 97, 1000])
+def test_super_kmers_do_not_depend_on_the_slice(monkeypatch, scheme, block):
+    """A text has the same packed strings alone and behind others, whatever the blocks are."""
+    rng = random.Random(block)
+    prose = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    given = [prose(n) for n in (1200, 0, 37, 3000, 401, 2500)] + ["ab " * 500]
+
+    def strings(texts):
+        units = scheme.units(pa.array(texts, pa.string()))
+        found = S.super_kmers(units, scheme)
+        return found.text.tolist(), S.bodies(units, found, scheme.window)
+
+    alone = [strings([t])[1] for t in given]
+    monkeypatch.setattr(S, "BLOCK", block)
+    for order in (range(len(given)), range(len(given) - 1, -1, -1)):
+        owner, found = strings([given[i] for i in order])
+        got = [[b for t, b in zip(owner, found) if t == row] for row in range(len(given))]
+        assert got == [alone[i] for i in order]
+
+
+@pytest.mark.parametrize("method, brute_force", [(B, brute), (W, brute_words)])
+def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, method, brute_force):
+    monkeypatch.setattr(S, "BLOCK", 701)
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("abcde") * rng.randint(1, 4) for _ in range(n))
+    shared = [prose(400) for _ in range(4)]
+    given = [prose(rng.randint(0, 200)) + " " + rng.choice(shared) + " " + prose(rng.randint(0, 200))
+             for _ in range(60)]
+    docs = as_docs(given).repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in method.digests(docs).collect()}
+    assert [got[i] for i in range(len(given))] == brute_force(given)
