@@ -51,6 +51,10 @@ SILENT_TAGS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}}
 _NAME = re.compile("[a-z]+")
+#: Marked sections that the parser of the standard library knows.
+_SECTION = re.compile(
+    r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE | re.ASCII
+)
 #: Steps of training, step size, and weight of the penalty on large weights.
 STEPS, RATE, PENALTY = 150, 0.1, 0.02
 LABELLED_PAGES = 600
@@ -138,6 +142,11 @@ class Blocks(HTMLParser):
         if place >= 0:
             self.pop(place)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """An unknown section is a comment up to the next ``>``; the parser would raise."""
+        known = _SECTION.match(self.rawdata, i)
+        return super().parse_marked_section(i, report) if known else self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)

@@ -34,6 +34,31 @@ def test_blocks(html, want):
     assert [b.text for b in X.blocks(html)] == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>a<![foo[x]>b<p>c", ["ab", "c"]),
+        ("<p>a<![foo[ x > b ]]><p>c", ["a b ]]>", "c"]),
+        ("<p>a<![ b><p>c", ["a", "c"]),
+        ("<p>a<![[y]]><p>c", ["a", "c"]),
+        ("<p>a<![iffy]><![if-x]><![]><![&]>b", ["ab"]),
+        ("<p>a<![ b", ["a<![ b"]),
+        ("<p>a<![[y", ["a<![[y"]),
+        ("<p>a<![foo[ b", ["a<![foo[ b"]),
+        ("<p>a<![CDATA[ x ]]><![if !IE]>b<![endif]>c", ["abc"]),
+    ],
+)
+def test_marked_sections(html, want):
+    assert [b.text for b in X.blocks(html)] == want
+
+
+def test_no_marked_section_raises():
+    rng = random.Random(5)
+    pieces = ["<![", "[", "]", ">", "]]>", "if", "CDATA", "foo", " ", "<p>", "-", "é", "İ", "ſ", "<", "!", "&#1;", "-->"]
+    for _ in range(3000):
+        X.blocks("<p>a<![" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))))
+
+
 def test_viterbi_finds_the_best_labels():
     rng = random.Random(1)
     for _ in range(30):
