@@ -13,7 +13,8 @@ are the connected components of all links.
 
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any
 other. Rows that repeat an id stand in one group if their texts do; rows without an id
-belong to the group of their text, and a group without any id has no component id. An
+belong to the group of their text, and a group without any id has no component id. The
+filter keeps one row of every group, also of repeated rows and of rows without an id. An
 empty table gives no rows. Other columns are not read by the query, and are handed on by
 the filter.
 """
@@ -85,12 +86,18 @@ def majority(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return result
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
+def with_fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """Id and fingerprint of every row, and more columns of longs that are handed on."""
+
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         made = fingerprints(part.column("text")).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(made), *(part.column(name) for name in also)],
+            names=["doc_id", "fp", *also],
+        )
 
-    return C.map_slices(docs.select("doc_id", C.text_or_empty()), work, PRINTS)
+    schema = ", ".join([PRINTS, *(f"{name} long" for name in also)])
+    return C.map_slices(docs.select("doc_id", C.text_or_empty(), *also), work, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -289,16 +296,19 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Fingerprint (``fp``) and component of every document."""
-    prints = C.staged(with_fingerprints(docs), "fingerprints")
+def groups(docs: DataFrame, *also: str) -> DataFrame:
+    """Fingerprint (``fp``) and component of every document, and more columns handed on.
+
+    ``root`` tells components apart, also those without a ``component_id``.
+    """
+    prints = C.staged(with_fingerprints(docs, *also), "fingerprints")
     distinct = C.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     joined = components(links(distinct, distinct.count()))
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = rooted.join(lowest, "root").select("fp", "component_id")
+    by_print = rooted.join(lowest, "root").select("fp", "root", "component_id")
     # Many documents may share a fingerprint; the other side has it once.
     return prints.join(by_print, "fp")
 
@@ -312,13 +322,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every group, with all its columns.
+    """One row of every group, that with the smallest id, with all its columns.
 
-    Rows without an id stay only where no row of their group has one.
+    A row without an id stays only where no row of its group has one. Of rows that share
+    the id, that with the least hash of its text stays, and of those that share the text as
+    well the least by all columns.
     """
-    found = groups(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    lone = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    return docs.withColumn("_id", lone).join(
-        kept.select(lone.alias("_id")), "_id", "left_semi"
-    ).select(*docs.columns)
+    key = {
+        "_none": F.col("doc_id").isNull(),
+        "_id": F.coalesce("doc_id", F.lit(0)),
+        "_text": F.xxhash64(F.coalesce("text", F.lit(""))),
+    }
+    found = groups(docs.select("doc_id", "text", key["_text"].alias("_text")), "_text")
+    first = F.min(F.struct(key["_none"].alias("_none"), key["_id"].alias("_id"), "_text"))
+    kept = found.groupBy("root").agg(first.alias("_first")).select("_first.*")
+    # Equal rows are combined before they are dealt out.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in key.items()))
+    rows = rows.groupBy(*key).agg(F.min("_row").alias("_row"))
+    return rows.join(kept, list(key), "left_semi").select("_row.*")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,3 +104,16 @@ def test_missing_ids_and_empty_table(as_docs):
     assert B.one_of_each_group(as_docs(["a b"] * 2, ids=[None, 1])).count() == 1
     empty = as_docs(["a"]).filter("doc_id < 0")
     assert B.report(empty).count() == 0
+
+
+def test_one_row_of_each_group_with_repeated_rows_and_missing_ids(as_docs):
+    a, b, c, d = ("one two three four five", "other words stand in here", "nothing of it again now",
+                  "a fourth text without any id")
+    rows = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (None, c), (3, c), (3, c), (None, d),
+            (9, None), (9, ""), (3, "same id but far from the other text")]
+    docs = as_docs([t for _, t in rows], ids=[i for i, _ in rows]).repartition(3)
+    kept = B.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text or "", r.n_chars or 0) for r in kept.collect())
+    want = [(5, a), (None, b), (3, c), (None, d), (9, ""), (3, rows[-1][1])]
+    assert got == Counter((i, t, len(t)) for i, t in want)
