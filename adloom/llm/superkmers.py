@@ -351,6 +351,8 @@ def grouped(rows: DataFrame, solve: Solver, cut: Deeper | Single, label: str) ->
                         ready.append(held)
                     held, last, held_bytes, flooded = Group([], [], []), key, 0, False
                 if flooded:
+                    if loose and loose[-1][:2] == (key, sid):
+                        n += loose.pop()[3]
                     loose.append((key, sid, body, n))
                 elif held.sid and held.sid[-1] == sid:
                     held.n[-1] += n
@@ -384,7 +386,8 @@ def repeated_windows(rows: DataFrame, scheme: Scheme, method: Method) -> DataFra
     """Runs of repeated windows (``sid``, ``at``, ``size``) of all packed strings.
 
     Hot minimisers are split by their next minimiser; what is still hot then is counted
-    window by window, by an aggregation that combines before it shuffles.
+    window by window, by an aggregation that combines before it shuffles. A run is given
+    once, however many slices sent its string.
     """
     resolved = ["sid", "at", "size"]
     first = grouped(rows, method.solve, Deeper(scheme, method), "windows")
@@ -395,8 +398,8 @@ def repeated_windows(rows: DataFrame, scheme: Scheme, method: Method) -> DataFra
     often = single.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1")
     counted = single.join(often, "digest").select("sid", "at", F.lit(1).alias("size"))
     inner = second.filter(F.col("digest").isNull()).select(*resolved).unionByName(counted)
-    inner = inner.withColumnsRenamed({"sid": "digest", "at": "_at", "size": "_size"})
-    deeper = parts.join(inner, "digest").select(
+    inner = inner.distinct().withColumnsRenamed({"sid": "digest", "at": "_at", "size": "_size"})
+    deeper = parts.select("digest", "sid", "at").distinct().join(inner, "digest").select(
         "sid", (F.col("at") + F.col("_at")).alias("at"), F.col("_size").alias("size")
     )
     return first.filter(F.col("digest").isNull()).select(*resolved).unionByName(deeper)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from adloom.llm import substrings as W
 from adloom.llm import suffixes as B
@@ -114,7 +115,7 @@ def test_super_kmers_do_not_depend_on_the_slice(monkeypatch, scheme, block):
 
 
 @pytest.mark.parametrize("method, brute_force", [(B, brute), (W, brute_words)])
-def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, method, brute_force):
+def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, request, method, brute_force):
     monkeypatch.setattr(S, "BLOCK", 701)
     rng = random.Random(9)
     prose = lambda n: " ".join(rng.choice("abcde") * rng.randint(1, 4) for _ in range(n))
@@ -122,5 +123,25 @@ def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, method, brute_
     given = [prose(rng.randint(0, 200)) + " " + rng.choice(shared) + " " + prose(rng.randint(0, 200))
              for _ in range(60)]
     docs = as_docs(given).repartition(5)
+    # The workers take the functions with the small block along.
+    cloudpickle.register_pickle_by_value(S)
+    request.addfinalizer(lambda: cloudpickle.unregister_pickle_by_value(S))
     got = {r.doc_id: tuple(r)[1:] for r in method.digests(docs).collect()}
     assert [got[i] for i in range(len(given))] == brute_force(given)
+
+
+@pytest.mark.parametrize("held", [1500, 10])
+def test_flooded_strings_of_many_slices_give_their_runs_once(spark, monkeypatch, held):
+    monkeypatch.setattr(S, "GROUP_BYTES", held)
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcde \n") for _ in range(n))
+    line = prose(60)
+    given = [prose(500) + line + prose(500) for _ in range(8)] + ["ab" * 500]
+    found = S.super_kmers(B.units(pa.array(given)), B.SCHEME)
+    strings = S.bodies(B.units(pa.array(given)), found, B.WINDOW)
+    rows = [(m, S.digest(b), b, 1) for m, b in zip(found.minimiser.view(np.int64).tolist(), strings)]
+    sent = spark.createDataFrame(rows * 5, S.CONTENTS)
+    got = S.repeated_windows(sent, B.SCHEME, B.METHOD).collect()
+    windows = {(bytes(r.sid), r.at + i) for r in got for i in range(r["size"])}
+    assert windows == {(S.digest(b), i) for b in strings for i in range(len(b) - 399)}
+    assert len(windows) == sum(r["size"] for r in got)
