@@ -194,15 +194,18 @@ def repeated_map(docs: DataFrame, scheme: Scheme) -> bytes:
         .groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     )
-    result = bytearray(1 << (MAP_BITS - 3))
-    # 4 KB for each of at most 2 ** (MAP_BITS - 15) buckets, numbered from 1.
-    for row in rows.toLocalIterator():
-        at = (row.bucket - 1) * 4096
-        if 0 <= at < len(result):
-            result[at : at + 4096] = row.bits
-        else:  # slot 0 has bucket 0
-            result[0] |= 1
-    return bytes(result)
+    return joined_map((row.bucket, row.bits) for row in rows.toLocalIterator())
+
+
+def joined_map(buckets: Iterable[tuple[int, bytes]]) -> bytes:
+    """The bitmap of numbered buckets, in whatever order they come."""
+    result = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    # 4 KB for each of at most 2 ** (MAP_BITS - 15) buckets, numbered from 1; slot 0 alone
+    # has bucket 0 and shares the first bit of bucket 1.
+    for bucket, bits in buckets:
+        at = max(bucket - 1, 0) * 4096
+        result[at : at + 4096] |= np.frombuffer(bits, np.uint8)
+    return result.tobytes()
 
 
 def chosen(found: SuperKmers, bitmap: bytes) -> SuperKmers:

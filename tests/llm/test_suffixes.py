@@ -145,3 +145,17 @@ def test_flooded_strings_of_many_slices_give_their_runs_once(spark, monkeypatch,
     windows = {(bytes(r.sid), r.at + i) for r in got for i in range(r["size"])}
     assert windows == {(S.digest(b), i) for b in strings for i in range(len(b) - 399)}
     assert len(windows) == sum(r["size"] for r in got)
+
+
+def test_map_of_slots_keeps_slot_0_in_any_order():
+    slots = [0, 2, 32768, 32769, (1 << S.MAP_BITS) - 1]
+    rows = []
+    for slot in slots:
+        bits = bytearray(4096)
+        bits[(slot - 1) % 32768 // 8 if slot else 0] |= 1 << ((slot - 1) % 8 if slot else 0)
+        rows.append(((slot - 1) // 32768 + 1 if slot else 0, bytes(bits)))
+    minimiser = np.array([*slots, 3, 32767, 32770], np.uint64)
+    none = np.zeros(len(minimiser), np.int64)
+    for order in (rows, rows[::-1]):
+        kept = S.chosen(S.SuperKmers(minimiser, none, none, none), S.joined_map(order))
+        assert kept.minimiser.tolist() == slots
