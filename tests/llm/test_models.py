@@ -188,3 +188,12 @@ def test_ratio_and_verdicts(as_docs, spark):
     free = Q.fit(docs, labels.filter("quality = 1"))
     assert free.threshold == -math.inf
     assert Q.judge(docs.filter("doc_id < 0"), model).count() == 0
+
+
+def test_repeated_words_of_a_text_with_very_many_distinct_words():
+    last = 1 << 21
+    text = " ".join(map(str, range(last + 1)))
+    # By numbers of 21 bits, the windows (5, 1, 2**21) and (5, 1, 0) would be one.
+    text += f" 5 1 {last} 9 5 1 0"
+    found = Q.C.words(pa.array([text, "a b c a b c", text + " 7 8 9 5"]))
+    assert Q.repeated_words(found).tolist() == [0, 6, 6]
