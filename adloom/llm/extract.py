@@ -133,7 +133,9 @@ class Blocks(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        # Only a picture and what is drawn in it end there.
+        if tag != "svg" and self.find({"svg"}) < 0:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:

@@ -52,6 +52,18 @@ def test_marked_sections(html, want):
     assert [b.text for b in X.blocks(html)] == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><p>a<svg class="i"/> b<p>c</article>d', ["a b", "c", "d"]),
+        ("<p>a<svg><title/><style/><path d=x/>no</svg>b", ["ab"]),
+        ("<div/>a</div><p>b<i/>c", ["a", "bc"]),
+    ],
+)
+def test_self_closed_elements(html, want):
+    assert [b.text for b in X.blocks(html)] == want
+
+
 def test_no_marked_section_raises():
     rng = random.Random(5)
     pieces = ["<![", "[", "]", ">", "]]>", "if", "CDATA", "foo", " ", "<p>", "-", "é", "İ", "ſ", "<", "!", "&#1;", "-->"]
