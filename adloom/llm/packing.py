@@ -16,12 +16,15 @@ with the same or no id are packed each for itself, and their pieces are numbered
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ LENGTH = 1024
 SEPARATOR = 2
 #: Sequences that one task keeps open, and pieces that one task packs.
 OPEN = 8192
+#: White space in a row that tiktoken's pattern engine is trusted with.
+SPACE_RUN = 10_000
 PIECES_PER_TASK = 400_000
 #: Bits of a sequence number below the number of its task.
 TASK_SHIFT = 36
@@ -39,14 +44,28 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 def tokenizer(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text by the vocabulary's ranks; special strings are ordinary text."""
+    """Ids of a text by the vocabulary's ranks; special strings are ordinary text.
+
+    The engine behind tiktoken gives up on white space of about a million characters in a
+    row; texts with long runs are encoded by :mod:`adloom.llm.bpe`, which gives the same.
+    """
     import tiktoken
 
-    from adloom.llm.bpe import read_ranks
+    from adloom.llm.bpe import Encoder, read_ranks
 
-    ranks = {token: number for number, token in enumerate(read_ranks(ranks_path))}
+    tokens = read_ranks(ranks_path)
+    ranks = {token: number for number, token in enumerate(tokens)}
     coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+    long_run = re.compile(rf"\s{{{SPACE_RUN}}}")
+    own = cache(lambda: Encoder(tokens))
+    split = regex.compile(pattern).findall
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= SPACE_RUN and long_run.search(text):
+            return np.frombuffer(own().encode_pieces(split(text)), "<u4")
+        return coder.encode_to_numpy(text, disallowed_special=())
+
+    return encode
 
 
 def pieces(docs: DataFrame, load: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:

@@ -94,6 +94,22 @@ def test_packing_is_whole(as_docs):
     assert len(filled) <= -(-sum(r.length for r in rows) // 1024) + 2
 
 
+@pytest.mark.parametrize("sign", [" ", "\n", "x", "\u3000", " a", "1"])
+def test_very_long_runs(sign):
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = load_tokenizer()
+    for text in (sign * 1_000_000, f"a {sign * 20_000}b", sign * 9_999):
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_a_blank_text_does_not_fail_the_table(as_docs):
+    rows = packing.pack_documents(as_docs([" " * 1_000_000, "\n" * 2_000_000, "x"]), load_tokenizer).collect()
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for row, text in enumerate((" " * 1_000_000, "\n" * 2_000_000)):
+        n = len(plain.encode(text, add_special_tokens=False).ids) + 1
+        assert sum(r.length for r in rows if r.doc_id == row) == n
+
+
 def test_best_fit_and_bounded_space():
     packer = packing.Packer(10, most_open=2)
     assert packer.place(6) == (0, 0) and packer.place(5) == (1, 0)
