@@ -79,7 +79,7 @@ def joined_runs(hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
 
 
 METHOD = S.Method(
-    sort_and_count, windows, lambda bodies: pa.array(bodies, pa.binary()).cast(pa.string())
+    sort_and_count, lambda bodies: pa.array(bodies, pa.binary()).cast(pa.string())
 )
 
 

@@ -50,10 +50,6 @@ def units(texts: pa.Array) -> S.Units:
 SCHEME = S.Scheme(units, WINDOW, MMER)
 
 
-def windows(body: bytes) -> list[bytes]:
-    return [body[i : i + WINDOW] for i in range(len(body) - WINDOW + 1)]
-
-
 def substring_ranks(code: np.ndarray, bits: int, least: int) -> list[tuple[int, np.ndarray]]:
     """Ranks of the substrings that start at each place, by growing lengths.
 
@@ -220,7 +216,7 @@ def solved(groups: list[S.Group]) -> Iterator[tuple[bytes, int, int]]:
         yield ids[r], at, size
 
 
-METHOD = S.Method(factor_groups, windows, lambda bodies: pa.array(bodies, pa.large_binary()))
+METHOD = S.Method(factor_groups, lambda bodies: pa.array(bodies, pa.large_binary()))
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ _PLACE = 22
 MAP_BITS = 27
 #: Strings of one minimiser that a task holds; beyond, they are cut up and dealt out anew.
 GROUP_BYTES = 1_500_000
+#: Into how many runs of windows such a string is cut at a time, about.
+FAN = 8
 CONTENTS = "minimiser long, sid binary, body binary, n long"
 FOUND = "sid binary, at int, size int, digest binary, minimiser long, body binary, n long"
 #: A document, also when ids repeat or are missing.
@@ -64,10 +67,12 @@ class Scheme:
 @dataclass(frozen=True)
 class SuperKmers:
     minimiser: np.ndarray
-    #: First window and number of windows of each, and the text they belong to.
+    #: First window and number of windows of each, the text they belong to, and the place
+    #: of the minimiser.
     begin: np.ndarray
     size: np.ndarray
     text: np.ndarray
+    at: np.ndarray
 
 
 def key_columns() -> tuple[Column, Column]:
@@ -121,11 +126,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -> SuperKmers:
+def super_kmers(units: Units, scheme: Scheme) -> SuperKmers:
     """All super-k-mers of a slice, in order.
 
-    Each depends on its own text alone, not on the texts that share the slice. ``above``
-    gives a hash for each text; only m-mers with a larger one are then looked at.
+    Each depends on its own text alone, not on the texts that share the slice.
     """
     window, m, total = scheme.window, scheme.mmer, len(units.hashes)
     parts = []
@@ -134,9 +138,6 @@ def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -
         mm = mmers(hashes, m)
         owner = np.searchsorted(units.first, np.arange(low, low + len(hashes)), "right") - 1
         high = mm >> np.uint64(_PLACE)
-        if above is not None:
-            used = high <= above[owner[: len(mm)]] >> np.uint64(_PLACE)
-            high[used] = np.uint64((1 << (64 - _PLACE)) - 1)
         packed = (high << np.uint64(_PLACE)) | np.arange(len(mm), dtype=np.uint64)
         place = (sliding_min(packed, window - m + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         inside = owner[: len(place)] == owner[window - 1 :]
@@ -151,14 +152,14 @@ def super_kmers(units: Units, scheme: Scheme, above: np.ndarray | None = None) -
         parts.append((mm[place[begin]], begin + low, size, owner[begin], place[begin] + low))
     if not parts:
         none = np.zeros(0, np.int64)
-        return SuperKmers(none.astype(np.uint64), none, none, none)
+        return SuperKmers(none.astype(np.uint64), none, none, none, none)
     minimiser, begin, size, text, at = (np.concatenate(column) for column in zip(*parts))
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     if len(first) < len(at):
         size = np.add.reduceat(size, first)
-    return SuperKmers(minimiser[first], begin[first], size, text[first])
+    return SuperKmers(minimiser[first], begin[first], size, text[first], at[first])
 
 
 def bodies(units: Units, found: SuperKmers, window: int) -> list[bytes]:
@@ -170,11 +171,14 @@ def bodies(units: Units, found: SuperKmers, window: int) -> list[bytes]:
 
 
 def digest(body: bytes) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest(body)
 
 
+def number(body: bytes) -> int:
+    """A signed number of 64 bits for a string."""
+    return int.from_bytes(xxhash.xxh3_64_digest(body), "big", signed=True)
+
+
 def repeated_map(docs: DataFrame, scheme: Scheme) -> bytes:
     """A bitmap with a bit set for every minimiser that more than one super-k-mer has."""
 
@@ -215,7 +219,7 @@ def chosen(found: SuperKmers, bitmap: bytes) -> SuperKmers:
     at = np.maximum(slot - 1, 0)
     keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
     return SuperKmers(*(column[keep] for column in
-                        (found.minimiser, found.begin, found.size, found.text)))
+                        (found.minimiser, found.begin, found.size, found.text, found.at)))
 
 
 def contents(docs: DataFrame, scheme: Scheme, bitmap: Broadcast) -> DataFrame:
@@ -270,8 +274,6 @@ class Group:
 
 #: Solves groups: for each, which windows repeat, as (string number, first window, windows).
 Solver = Callable[[list[Group]], Iterable[tuple[bytes, int, int]]]
-#: Cuts a string into its windows.
-Windows = Callable[[bytes], list[bytes]]
 #: Makes an array of texts from packed strings.
 Texts = Callable[[list[bytes]], pa.Array]
 
@@ -281,50 +283,46 @@ class Method:
     """How groups are solved, and how their strings are cut up again."""
 
     solve: Solver
-    windows: Windows
     texts: Texts
 
 
-class Deeper:
-    """Strings of a hot minimiser, cut up by their next minimiser above it.
+@dataclass(frozen=True)
+class Slices:
+    """Cuts the strings of a hot minimiser into runs of at most ``step`` windows.
 
-    Equal windows have equal next minimisers too, so they meet again in smaller groups.
+    A window is told by how far before the minimiser it begins; equal windows begin equally
+    far before it. The runs end at multiples of ``step`` of that distance, and a run's key
+    is a digest of what all windows of a full run share. So equal windows meet again, and
+    strings that differ there part. With a step of 1 a key stands for one window.
     """
 
-    def __init__(self, scheme: Scheme, method: Method) -> None:
-        self.scheme, self.method = scheme, method
+    scheme: Scheme
+    method: Method
+    step: int
 
     def rows(self, loose: list[tuple[int, bytes, bytes, int]]) -> list[tuple]:
         if not loose:
             return []
         units = self.scheme.units(self.method.texts([body for _, _, body, _ in loose]))
-        above = np.array([key for key, _, _, _ in loose], np.int64).view(np.uint64)
-        found = super_kmers(units, self.scheme, above)
-        both = mixed(found.minimiser + mixed(above[found.text])).view(np.int64).tolist()
-        base = (found.begin - units.first[found.text]).tolist()
-        return [
-            (loose[text][1], at, None, digest(body), key, body, loose[text][3])
-            for text, at, key, body in zip(
-                found.text.tolist(), base, both, bodies(units, found, self.scheme.window)
-            )
-        ]
-
-
-class Single:
-    """Strings of a minimiser that is hot once more, window by window."""
-
-    def __init__(self, method: Method) -> None:
-        self.method = method
-
-    def rows(self, loose: list[tuple[int, bytes, bytes, int]]) -> list[tuple]:
-        return [
-            (sid, at, None, digest(window), None, None, n)
-            for _, sid, body, n in loose
-            for at, window in enumerate(self.method.windows(body))
-        ]
-
-
-def grouped(rows: DataFrame, solve: Solver, cut: Deeper | Single, label: str) -> DataFrame:
+        found = super_kmers(units, self.scheme)
+        data, start, gap = units.data, units.start.tolist(), units.gap
+        window, step = self.scheme.window, self.step
+        result = []
+        for text, begin, size, at in zip(*(c.tolist() for c in (found.text, found.begin, found.size, found.at))):
+            key, sid, _, n = loose[text]
+            first = int(units.first[text])
+            # Windows begin from ``near`` to ``far`` units before the minimiser.
+            near, far = at - (begin + size - 1), at - begin
+            for low in range(near - near % step, far + 1, step):
+                a = at - min(low + step - 1, far)
+                b = at - max(low, near) + window
+                shared = data[start[at - low] : start[at - low - step + 1 + window] - gap]
+                body = data[start[a] : start[b] - gap]
+                result.append((sid, a - first, None, digest(body), number(shared), body, n))
+        return result
+
+
+def grouped(rows: DataFrame, solve: Solver, cut: Slices, label: str) -> DataFrame:
     """Windows that start in two places or more, as runs of windows of each string.
 
     Groups arrive sorted and are merged as a stream. A minimiser whose strings outgrow
@@ -364,7 +362,8 @@ def grouped(rows: DataFrame, solve: Solver, cut: Deeper | Single, label: str) ->
                     held.body.append(body)
                     held.n.append(n)
                     held_bytes += len(body)
-                    if held_bytes > GROUP_BYTES:
+                    # Equal strings only add to a number, however many there are.
+                    if held_bytes > GROUP_BYTES and len(held.sid) > 1:
                         loose += zip([key] * len(held.sid), held.sid, held.body, held.n)
                         flooded, held = True, Group([], [], [])
             yield from found_rows(solve(ready), cut.rows(loose))
@@ -385,27 +384,45 @@ def found_rows(solved: Iterable[tuple[bytes, int, int]], cut: list) -> Iterator[
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def steps(scheme: Scheme) -> list[int]:
+    """Lengths of the runs that hot strings are cut into, one after the other, down to 1."""
+    result = [scheme.window - scheme.mmer + 1]
+    while result[-1] > 1:
+        result.append(-(-result[-1] // FAN))
+    return result[1:]
+
+
 def repeated_windows(rows: DataFrame, scheme: Scheme, method: Method) -> DataFrame:
     """Runs of repeated windows (``sid``, ``at``, ``size``) of all packed strings.
 
-    Hot minimisers are split by their next minimiser; what is still hot then is counted
-    window by window, by an aggregation that combines before it shuffles. A run is given
-    once, however many slices sent its string.
+    The strings of a hot minimiser are cut into a few runs of windows, which are grouped by
+    what their windows share and solved in the same way; of these the runs of groups that
+    are still hot are cut further. Only the run in which a string leaves what it has in
+    common with others is cut at each step, so that rows grow with the logarithm of the
+    windows. Runs of one window are equal strings, and copies of those are only counted. A
+    run is given once, however many slices sent its string.
     """
     resolved = ["sid", "at", "size"]
-    first = grouped(rows, method.solve, Deeper(scheme, method), "windows")
-    parts = first.filter(F.col("digest").isNotNull())
-    again = parts.select("minimiser", F.col("digest").alias("sid"), "body", "n")
-    second = grouped(again, method.solve, Single(method), "windows")
-    single = second.filter(F.col("digest").isNotNull())
-    often = single.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1")
-    counted = single.join(often, "digest").select("sid", "at", F.lit(1).alias("size"))
-    inner = second.filter(F.col("digest").isNull()).select(*resolved).unionByName(counted)
-    inner = inner.distinct().withColumnsRenamed({"sid": "digest", "at": "_at", "size": "_size"})
-    deeper = parts.select("digest", "sid", "at").distinct().join(inner, "digest").select(
-        "sid", (F.col("at") + F.col("_at")).alias("at"), F.col("_size").alias("size")
-    )
-    return first.filter(F.col("digest").isNull()).select(*resolved).unionByName(deeper)
+    levels = []
+    for step in steps(scheme):
+        found = grouped(rows, method.solve, Slices(scheme, method, step), "windows")
+        levels.append(found)
+        parts = found.filter(F.col("digest").isNotNull())
+        rows = parts.select("minimiser", F.col("digest").alias("sid"), "body", "n")
+        if parts.isEmpty():
+            break
+    else:
+        last = grouped(rows, method.solve, Slices(scheme, method, 1), "windows")
+        levels.append(last)
+    result = levels.pop().filter(F.col("digest").isNull()).select(*resolved)
+    for found in reversed(levels):
+        parts = found.filter(F.col("digest").isNotNull()).select("digest", "sid", "at").distinct()
+        inner = result.distinct().withColumnsRenamed({"sid": "digest", "at": "_at", "size": "_size"})
+        outer = parts.join(inner, "digest").select(
+            "sid", (F.col("at") + F.col("_at")).alias("at"), F.col("_size").alias("size")
+        )
+        result = found.filter(F.col("digest").isNull()).select(*resolved).unionByName(outer)
+    return result
 
 
 def spans(docs: DataFrame, scheme: Scheme, method: Method) -> DataFrame:

@@ -6,10 +6,18 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 
 from adloom.llm import substrings as B
 from adloom.llm import superkmers as S
 
+
+@pytest.fixture(autouse=True)
+def changed_values_reach_the_workers():
+    cloudpickle.register_pickle_by_value(S)
+    yield
+    cloudpickle.unregister_pickle_by_value(S)
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -53,8 +61,9 @@ def test_digests_equal_brute_force(as_docs, seed):
     assert [got[i] for i in range(len(given))] == brute(given)
 
 
-def test_hot_minimisers_take_the_other_way(as_docs, monkeypatch):
-    monkeypatch.setattr(S, "GROUP_BYTES", 600)
+@pytest.mark.parametrize("held", [600, 10])
+def test_hot_minimisers_are_cut(as_docs, monkeypatch, held):
+    monkeypatch.setattr(S, "GROUP_BYTES", held)
     given = texts(3)
     got = {r.doc_id: tuple(r)[1:] for r in B.digests(as_docs(given)).collect()}
     assert [got[i] for i in range(len(given))] == brute(given)

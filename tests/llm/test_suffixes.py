@@ -1,5 +1,6 @@
 """Longest previous factors and repeated byte strings against brute force."""
 
+import collections
 import hashlib
 import random
 from collections import Counter
@@ -63,6 +64,13 @@ def brute_words(texts):
     return rows
 
 
+@pytest.fixture(autouse=True)
+def changed_values_reach_the_workers():
+    cloudpickle.register_pickle_by_value(S)
+    yield
+    cloudpickle.unregister_pickle_by_value(S)
+
+
 def texts(seed):
     rng = random.Random(seed)
     prose = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
@@ -77,7 +85,7 @@ def texts(seed):
     return result
 
 
-@pytest.mark.parametrize("seed, held", [(1, None), (2, None), (3, 1500)])
+@pytest.mark.parametrize("seed, held", [(1, None), (2, None), (3, 1500), (4, 10)])
 def test_digests_equal_brute_force(as_docs, monkeypatch, seed, held):
     if held:
         monkeypatch.setattr(S, "GROUP_BYTES", held)
@@ -115,7 +123,7 @@ def test_super_kmers_do_not_depend_on_the_slice(monkeypatch, scheme, block):
 
 
 @pytest.mark.parametrize("method, brute_force", [(B, brute), (W, brute_words)])
-def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, request, method, brute_force):
+def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, method, brute_force):
     monkeypatch.setattr(S, "BLOCK", 701)
     rng = random.Random(9)
     prose = lambda n: " ".join(rng.choice("abcde") * rng.randint(1, 4) for _ in range(n))
@@ -123,9 +131,6 @@ def test_rows_dealt_out_anew_for_every_pass(as_docs, monkeypatch, request, metho
     given = [prose(rng.randint(0, 200)) + " " + rng.choice(shared) + " " + prose(rng.randint(0, 200))
              for _ in range(60)]
     docs = as_docs(given).repartition(5)
-    # The workers take the functions with the small block along.
-    cloudpickle.register_pickle_by_value(S)
-    request.addfinalizer(lambda: cloudpickle.unregister_pickle_by_value(S))
     got = {r.doc_id: tuple(r)[1:] for r in method.digests(docs).collect()}
     assert [got[i] for i in range(len(given))] == brute_force(given)
 
@@ -147,6 +152,36 @@ def test_flooded_strings_of_many_slices_give_their_runs_once(spark, monkeypatch,
     assert len(windows) == sum(r["size"] for r in got)
 
 
+def test_rows_of_a_hot_minimiser_grow_with_the_logarithm_of_its_windows(spark, monkeypatch):
+    """Strings that share a passage and differ around it: each leaves it in one run a step."""
+    monkeypatch.setattr(S, "GROUP_BYTES", 20_000)
+    made = []
+    monkeypatch.setattr(S.C, "staged", lambda rows, label: made.append(kept(rows)) or made[-1])
+
+    def kept(rows):
+        return spark.createDataFrame(rows.collect(), rows.schema)
+
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = prose(600)
+    given = [prose(380) + shared + prose(380) for _ in range(150)]
+    found = S.super_kmers(B.units(pa.array(given)), B.SCHEME)
+    strings = S.bodies(B.units(pa.array(given)), found, B.WINDOW)
+    rows = [(m, S.digest(b), b, 1) for m, b in zip(found.minimiser.view(np.int64).tolist(), strings)]
+    got = S.repeated_windows(spark.createDataFrame(rows, S.CONTENTS), B.SCHEME, B.METHOD).collect()
+    whole = {}
+    for b in strings:
+        for i in range(len(b) - 399):
+            whole.setdefault(b[i : i + 400], set()).add((S.digest(b), i))
+    often = collections.Counter(t[i : i + 400] for t in map(str.encode, given) for i in range(len(t) - 399))
+    want = {place for window, places in whole.items() if often[window] > 1 for place in places}
+    assert {(bytes(r.sid), r.at + i) for r in got for i in range(r["size"])} == want
+    assert len(made) == 4 and S.steps(B.SCHEME) == [47, 6, 1]
+    hot = {bytes(r.sid) for r in made[0].filter("digest IS NOT NULL").collect()}
+    cut = sum(level.filter("digest IS NOT NULL").count() for level in made)
+    assert len(hot) > 250 and cut < 32 * len(hot)
+
+
 def test_map_of_slots_keeps_slot_0_in_any_order():
     slots = [0, 2, 32768, 32769, (1 << S.MAP_BITS) - 1]
     rows = []
@@ -157,5 +192,5 @@ def test_map_of_slots_keeps_slot_0_in_any_order():
     minimiser = np.array([*slots, 3, 32767, 32770], np.uint64)
     none = np.zeros(len(minimiser), np.int64)
     for order in (rows, rows[::-1]):
-        kept = S.chosen(S.SuperKmers(minimiser, none, none, none), S.joined_map(order))
+        kept = S.chosen(S.SuperKmers(minimiser, none, none, none, none), S.joined_map(order))
         assert kept.minimiser.tolist() == slots
