@@ -42,6 +42,13 @@ def pending(
         .select("url", "ts")
         .join(content.select("url"), "url", "left_anti")
     )
+    return oldest(waiting, limit, attempts)
+
+
+def oldest(
+    waiting: DataFrame, limit: int | None = None, attempts: DataFrame | None = None
+) -> DataFrame:
+    """The oldest of the waiting urls, see :func:`pending`."""
     if attempts is None or limit is None:
         return _top(waiting, limit, "ts", "url")
     tried = waiting.join(attempts, "url", "left")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # What one narrow table may have to go to every executor.
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 4 << 20
+#: Bits of a map of keys, 16 MB.
+MAP_BITS = 27
 
 
 def broadcast_if(df: DataFrame, row_bound: int | None) -> DataFrame:
@@ -26,14 +28,32 @@ def is_small(df: DataFrame, column: str) -> bool:
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def without_known(incoming: DataFrame, known: DataFrame, key: str, small: bool) -> DataFrame:
-    """Incoming rows, one per key, whose key is not in a table of any size.
+def matching(history: DataFrame, incoming: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """Rows of a table of any size whose key may be among the incoming ones.
 
-    A small set of incoming rows (see :func:`is_small`) is looked for in the table
-    without shuffling it; otherwise both sides are shuffled.
+    The table itself is not shuffled. Few incoming keys (``small``, see :func:`is_small`)
+    are broadcast. Of more, a bitmap of the keys' hashes is, whose size is fixed; rows with
+    a foreign key of the same hash are let through too, so what follows compares the keys.
     """
-    keys = known.select(key)
+    keys = incoming.select(key)
     if small:
-        found = keys.join(F.broadcast(incoming.select(key)), key, "left_semi")
-        keys = F.broadcast(found.distinct())
-    return incoming.join(keys, key, "left_anti")
+        return history.join(F.broadcast(keys), key, "left_semi")
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)) + 1
+    bits = (
+        keys.select(slot.alias("_slot"))
+        .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    )
+    placed = history.withColumns(
+        {"_bucket": F.bitmap_bucket_number(slot), "_bit": F.bitmap_bit_position(slot)}
+    )
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    hit = F.getbit(byte.cast("bigint"), (F.col("_bit") % 8).cast("int")) == 1
+    found = placed.join(F.broadcast(bits), "_bucket").filter(hit)
+    return found.select(*history.columns)
+
+
+def without_known(incoming: DataFrame, known: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """Incoming rows whose key is not in a table of any size, see :func:`matching`."""
+    keys = matching(known.select(key), incoming, key, small).distinct()
+    return incoming.join(F.broadcast(keys) if small else keys, key, "left_anti")

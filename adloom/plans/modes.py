@@ -15,8 +15,8 @@ from adloom.operators import classify as C
 from adloom.operators import dedup as D
 from adloom.operators import extract, report, upsert
 from adloom.operators.links import absolute_links
-from adloom.operators.skew import broadcast_if, is_small
-from adloom.plans.state import Run, StateStore
+from adloom.operators.skew import broadcast_if, is_small, matching
+from adloom.plans.state import Run, StateStore, newest
 from adloom.session import shared_dir
 from adloom.sources.pages import route
 from adloom.sources.rules import RuleSet
@@ -81,23 +81,23 @@ def collect(
     """
     store.claim(run)
     content = store.log("content", before=run.id).drop("run")
-    waiting = (
-        store.log("url", upto=run.id)
-        .join(store.log("visited", before=run.id).select("url"), "url", "left_anti")
-        .select("url", "ts", F.lit(0).alias("visited"))
-    )
+    waiting = store.waiting(run.id)
     attempts = None
-    if retry_failed:
+    if retry_failed and limit is not None:
         tried = store.log("backlog", before=run.id)
         attempts = tried.groupBy("url").agg(F.count(F.lit(1)).alias("attempts"))
-    queue = store.write("backlog", B.pending(waiting, content, limit, attempts), run.id)
+    queue = store.write("backlog", B.oldest(waiting, limit, attempts), run.id)
     fetched_last = B.recently_fetched(content, known)
     wanted = queue if known is None else B.new_urls(queue, fetched_last, known)
     done = _store_pages(store, pages, run, axes, snapshot, within_batch, wanted, limit)
     closed = queue
     if retry_failed:
         closed = queue.join(done.read.select("url"), "url", "left_semi")
-    store.write("visited", closed.select("url"), run.id)
+    closed = store.write("visited", closed.select("url"), run.id)
+    left = queue.limit(0)
+    if retry_failed or limit is not None:
+        left = waiting.join(closed, "url", "left_anti")
+    store.write("open", left, run.id)
     advice = B.advice(queue, fetched_last, known)
     return Collected(done.content, done.duplicates, done.rejects, done.read, advice)
 
@@ -113,7 +113,9 @@ def collect_pages(
     """As :func:`collect` for pages that arrive by themselves, without a queue."""
     store.claim(run)
     content = store.log("content", before=run.id)
-    fresh = pages.join(content.select("url"), "url", "left_anti")
+    small = is_small(pages, "url")
+    known = matching(content.select("url"), pages, "url", small).distinct()
+    fresh = pages.join(F.broadcast(known) if small else known, "url", "left_anti")
     return _store_pages(store, fresh, run, axes, snapshot, within_batch)
 
 
@@ -156,15 +158,19 @@ def _store_pages(
     parsed = extract.outcomes(chosen.select("url", "html"), axes)
     # Written once: content, duplicates, and failures are all read from here.
     parsed = D.with_signature(parsed.withColumn("ts", B.timestamp(run.as_of)))
-    target = shared_dir(store.spark, "parsed")
-    parsed.write.parquet(target)
-    parsed = store.spark.read.schema(parsed.schema).parquet(target)
+    parsed = _kept_apart(store, parsed, "parsed")
     read = parsed.filter(F.col("error").isNull()).drop("error")
     # Probed by narrow rows, so that a signature that many texts share moves no text.
     signed = read.select("url", "sig", "ts")
-    repeated = signed.drop("ts").join(
-        store.snapshot(run.id, limit).select("sig", "recent_url"), "sig"
-    )
+    if limit is None:
+        # Only signatures of this run are looked for; the others stay where they are.
+        history = store.log("dupe", before=run.id)
+        known = newest("dupe", matching(history, signed, "sig", is_small(signed, "sig")))
+    else:
+        known = store.snapshot(run.id, limit)
+    # The history is looked through once; what is stored and what is not follow from this.
+    repeated = signed.drop("ts").join(known.select("sig", "recent_url"), "sig")
+    repeated = _kept_apart(store, repeated, "repeated")
     admitted = signed.join(repeated.select("url"), "url", "left_anti")
     if within_batch:
         admitted = D.first_per_signature(admitted, ["ts", "url"])
@@ -180,6 +186,13 @@ def _store_pages(
     return Collected(content, repeated, refused.unionByName(failed), read)
 
 
+def _kept_apart(store: StateStore, rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder and read back."""
+    target = shared_dir(store.spark, label)
+    rows.write.parquet(target)
+    return store.spark.read.schema(rows.schema).parquet(target)
+
+
 def fetch(pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES) -> DataFrame:
     """Cleaned text of pages; nothing is stored."""
     usable, _ = route(pages)
@@ -194,9 +207,9 @@ def search(
 ) -> DataFrame:
     """Classify recent content and store what is liked; returns all verdicts."""
     store.claim(run)
-    recent = B.recent_content(
-        store.log("content", upto=run.id).drop("run"), run.as_of, hours
-    )
+    since = B.recency_cutoff(run.as_of, hours)
+    content = store.log("content", upto=run.id, since=since).drop("run")
+    recent = B.recent_content(content, run.as_of, hours)
     judged = C.classify(recent, *rule_sets)
     store.write("liked", last_liked(judged).withColumn("ts", B.timestamp(run.as_of)), run.id)
     return judged

@@ -433,6 +433,13 @@ ORACLES: dict[str, str] = {
         SELECT url, content,
                CASE step WHEN 0 THEN '{T.EARLIER}' ELSE '{T.AS_OF}' END AS ts
         FROM signed QUALIFY step = min(step) OVER (PARTITION BY sig)""",
+    "q_stream_after_compaction": f"""
+        WITH {ADS}, texts AS (
+            SELECT url, content AS raw, doc_id % 4 AS step, {AD_TEXT} AS content FROM ads),
+        signed AS (SELECT url, step, content, {_sig("content")} AS sig FROM texts)
+        SELECT url, content,
+               CASE step WHEN 0 THEN '{T.EARLIER}' ELSE '{T.AS_OF}' END AS ts
+        FROM signed QUALIFY step = min(step) OVER (PARTITION BY sig)""",
     "q_stream_classify": f"""
         WITH {ADS} SELECT doc_id, verdict, {MATCHES} FROM {_judged("ads", T.TOPIC_A)}""",
     "q_stream_dedup": f"""

@@ -592,6 +592,29 @@ def q_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(store.current("content"))
 
 
+@query
+def q_stream_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch run, and a stream of two batches; the state is then compacted in place, the
+    stream repeats its last batch, and a stream with a new checkpoint follows."""
+    store = _store(spark, "compacted")
+    ads = T.ad_texts(spark, sf)
+    part = F.col("doc_id") % 4
+    modes.collect_pages(store, T.ad_pages(ads.filter(part == 0)), FIRST)
+    for group in ((1, 2), (3,)):
+        folder, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "offsets")
+        for remainder in group:
+            T.ad_pages(ads.filter(part == remainder)).write.mode("append").parquet(folder)
+            arrived = S.page_stream(spark, folder)
+            S.collect_stream(arrived, store, checkpoint, clock=lambda _: T.AS_OF).awaitTermination()
+        if len(group) > 1:
+            # Neither the batch program nor the stream's first batch comes again.
+            store.compact(gone=["batch"])
+            S.repeat_last_batch(spark, checkpoint)
+            arrived = S.page_stream(spark, folder)
+            S.collect_stream(arrived, store, checkpoint, clock=lambda _: T.AS_OF).awaitTermination()
+    return _shown(store.current("content"))
+
+
 def _stream_texts(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id",

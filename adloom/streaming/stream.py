@@ -15,14 +15,12 @@ from adloom.functions.text import signature
 from adloom.operators import dedup as D
 from adloom.operators.classify import classify
 from adloom.plans import modes
-from adloom.plans.state import Run, StateStore
+from adloom.plans.files import Files
+from adloom.plans.state import KEPT, Run, StateStore
 from adloom.schemas import PAGES
 from adloom.sources.rules import RuleSet
 
 
-KEPT = "kept"
-
-
 def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -50,6 +48,14 @@ def run_of_batch(store: StateStore, batch: DataFrame, number: int, at: datetime)
     return store.run_of(f"stream {stream} batch {number}", at)
 
 
+def repeat_last_batch(spark: SparkSession, checkpoint: str) -> None:
+    """Let a stream that has ended repeat its last micro-batch when it starts again, as it
+    would if it had failed just before noting that the batch was done."""
+    files = Files(spark)
+    done = max(files.names(f"{checkpoint}/commits"), key=int)
+    files.delete(f"{checkpoint}/commits/{done}")
+
+
 def collect_stream(
     pages: DataFrame,
     store: StateStore,
@@ -111,9 +117,7 @@ def dedup_stream(
         signed = batch.withColumn("sig", signature(F.col(text)))
         first = D.first_per_signature(signed, list(order))
         new = first.join(store.log("seen", before=run.id).select("sig"), "sig", "left_anti")
-        target = f"{store.path(KEPT)}/run={run.id}"
-        new.write.mode("overwrite").parquet(target)
-        kept = store.spark.read.schema(new.schema).parquet(target)
+        kept = store.write(KEPT, new, run.id)
         store.write("seen", kept.select("sig"), run.id)
 
     return _started(texts, on_batch, checkpoint, available_now)
@@ -121,4 +125,4 @@ def dedup_stream(
 
 def kept_rows(store: StateStore) -> DataFrame:
     """All rows that :func:`dedup_stream` has let through, with ``sig`` and ``run``."""
-    return store.spark.read.parquet(store.path(KEPT))
+    return store.log(KEPT)
