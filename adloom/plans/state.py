@@ -20,12 +20,13 @@ it has and from when to when, and `claims` whose run it is.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +56,8 @@ KEPT = "kept"
 #: Tables in which a later row replaces earlier ones of the same key.
 SUPERSEDING = {"dupe": ["sig"], "liked": ["rule_set", "content_hash"]}
 RUN = T.StructField("run", T.LongType())
+#: What tells a batch of a stream from the stream, which may repeat its runs.
+_BATCH = " batch [^ ]*$"
 #: Segments of one level that are folded into one of the next.
 FAN = 8
 _EPOCH = datetime(1970, 1, 1)
@@ -86,6 +89,8 @@ class Segment:
     first: int
     last: int
     level: int
+    #: Programs and streams that the runs belong to.
+    writers: list[str] = field(default_factory=list)
     #: Per table the folder's name, and what :class:`Bounds` says of it.
     folders: dict[str, list] = field(default_factory=dict)
 
@@ -131,8 +136,13 @@ def micros(at: datetime) -> int:
 
 
 def writer_of(owner: str) -> str:
-    """Who may repeat a run: the owner, or the stream that the batch belongs to."""
-    return owner.rsplit(" batch ", 1)[0]
+    """Who may repeat a run: its owner, or the stream that the batch belongs to."""
+    return re.sub(_BATCH, "", owner)
+
+
+def writer() -> Column:
+    """The same for the column ``owner``."""
+    return F.regexp_replace("owner", _BATCH, "").alias("writer")
 
 
 class StateStore:
@@ -197,6 +207,26 @@ class StateStore:
             rows = rows.filter(F.col("run").between(after + 1, most))
         return rows
 
+    def of_others(self, table: str, run: Run) -> DataFrame | None:
+        """Rows of earlier runs that don't belong to the run's writer, or None without any.
+
+        Where the writer is alone, no row is read.
+        """
+        manifest, own = self.manifest(), writer_of(run.owner)
+        claims = self.log("claims", before=run.id)
+        recent = claims.filter((F.col("run") > manifest.upto) & (writer() != own))
+        others = {row.run for row in recent.select("run").collect()}
+        loose = [f"{self.path(table)}/run={n}" for n in self._runs(table) if n in others]
+        shared = [s for s in manifest.segments if table in s.folders and s.writers != [own]]
+        folders = [f"{self.path(table)}/{s.folders[table][0]}" for s in shared]
+        if not loose and not folders:
+            return None
+        rows = self._read(table, folders, loose)
+        if any(own in s.writers for s in shared):
+            mine = claims.filter(writer() == own).select("run")
+            rows = rows.join(mine, "run", "left_anti")
+        return rows.drop("run")
+
     def _read(self, table: str, segments: Sequence[str], loose: Sequence[str]) -> DataFrame:
         reader = self.spark.read.option("basePath", self.path(table))
         if table == KEPT:  # its columns are the caller's
@@ -335,9 +365,8 @@ class StateStore:
         stream is named without its batch.
         """
         claims = self.log("claims")
-        writer = F.regexp_replace("owner", " batch [^ ]*$", "")
-        last = claims.filter(~writer.isin(*gone)) if gone else claims
-        last = last.groupBy(writer).agg(F.max("run").alias("run")).agg(F.min("run")).first()[0]
+        last = claims.filter(~writer().isin(*gone)) if gone else claims
+        last = last.groupBy(writer()).agg(F.max("run").alias("run")).agg(F.min("run")).first()[0]
         newest_run = claims.agg(F.max("run")).first()[0]
         return (newest_run or 0) if last is None else last - 1
 
@@ -409,7 +438,9 @@ class StateStore:
                 folders[table] = [name, bounds.rows, bounds.first, bounds.last]
             else:
                 target.files.delete(f"{target.path(table)}/{name}")
-        return Segment(after + 1, upto, level, folders), merged
+        claims = self.log("claims", upto=upto, after=after).select(writer()).distinct()
+        writers = sorted(row.writer for row in claims.collect())
+        return Segment(after + 1, upto, level, writers, folders), merged
 
     def copy_to(self, root: str, run: int, gone: Sequence[str] = ()) -> StateStore:
         """A compacted copy of everything up to a run. Runs that a writer may repeat stay

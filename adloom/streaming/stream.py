@@ -12,12 +12,13 @@ from pyspark.sql.types import StructType
 
 from adloom.functions import html as H
 from adloom.functions.text import signature
-from adloom.operators import dedup as D
 from adloom.operators.classify import classify
 from adloom.plans import modes
 from adloom.plans.files import Files
+from adloom.operators.skew import without_known
 from adloom.plans.state import KEPT, Run, StateStore
 from adloom.schemas import PAGES
+from adloom.session import SETTINGS
 from adloom.sources.rules import RuleSet
 
 
@@ -84,8 +85,10 @@ def _started(
     on_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
     available_now: bool,
+    mode: str = "append",
 ) -> StreamingQuery:
     writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    writer = writer.outputMode(mode)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -107,20 +110,36 @@ def dedup_stream(
 ) -> StreamingQuery:
     """First row per signature, across and within batches, however late rows come.
 
-    Signatures are kept in the state table ``seen``, so nothing is forgotten and no row is
-    dropped for its time. Kept rows are in :func:`kept_rows`; of equal signatures in one
-    batch the first by ``order`` stays.
+    The first row so far is the stream's keyed state, an aggregate kept in RocksDB and saved
+    with the checkpoint. So a batch costs what it holds and not what came before, rows of a
+    hot signature are combined in each task, nothing is forgotten, and no row is dropped for
+    its time. What other streams on the store have let through before a run counts as known
+    to it. Kept rows are in :func:`kept_rows`; of equal signatures in one batch the first by
+    ``order`` stays.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         run = run_of_batch(store, batch, number, clock(number) if clock else now())
-        signed = batch.withColumn("sig", signature(F.col(text)))
-        first = D.first_per_signature(signed, list(order))
-        new = first.join(store.log("seen", before=run.id).select("sig"), "sig", "left_anti")
+        # A signature that came in an earlier batch has its first row from there.
+        new = batch.filter(F.col("_first._at") == F.col("_last")).select("_first._row.*")
+        known = store.of_others("seen", run)
+        if known is not None:
+            new = without_known(new, known, "sig")
         kept = store.write(KEPT, new, run.id)
         store.write("seen", kept.select("sig"), run.id)
 
-    return _started(texts, on_batch, checkpoint, available_now)
+    # The time of a micro-batch is noted with its offsets, and the same if it is repeated.
+    signed = texts.withColumn("sig", signature(F.col(text))).withColumn("_at", F.current_timestamp())
+    row = F.struct(*(c for c in signed.columns if c != "_at")).alias("_row")
+    first = F.min_by(F.struct("_at", row), F.struct("_at", *order))
+    states = signed.groupBy("sig").agg(first.alias("_first"), F.max("_at").alias("_last"))
+    conf, provider = store.spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(provider)
+    conf.set(provider, SETTINGS[provider])
+    try:
+        return _started(states, on_batch, checkpoint, available_now, "update")
+    finally:
+        conf.set(provider, before)
 
 
 def kept_rows(store: StateStore) -> DataFrame:

@@ -352,3 +352,54 @@ def test_stream_classification(spark):
 
 def test_literal_timestamp(spark):
     assert spark.range(1).select(timestamp(START).alias("t")).first().t == START
+
+
+def texts_folder(spark):
+    folder = shared_dir(spark, "texts")
+
+    def add(rows):
+        df = spark.createDataFrame(rows, "url string, content string, ts timestamp_ntz")
+        df.coalesce(2).write.mode("append").parquet(folder)
+        return spark.readStream.schema(df.schema).parquet(folder)
+
+    return add
+
+
+def test_stream_dedup_state_survives_restarts_and_repeated_batches(spark, store, monkeypatch):
+    add, offsets, read = texts_folder(spark), shared_dir(spark, "offsets"), []
+    log = StateStore.log
+    monkeypatch.setattr(StateStore, "log", lambda s, table, **k: read.append(table) or log(s, table, **k))
+    others = StateStore.of_others
+    monkeypatch.setattr(StateStore, "of_others", lambda *a: read.append(others(*a)))
+    clock = lambda number: run_at(number + 1).as_of
+    stream = add([("a", "one 1", START), ("b", "one 2", None), ("c", None, START), ("d", "two", START), ("n", None, START), ("m", None, START)])
+    S.dedup_stream(stream, store, offsets, clock=clock).awaitTermination()
+    assert column(S.kept_rows(store)) == ["b", "c", "d"]  # no time comes first
+    # The first batch again: it does not meet its own signatures.
+    S.repeat_last_batch(spark, offsets)
+    S.dedup_stream(stream, store, offsets, clock=clock).awaitTermination()
+    assert column(S.kept_rows(store)) == ["b", "c", "d"]
+    for part in range(2):
+        add([(f"e{part}", "two", START), (f"f{part}", "three", START - timedelta(days=9))])
+        read.clear()
+        S.dedup_stream(stream, store, offsets, clock=clock).awaitTermination()
+        assert "seen" not in read and None in read  # no batch reads what came before
+    S.repeat_last_batch(spark, offsets)
+    S.dedup_stream(stream, store, offsets, clock=clock).awaitTermination()
+    assert column(S.kept_rows(store)) == ["b", "c", "d", "f0"]
+
+
+@pytest.mark.parametrize("folded", [False, True])
+def test_a_stream_knows_what_others_have_seen(spark, store, folded):
+    def go_on(add, offsets, rows):
+        S.dedup_stream(add(rows), store, offsets, clock=lambda _: START).awaitTermination()
+
+    one, two = ((texts_folder(spark), shared_dir(spark, "offsets")) for _ in range(2))
+    go_on(*one, [("a", "one", START)])
+    go_on(*two, [("b", "one", START), ("c", "two", START)])
+    go_on(*one, [("d", "two", START), ("e", "three", START), ("f", "one", START)])
+    if folded:
+        assert store.compact() == 1 and store.manifest().segments[0].folders["seen"][1] == 1
+    go_on(*two, [("g", "three", START), ("h", "four", START), ("i", "one", START)])
+    go_on(*one, [("j", "four", START), ("k", "five", START)])
+    assert column(S.kept_rows(store)) == ["a", "c", "e", "h", "k"]
