@@ -28,6 +28,8 @@ MAX_SHAPES = 256
 # match can be made of are told apart, up to a number of them.
 GOOD_FACTOR, MIN_FACTOR = 4, 2
 MAX_TEXTS = 8
+#: Letters of a factor by which rules are looked up.
+GRAM = 4
 GAP = "\0"
 
 _BOUND = re.compile(r"\{(\d+)(,(\d*))?\}")
@@ -35,28 +37,30 @@ _BRACKET = re.compile(r"\[(\^?)(\]?(?:\[:[a-z]+:\]|\[=.=\]|\[\..\.\]|[^\]])*)\]"
 _BRACKET_ITEM = re.compile(r"\[:([a-z]+):\]|\[([.=])(.)\2\]|(.)-(?=.)(.)|(.)", re.DOTALL)
 
 # Named bracket classes, and escapes that are not plain characters.
+# Written out, so that every engine takes them for the same characters.
 CLASSES = {
     "alnum": r"\p{L}\p{N}",
     "alpha": r"\p{L}",
     "blank": r" \t",
-    "cntrl": r"\p{Cntrl}",
+    "cntrl": r"\x00-\x1f\x7f",
     "digit": "0-9",
-    "graph": r"\p{Graph}",
-    "lower": r"\p{Ll}",
-    "print": r"\p{Print}",
-    "punct": r"\p{Punct}",
-    "space": r"\s",
-    "upper": r"\p{Lu}",
+    "graph": r"\x21-\x7e",
+    "lower": r"\p{Ll}\p{Lu}",
+    "print": r"\x20-\x7e",
+    "punct": r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e",
+    "space": r" \t\n\x0b\f\r",
+    "upper": r"\p{Ll}\p{Lu}",
     "word": r"\p{L}\p{N}_",
     "xdigit": "0-9A-Fa-f",
 }
+_WORD = rf"[{CLASSES['word']}]"
 ANCHORS = {
-    "`": r"\A",
-    "'": r"\z",
-    "b": r"\b",
-    "B": r"\B",
-    "<": r"\b(?=\w)",
-    ">": r"\b(?<=\w)",
+    "`": r"(?<![\s\S])",
+    "'": r"(?![\s\S])",
+    "b": rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
+    "B": rf"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))",
+    "<": rf"(?<!{_WORD})(?={_WORD})",
+    ">": rf"(?<={_WORD})(?!{_WORD})",
 }
 LINE_START, LINE_END = r"(?<![^\n])", r"(?![^\n])"
 
@@ -243,29 +247,42 @@ class Pattern:
         return F.when(hit, F.regexp_extract(text, self.java, 0))
 
 
-# Classes and anchors that the two engines write differently.
-_OTHER_NAMES = {r"\p{Cntrl}": r"\p{Cc}", r"\p{Graph}": "[:graph:]", r"\p{Print}": "[:print:]",
-                r"\p{Punct}": "[:punct:]", r"\z": r"\Z"}
-
-
 def _longest(java: str) -> Callable[[Column], Column]:
     """The leftmost-longest match of texts that are known to have one."""
-    for one, other in _OTHER_NAMES.items():
-        java = java.replace(one, other)
 
     @F.arrow_udf("string")
     def resolve(texts: pa.Array) -> pa.Array:
-        import regex
+        return pa.array((_first_longest(java, text.as_py()) for text in texts), pa.string())
 
-        exact = regex.compile(java, regex.POSIX | regex.IGNORECASE | regex.MULTILINE)
+    return resolve
 
-        def first(text: str | None) -> str | None:
-            found = exact.search(text) if text is not None else None
-            return found[0] if found else None
 
-        return pa.array((first(text.as_py()) for text in texts), pa.string())
+def longest_of(text: str, java: str) -> Column:
+    """The same with the pattern in a column."""
 
-    return resolve
+    @F.arrow_udf("string")
+    def resolve(texts: pa.Array, patterns: pa.Array) -> pa.Array:
+        both = zip(patterns.to_pylist(), texts.to_pylist())
+        return pa.array((_first_longest(p, t) for p, t in both), pa.string())
+
+    return resolve(text, java)
+
+
+def _first_longest(java: str, text: str | None) -> str | None:
+    found = _exact(java).search(text) if text is not None else None
+    return found[0] if found else None
+
+
+@functools.lru_cache(maxsize=10_000)
+def _exact(java: str):
+    import regex
+
+    return regex.compile(java, regex.POSIX | regex.IGNORECASE | regex.MULTILINE)
+
+
+def grams(folded: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text, overlapping ones included."""
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def _factors(shape: Shape) -> tuple[str, ...]:

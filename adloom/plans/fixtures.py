@@ -31,10 +31,35 @@ TOPIC_A = RuleSet(
 )
 # Rules in which the longest match is not that of the first alternative.
 TOPIC_C = RuleSet("topic_c", ("(th|the|there)(a|at|ation)?", "(q|qu|que)*aux"), ("(a|an|and)+t",))
-# The same rules as a file.
+# Rules with named classes, the last of each list with more than one way to match.
+TOPIC_D = RuleSet(
+    "topic_d",
+    (
+        "[[:alpha:]]{9,12}[[:punct:]]",
+        "[[:space:]](a|an|and)+t",
+        "[[:word:]]+[[:space:]]th?[[:lower:]]+ly",
+    ),
+    ("[[:space:]]q[[:alnum:]]{3}[^[:alnum:]]", "[[:blank:]]+[[:upper:]]+[[:digit:]]+"),
+)
+# The rules of topic C as a file.
 RULE_FILE = '(["(th|the|there)(a|at|ation)?", "(q|qu|que)*aux"], ["(a|an|and)+t"])'
 TOPIC_B = RuleSet("topic_b", ("licen[s|c]e", "queaux"), ("@mail[0-9]?",))
 
+_SYLLABLES = [c + v for c in "bcdfghklmnprstvz" for v in "aeiou"]
+
+
+def many_rules() -> tuple[RuleSet, RuleSet]:
+    """5,000 rules in two sets, made of syllables."""
+    n = len(_SYLLABLES)
+    made = [
+        f"{a}{b}({_SYLLABLES[(i + j) % n]}|{_SYLLABLES[(i + 3 * j + 7) % n]})"
+        for j, b in enumerate(_SYLLABLES)
+        for i, a in enumerate(_SYLLABLES)
+    ]
+    first, second = tuple(made[:2500]), tuple(made[2500:5000])
+    return RuleSet("many_a", first[:2000], first[2000:]), RuleSet("many_b", second[:2000], second[2000:])
+
+
 ADS = "https://ads.example.org/"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from adloom.functions.text import BLANKS
 from adloom.plans import fixtures as T
 
@@ -19,6 +21,19 @@ def _ago(minutes: str) -> str:
     return f"{AS_OF} - to_minutes({minutes})"
 
 
+# The rules of topic D with the classes written out.
+CLASSES_D = SimpleNamespace(
+    name="topic_d",
+    likes=(
+        r"\p{L}{9,12}[!-/:-@\[-`{-~]",
+        r"[ \t\n\x0b\f\r](?:and|an|a)+t",
+        r"[\p{L}\p{N}_]+[ \t\n\x0b\f\r]th?\p{L}+ly",
+    ),
+    dislikes=(
+        r"[ \t\n\x0b\f\r]q[\p{L}\p{N}]{3}[^\n\p{L}\p{N}]",
+        r"[ \t]+\p{L}+[0-9]+",
+    ),
+)
 # The rules of topic C, with the alternatives written out by falling length.
 LONGEST_C = T.RuleSet(
     "topic_c",
@@ -370,6 +385,39 @@ ORACLES: dict[str, str] = {
     "q_rule_longest": f"""
         WITH {ADS}
         SELECT doc_id, verdict, {MATCHES} FROM {_judged("ads", LONGEST_C)}""",
+    "q_rule_classes": f"""
+        WITH {ADS}, spaced AS (SELECT * REPLACE (replace(content, ' t', chr(160) || 't') AS content) FROM ads)
+        SELECT doc_id, verdict, {MATCHES} FROM {_judged("spaced", CLASSES_D)}""",
+    "q_classify_many": f"""
+        WITH {ADS}, numbered AS (
+            SELECT (instr('bcdfghklmnprstvz', c) - 1) * 5 + instr('aeiou', v) - 1 AS i, c || v AS s
+            FROM (SELECT unnest(string_split('bcdfghklmnprstvz', '')) AS c),
+                 (SELECT unnest(string_split('aeiou', '')) AS v)),
+        rules AS (
+            SELECT b.i * 80 + a.i AS n, a.s || b.s AS head, x.s AS one, y.s AS two
+            FROM numbered AS a, numbered AS b
+            JOIN numbered AS x ON x.i = (a.i + b.i) % 80
+            JOIN numbered AS y ON y.i = (a.i + 3 * b.i + 7) % 80
+            WHERE b.i * 80 + a.i < 5000),
+        folded AS (SELECT doc_id, content, lower(content) AS low FROM ads),
+        hits AS (
+            SELECT doc_id, n // 2500 AS part, n % 2500 < 2000 AS likes, n,
+                   regexp_extract(content, head || '(' || one || '|' || two || ')', 0, 'i') AS found
+            FROM folded JOIN rules ON contains(low, head) AND (contains(low, head || one) OR contains(low, head || two))),
+        listed AS (
+            SELECT doc_id, part, coalesce(list(found ORDER BY n) FILTER (likes), []) AS likes,
+                   coalesce(list(found ORDER BY n) FILTER (NOT likes), []) AS dislikes
+            FROM hits GROUP BY doc_id, part),
+        judged AS (
+            SELECT a.doc_id, CASE p.part WHEN 0 THEN 'many_a' ELSE 'many_b' END AS rule_set,
+                   coalesce(likes, []) AS likes, coalesce(dislikes, []) AS dislikes
+            FROM ads AS a, (SELECT unnest([0, 1]) AS part) AS p
+            LEFT JOIN listed AS l ON l.doc_id = a.doc_id AND l.part = p.part)
+        SELECT doc_id, rule_set,
+               CASE WHEN len(likes) = 0 THEN 'unmatched' WHEN len(dislikes) = 0 THEN 'liked' ELSE 'disliked' END AS verdict,
+               coalesce(array_to_string(
+                   CASE WHEN len(likes) = 0 OR len(dislikes) = 0 THEN likes ELSE dislikes END, '|'), '') AS matches
+        FROM judged""",
     "q_mode_match": f"""
         SELECT conv_id, turn, verdict, {MATCHES}
         FROM {_judged("conversations", T.TOPIC_B, "text")}""",

@@ -388,6 +388,22 @@ def q_classify_multi(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(judged).select("doc_id", "rule_set", "verdict", "matches")
 
 
+@query
+def q_classify_many(spark: SparkSession, sf: str) -> DataFrame:
+    """5,000 rules, of which each text meets few."""
+    judged = C.classify_many(T.ad_texts(spark, sf), T.many_rules(), "doc_id")
+    return _joined(judged).select("doc_id", "rule_set", "verdict", "matches")
+
+
+@query
+def q_rule_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Named classes next to accented letters and spaces that aren't ASCII, in patterns that
+    either engine resolves."""
+    spaced = F.replace("content", F.lit(" t"), F.lit("\u00a0t"))
+    ads = T.ad_texts(spark, sf).withColumn("content", spaced)
+    return _joined(C.classify(ads, T.TOPIC_D)).select("doc_id", "verdict", "matches")
+
+
 @query
 def q_verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
     return C.verdict_counts(C.classify(T.ad_texts(spark, sf), T.TOPIC_A, T.TOPIC_B))

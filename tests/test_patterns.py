@@ -4,7 +4,7 @@ import re
 
 import pytest
 from adloom.functions.patterns import Pattern, fold
-from adloom.operators.classify import classify, liked_rows, matches, negatives, verdict_counts
+from adloom.operators.classify import classify, classify_many, liked_rows, matches, negatives, verdict_counts
 from adloom.sources.rules import RuleSet, load_rules, rules_table
 from pyspark.sql import functions as F
 
@@ -196,3 +196,47 @@ def test_malformed_rule_files(text):
 
 def test_empty_lists_parse():
     assert RuleSet.parse("r", "([],[])") == RuleSet("r", (), ())
+
+
+SIGNS = "aZéÉßñ0٣_ \t\n\x0b\f\r\x1c\x85\xa0\u2003\u3000-.!~|`^\x00\x7f\x80µŁłΩω漢"
+
+
+@pytest.mark.parametrize("name", ["alnum", "alpha", "blank", "cntrl", "digit", "graph", "lower", "print",
+                                  "punct", "space", "upper", "word", "xdigit"])
+def test_both_engines_take_classes_for_the_same_characters(spark, name):
+    texts = [f"{sign}x" for sign in SIGNS]
+    for plain in (f"[[:{name}:]]x", f"[^[:{name}:]]x"):
+        # The same with a choice that can't be written out.
+        assert first_matches(spark, plain, texts) == first_matches(spark, f"{plain}(x|xy)*", texts)
+
+
+@pytest.mark.parametrize("anchored", [r"\<x", r"x\>", r"\bx", r"x\b", r"\Bx", r"x\B", r"\`x", r"x\'"])
+def test_both_engines_put_anchors_at_the_same_places(spark, anchored):
+    texts = [t for sign in SIGNS for t in (f"{sign}x", f"x{sign}", f"{sign}x{sign}")] + ["x"]
+    either = first_matches(spark, f"{anchored}(q|qz)*", texts)
+    assert first_matches(spark, anchored, texts) == either
+    assert either[-1] == "x" or "B" in anchored
+
+
+def test_space_that_is_not_ascii(spark):
+    texts = ["\xa0ab xx ab", "\xa0a\tab"]
+    assert first_matches(spark, "[[:space:]](a|ab)+", texts) == [" ab", "\tab"]
+    assert first_matches(spark, r"\<wiat", ["świat wiat"]) == ["wiat"]
+
+
+def test_many_rules_equal_one_by_one(spark):
+    rng = random.Random(4)
+    syllables = [c + v for c in "bdkt" for v in "aeo"]
+    texts = [" ".join("".join(rng.choices(syllables, k=4)) for _ in range(40)) for _ in range(60)]
+    texts += ["", None, "BADE kilo", "a\u212aILO x"]
+    made = ["".join(rng.choices(syllables, k=2)) + f"({a}|{b}d?)" for a in syllables for b in syllables]
+    odd = ("kilo", "(ba|bad)+e", "x", "d?", "[bk]ade|tobeka", "(tobe|tobeka)+t?")
+    sets = (RuleSet("one", tuple(made[:60]) + odd, tuple(made[60:75])), RuleSet("two", tuple(made[75:])), RuleSet("none", ()))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    want = classify(df, *sets, text="t").collect()
+    got = classify_many(df, sets, "i", "t").collect()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len({r.verdict for r in got}) == 3
+    assert classify_many(df.limit(0), sets, "i", "t").count() == 0
+    plan = classify_many(df, sets, "i", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
