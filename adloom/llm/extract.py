@@ -14,7 +14,8 @@ extraction is learned from.
 Defined results: null and empty html, and pages without text, give an empty text. Broken
 markup is read as browsers would roughly: an open paragraph ends at the next block, and an
 end tag that opens nothing is skipped. A ``br`` is white space. Head, scripts, styles,
-form controls and comments in markup have no blocks. Repeated rows and missing ids are
+form controls and comments in markup have no blocks; what ``noscript`` and ``object`` hold
+are blocks like others. Time and memory are in proportion to a page, however it nests. Repeated rows and missing ids are
 extracted each for itself. Other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
@@ -38,14 +39,14 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 # How HTML treats its elements.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre "
-    "section summary table tbody td tfoot th thead tr ul".split()
+    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript "
+    "object ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 SILENT_TAGS = frozenset(
-    "head script style template noscript textarea select button iframe svg object title".split()
+    "head script style template textarea select button iframe svg title".split()
 )
 #: Tags that an opening tag of the same set ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -55,20 +56,59 @@ _NAME = re.compile("[a-z]+")
 _SECTION = re.compile(
     r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE | re.ASCII
 )
+#: Elements with names, from the text outwards, whose names are features.
+NEAREST = 24
 #: Steps of training, step size, and weight of the penalty on large weights.
 STEPS, RATE, PENALTY = 150, 0.1, 0.02
 LABELLED_PAGES = 600
 
 
+class Context:
+    """Where a text stands: the open elements, of which a block needs only this.
+
+    It is made from the one around it without walking further out, so that pages may nest
+    as deeply as they like.
+    """
+
+    __slots__ = ("depth", "tag", "tags", "path", "near", "label", "_names")
+
+    def __init__(self) -> None:
+        self.depth, self.tag, self.label = 0, "", None
+        self.tags: frozenset[str] = frozenset()
+        #: A number for the row of block-level tags.
+        self.path = 0
+        #: Names on the nearest elements that have any.
+        self.near: tuple[frozenset[str], ...] = ()
+        self._names: frozenset[str] | None = None
+
+    def within(self, tag: str, names: frozenset[str], mark: int | None, paths: dict) -> Context:
+        inner = Context()
+        block = tag in BLOCK_TAGS
+        inner.depth, inner.tag = self.depth + block, tag if block else self.tag
+        inner.tags = self.tags if not block or tag in self.tags else self.tags | {tag}
+        inner.path = paths.setdefault((self.path, tag), len(paths) + 1) if block else self.path
+        inner.near = (*self.near[1 - NEAREST :], names) if names else self.near
+        inner.label = self.label if mark is None else mark
+        return inner
+
+    @property
+    def names(self) -> frozenset[str]:
+        if self._names is None:
+            self._names = frozenset().union(*self.near)
+        return self._names
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags."""
 
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    within: Context
     link_chars: int = 0
-    label: int | None = None
+
+    @property
+    def label(self) -> int | None:
+        return self.within.label
 
 
 class Blocks(HTMLParser):
@@ -77,33 +117,46 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, frozenset[str], int | None]] = []
+        #: Open elements: tag, and the context within.
+        self.stack: list[tuple[str, Context]] = []
+        self.outer = Context()
+        self.paths: dict[tuple[int, str], int] = {}
+        #: For each tag, the places in the stack where it is open.
+        self.places: dict[str, list[int]] = {}
         self.parts: list[str] = []
         self.silent = self.links = self.link_chars = 0
 
+    @property
+    def within(self) -> Context:
+        return self.stack[-1][1] if self.stack else self.outer
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = tuple(tag for tag, _, _ in self.stack if tag in BLOCK_TAGS)
-            names = frozenset().union(*(own for _, own, _ in self.stack))
-            label = next((mark for _, _, mark in reversed(self.stack) if mark is not None), None)
-            self.blocks.append(Block(text, tags, names, self.link_chars, label))
+            self.blocks.append(Block(text, self.within, self.link_chars))
         self.parts, self.link_chars = [], 0
 
+    def push(self, tag: str, names: frozenset[str], mark: int | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.within.within(tag, names, mark, self.paths)))
+        self.silent += tag in SILENT_TAGS
+        self.links += tag == "a"
+
     def pop(self, place: int) -> None:
-        for tag, _, _ in self.stack[place:]:
+        for tag, _ in reversed(self.stack[place:]):
+            self.places[tag].pop()
             self.silent -= tag in SILENT_TAGS
             self.links -= tag == "a"
         del self.stack[place:]
 
-    def find(self, tags: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
-        """Place of the innermost open tag of a set, or -1; the search ends at ``stop``."""
-        for place in range(len(self.stack) - 1, -1, -1):
-            if self.stack[place][0] in tags:
-                return place
-            if self.stack[place][0] in stop:
-                return -1
-        return -1
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open tag of a set, or -1."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def find(self, tags: Iterable[str], stop: Iterable[str] = ()) -> int:
+        """The same, but -1 too if a tag of ``stop`` lies further in."""
+        place = self.innermost(tags)
+        return place if place >= 0 and place >= self.innermost(stop) else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK_TAGS:
@@ -116,8 +169,8 @@ class Blocks(HTMLParser):
                 place = self.find(CLOSES[tag], stop)
                 if place >= 0:
                     self.pop(place)
-            if tag == "body":  # what an unclosed head would swallow
-                self.pop(next((i for i, e in enumerate(self.stack) if e[0] == "head"), len(self.stack)))
+            if tag == "body" and self.places.get("head"):  # what an unclosed head would swallow
+                self.pop(self.places["head"][0])
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID_TAGS:
@@ -128,9 +181,7 @@ class Blocks(HTMLParser):
                 names += _NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
             elif key == MARK and value:
                 mark = int(value)
-        self.stack.append((tag, frozenset(names), mark))
-        self.silent += tag in SILENT_TAGS
-        self.links += tag == "a"
+        self.push(tag, frozenset(names), mark)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # Only a picture and what is drawn in it end there.
@@ -173,10 +224,12 @@ def features(page: Sequence[Block]) -> list[list[str]]:
         share = block.link_chars / n
         lengths = sum(n_words >= k for k in (2, 4, 8, 16, 32, 64))
         found = ["bias", f"words:{lengths}", f"links:{(share > 0) + (share > 0.3) + (share > 0.8)}"]
-        found += [f"in:{tag}" for tag in set(block.tags)]
-        found += [f"tag:{tag}" for tag in block.tags[-1:]]
-        found += [f"name:{name}" for name in block.names]
-        found.append(f"depth:{min(len(block.tags), 8)}")
+        around = block.within
+        found += [f"in:{tag}" for tag in around.tags]
+        if around.depth:
+            found.append(f"tag:{around.tag}")
+        found += [f"name:{name}" for name in around.names]
+        found.append(f"depth:{min(around.depth, 8)}")
         stops = sum(text.count(mark) for mark in ".!?")
         found.append(f"stops:{min(stops, 3)}")
         found.append("end:" + ("stop" if text[-1] in ".!?\"”»)" else "word" if text[-1].isalnum() else "mark"))
@@ -188,7 +241,8 @@ def features(page: Sequence[Block]) -> list[list[str]]:
             found.append("first")
         if place == len(page) - 1:
             found.append("last")
-        if place and page[place - 1].tags == block.tags and page[place - 1].names == block.names:
+        before = page[place - 1].within if place else None
+        if before is around or (before and before.path == around.path and before.names == around.names):
             found.append("same")
         result.append(found)
     return result

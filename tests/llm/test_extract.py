@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -121,3 +122,20 @@ def test_query_takes_awkward_rows(spark, model):
     assert sorted(r.n_chars for r in got)[:2] == [0, 0]
     assert max(r.text.count("\n") for r in got) == 19_999
     assert X.main_texts(pages.filter("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("markup", [
+    "<div>a" * 100_000, "<b>a</i>" * 100_000, "<i><div>" + "<b></i>x" * 100_000, "<p><span>x" * 50_000,
+    "<ul><li>x" * 50_000, "".join(f"<div id=n{'ab'[i % 2]}{chr(97 + i % 26) * (i % 40)}>a" for i in range(50_000)),
+], ids=["div", "inline", "closed by none", "p", "li", "names"])
+def test_deep_nesting_takes_time_in_proportion(markup):
+    begun = time.process_time()
+    assert X.blocks(markup)
+    assert time.process_time() - begun < 15
+
+
+@pytest.mark.parametrize("tag", ["noscript", "object"])
+def test_text_of_replaced_elements_is_kept(model, tag):
+    body = "<p>{0} first words of the article, which go on for a while.</p>"
+    page = f"<article><h1>A title</h1>{body}<{tag}><p>{{1}} words in place of something else, that go on.</p></{tag}>{body}</article>"
+    assert "{1} words in place" in model.text(page)
