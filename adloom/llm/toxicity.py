@@ -110,8 +110,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = one if chosen is None else chosen.unionByName(one)
     # At most 2 * SAMPLE ids.
-    rows = short.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "toxic"])
-    rows = rows.orderBy("doc_id", "toxic", "text")
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    # Of the texts of a repeated id one is learned from, the same each time.
+    rows = rows.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.orderBy("doc_id", "toxic")
     return [(row.text, row.toxic) for row in rows.collect()]
 
 

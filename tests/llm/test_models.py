@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 
 from adloom.llm import language as L
 from adloom.llm import quality as Q
@@ -115,6 +116,44 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert odd[0] > 0.5 > odd[1] and odd[2] == odd[3]
 
 
+def plain_score(model, text):
+    """The score of one text, word by word."""
+
+    def bucket(value, salt):
+        return ((value + salt) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - T.BITS)
+
+    def value_of(word):
+        marked, found = f"<{word.lower()}>", []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                value = 0
+                for sign in marked[i : i + n]:
+                    value = (value * 0x100000001B3 + ord(sign)) % 2**64
+                found.append(bucket(value, n))
+        found.append(bucket(xxhash.xxh3_64_intdigest(marked.encode()), 0))
+        return np.mean([model.weight[b] for b in found])
+
+    values = [value_of(w) for w in WORD.findall(text or "")]
+    count = max(len(values) // T.WINDOW, 1)
+    cuts = [i * len(values) // count for i in range(count + 1)]
+    logit = max(np.mean(values[a:b]) if b > a else 0.0 for a, b in zip(cuts, cuts[1:])) + model.bias
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_toxicity_scores_equal_a_plain_version():
+    model = T.fit(toxic_rows(4, 150))
+    given = [t for t, _ in toxic_rows(5, 60)] + [None, "", "x", " \n", "É qvuz", "İx", "one two three four five"]
+    got = T.scores(model, pa.array(given))
+    assert np.allclose(got, [plain_score(model, t) for t in given], atol=1e-9)
+
+
+def test_a_repeated_id_is_learned_from_by_the_same_text(as_docs, spark):
+    docs = as_docs(["b text", "a text", "b text", "c text"], ids=[1, 1, 1, 2])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    found = {tuple(T.training_rows(d, labels)) for d in (docs, docs.repartition(3), docs.orderBy("text"))}
+    assert len(found) == 1
+
+
 def test_windows_cover_the_text(monkeypatch):
     monkeypatch.setattr(T, "WINDOW", 4)
     first = np.array([0, 0, 3, 20, 24])
