@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 from adloom.llm import common as C
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Distinct fingerprints that the upper tree is fitted on, and that a shard should hold.
+#: Distinct fingerprints that the upper tree is fitted on at least, and that a shard should
+#: hold. The sample has some for each shard, so that shards don't grow with the table: one
+#: fingerprint of 8 bytes in about 80.
 SAMPLE, SHARD = 65_536, 20_000
-#: Fingerprints of a sample that a node needs, and of a ring that are compared directly.
-LEAST_SAMPLE, LEAF = 64, 1024
+#: Fingerprints of a sample that a node needs, those drawn for each shard, and fingerprints
+#: of a ring that are compared directly.
+LEAST_SAMPLE, SHARD_SAMPLE, LEAF = 64, 256, 1024
 #: Comparisons that are held at once.
 PAIRS = 1 << 20
 PRINTS = "doc_id long, fp long"
@@ -238,8 +241,11 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / SHARD))))
     sample = np.zeros(0, np.uint64)
     if depth:
-        rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-        sample = np.array([row.fp for row in rows], np.int64).view(np.uint64)
+        share = min(1.0, max(SAMPLE, SHARD_SAMPLE << depth) / count)
+        # Drawn by a hash, so that it is the same each time and needs no sort.
+        drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))
+        found = distinct.filter(drawn).select("fp").toArrow().column("fp").to_numpy()
+        sample = np.sort(found).view(np.uint64)
     tree, shards = upper_tree(sample, depth)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
