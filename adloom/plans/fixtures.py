@@ -15,7 +15,6 @@ from adloom.sources.rules import RuleSet
 
 AS_OF = datetime(2024, 1, 31, 12, 34, 56)
 EARLIER = AS_OF - timedelta(hours=30)
-SPLIT = AS_OF - timedelta(hours=60)
 
 # Page parts and links of the test pages.
 TITLE = Selector("title", parent="head")
@@ -131,14 +130,6 @@ def signed_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def old(ads: DataFrame) -> DataFrame:
-    return ads.filter(F.col("ts") < timestamp(SPLIT))
-
-
-def new(ads: DataFrame) -> DataFrame:
-    return ads.filter(F.col("ts") >= timestamp(SPLIT))
-
-
 def even(ads: DataFrame) -> DataFrame:
     return ads.filter(F.col("doc_id") % 2 == 0)
 

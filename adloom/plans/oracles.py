@@ -9,7 +9,6 @@ from adloom.plans import fixtures as T
 
 AS_OF = f"TIMESTAMP '{T.AS_OF}'"
 EARLIER = f"TIMESTAMP '{T.EARLIER}'"
-SPLIT = f"TIMESTAMP '{T.SPLIT}'"
 CUTOFF = "TIMESTAMP '2024-01-30 00:00:00'"
 WINDOW = "TIMESTAMP '2024-01-28 12:34:56'"
 BLANK_SQL = " || ".join(f"chr({ord(c)})" for c in BLANKS)
@@ -246,15 +245,15 @@ ORACLES: dict[str, str] = {
                count(*) AS n_input FROM links""",
     "q_store_content": f"""
         WITH {ADS}, keyed AS (
-            SELECT '{T.ADS}t/' || sig AS url, md5(content) AS content, ts, ts >= {SPLIT} AS late
+            SELECT '{T.ADS}t/' || sig AS url, md5(content) AS content, ts, doc_id % 2 <> 0 AS late
             FROM ads)
         SELECT url, content, {SHOWN} FROM keyed
         QUALIFY row_number() OVER (PARTITION BY url ORDER BY late, keyed.ts, content) = 1""",
     "q_upsert_signatures": f"""
         WITH {ADS}, kept AS (
-            SELECT sig, url AS recent_url, ts, 0 AS step FROM ads WHERE ts >= {SPLIT}
+            SELECT sig, url AS recent_url, ts, 0 AS step FROM ads WHERE doc_id % 2 <> 0
             QUALIFY row_number() OVER (PARTITION BY sig ORDER BY ts, url) = 1
-            UNION ALL SELECT sig, url, ts, 1 FROM ads WHERE ts < {SPLIT})
+            UNION ALL SELECT sig, url, ts, 1 FROM ads WHERE doc_id % 2 = 0)
         SELECT sig, recent_url, {SHOWN} FROM kept QUALIFY row_number() OVER
             (PARTITION BY sig ORDER BY step DESC, kept.ts DESC, recent_url DESC) = 1""",
     "q_store_liked": f"""

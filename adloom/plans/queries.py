@@ -93,8 +93,8 @@ def _keyed_by_text(ads: DataFrame) -> DataFrame:
 def q_store_content(spark: SparkSession, sf: str) -> DataFrame:
     ads = T.ad_texts(spark, sf)
     order = ["ts", "content"]
-    current = D.keep_one(_keyed_by_text(T.old(ads)), ["url"], order, last=False)
-    return _shown(upsert.insert_ignore(current, _keyed_by_text(T.new(ads)), ["url"], order))
+    current = D.keep_one(_keyed_by_text(T.even(ads)), ["url"], order, last=False)
+    return _shown(upsert.insert_ignore(current, _keyed_by_text(T.odd(ads)), ["url"], order))
 
 
 def _dupe_rows(ads: DataFrame) -> DataFrame:
@@ -105,10 +105,10 @@ def _dupe_rows(ads: DataFrame) -> DataFrame:
 def q_upsert_signatures(spark: SparkSession, sf: str) -> DataFrame:
     ads = T.signed_ads(spark, sf)
     order = ["ts", "recent_url"]
-    # The smallest time wins among old rows and the largest among new ones, which
-    # tells replacing from mere sorting.
-    current = D.keep_one(_dupe_rows(T.new(ads)), ["sig"], order, last=False)
-    return _shown(upsert.upsert_replace(current, _dupe_rows(T.old(ads)), ["sig"], order))
+    # The smallest time wins among current rows and the largest among incoming ones,
+    # which tells replacing from mere sorting.
+    current = D.keep_one(_dupe_rows(T.odd(ads)), ["sig"], order, last=False)
+    return _shown(upsert.upsert_replace(current, _dupe_rows(T.even(ads)), ["sig"], order))
 
 
 @query
