@@ -64,4 +64,4 @@ def test_empty_table(spark, folder, table_of):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name.split("_")[0][2:]) for name in REGISTRY) == list(range(1, 11))
+    assert sorted(int(name.split("_")[0][2:]) for name in REGISTRY) == list(range(1, 14))
