@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"{CHECKPOINT_DIR} is not set; the warehouse must be shared", stacklevel=2)
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_adloom"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
