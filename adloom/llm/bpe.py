@@ -95,7 +95,8 @@ class Encoder:
 
         The two tokens are taken apart again, the later merge first. If on the way the
         neighbours at the seam form a token that would have been merged earlier, the seam
-        would not have survived.
+        would not have survived. This is the published test of neighbouring tokens for
+        linear-time byte-pair encoding, step by step.
         """
         limit = _NO_LIMIT
         merge, parts = self.merge, self.parts
