@@ -2,11 +2,11 @@
 
 A word is the bag of its character n-grams (3 to 5 characters, with marks at both ends)
 and of itself, each hashed to a row of one embedding table. A text is the average over
-its words of the average over their bags, and a softmax over two classes reads it. So
-that a few words decide in a long text too, the average is taken in windows that cover
-the whole text, and the most toxic window counts. Table and softmax are trained together
-in numpy, so that a misspelling never seen shares most of its vectors with the word it
-hides.
+the bags of all its words, and a softmax over two classes reads it. Frequent subwords
+count less in the average, by ``RARE / (RARE + frequency)`` as in smooth inverse
+frequency, so that a few telling words are heard among hundreds of common ones. Table and
+softmax are trained together in numpy, so that a misspelling never seen shares most of
+its vectors with the word it hides.
 
 Defined results: null and empty texts, and texts without words, get the score of the bias
 alone. Without labelled rows of both kinds every score is one half and ``predicted`` 1.
@@ -32,11 +32,13 @@ SAMPLE_CHARS = 20_000
 #: Held-out documents: remainder of the id's checksum.
 MODULUS, HELD_OUT = 5, 0
 BITS, DIM, SIZES = 17, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY = 900, 64, 0.02, 1e-4
 #: Sampled texts that must hold a bucket for it to be trained; the others stay zero.
 LEAST_TEXTS = 4
-#: Words in a window, and epochs on whole texts before the windows.
-WINDOW, WHOLE_EPOCHS = 2, 3
+#: Words in the pieces of clean texts that are learned from as well.
+PIECE_WORDS = 8
+#: Frequency at which a subword counts half.
+RARE = 1e-4
 #: Factor on the averaged vector, since one word among hundreds must be able to decide.
 GAIN = 10.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -44,9 +46,11 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: each bucket's vector times the softmax weights, and the bias."""
+    """What scoring needs: each bucket's vector times the softmax weights, how much it
+    counts in an average, and the bias."""
 
     weight: np.ndarray
+    share: np.ndarray
     bias: float
 
 
@@ -119,27 +123,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Words of the sampled texts, each with its bag of trained buckets."""
+    """Sampled texts as averages: rows of the table and what each adds, text by text."""
 
-    number: np.ndarray
-    first: np.ndarray
-    bucket: np.ndarray
+    row: np.ndarray
+    part: np.ndarray
     begin: np.ndarray
-    #: One over the full size of each word's bag.
-    weight: np.ndarray
+    #: Trained buckets, which the rows number, and how much every bucket counts.
+    buckets: np.ndarray
+    share: np.ndarray
 
-    def entries(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Buckets and their shares in the average of each run of words, and run starts."""
-        size = high - low
-        at, run = spread(low, size)
-        word = self.number[at]
-        bag = self.begin[word + 1] - self.begin[word]
-        place, entry = spread(self.begin[word], bag)
-        share = np.repeat(self.weight[word] / np.repeat(np.maximum(size, 1), size), bag)
-        return self.bucket[place], share.astype(np.float32), entry[run]
-
-    def word_values(self, by_bucket: np.ndarray) -> np.ndarray:
-        return sums(by_bucket[self.bucket], self.begin) * self.weight
+    def batch(self, texts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows and parts of some texts, and where those of each begin."""
+        at, run = spread(self.begin[texts], self.begin[texts + 1] - self.begin[texts])
+        return self.row[at], self.part[at], run
 
 
 def corpus(texts: Sequence[str]) -> Corpus:
@@ -148,68 +144,80 @@ def corpus(texts: Sequence[str]) -> Corpus:
     parts = [subwords(names[i : i + 20_000]) for i in range(0, len(names), 20_000)]
     bucket = np.concatenate([p.bucket.astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
     size = np.concatenate([np.diff(p.begin) for p in parts] or [np.zeros(0, np.int64)])
-    begin = np.concatenate(([0], np.cumsum(size)))
-    whole = Corpus(number.astype(np.int32), words.first, bucket, begin, 1.0 / np.maximum(size, 1))
-    met = np.zeros(1 << BITS, np.int64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    held, times = [], []
     for a, b in zip(words.first[:-1], words.first[1:]):
-        met[np.unique(whole.entries(np.array([a]), np.array([b]))[0])] += 1
-    keep = (met >= LEAST_TEXTS)[bucket]
-    before = np.concatenate(([0], np.cumsum(keep)))
-    return Corpus(whole.number, words.first, bucket[keep], before[begin], whole.weight)
+        own, count = np.unique(number[a:b], return_counts=True)
+        at, _ = spread(first[own], size[own])
+        total = np.bincount(bucket[at], np.repeat(count, size[own]), 1 << BITS)
+        held.append(np.flatnonzero(total).astype(np.int32))
+        times.append(total[held[-1]].astype(np.float32))
+    begin = np.concatenate(([0], np.cumsum([len(h) for h in held])))
+    row = np.concatenate(held or [np.zeros(0, np.int32)])
+    part = np.concatenate(times or [np.zeros(0, np.float32)])
+    known = np.bincount(row, minlength=1 << BITS) >= LEAST_TEXTS
+    seen = np.bincount(row, part, 1 << BITS) * known
+    share = RARE / (RARE + seen / max(seen.sum(), 1.0))
+    part *= share[row]
+    part /= np.repeat(np.maximum(sums(part, begin), 1e-30), np.diff(begin))
+    keep = known[row]
+    rank = np.cumsum(known) - 1
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return Corpus(rank[row[keep]], part[keep].astype(np.float32), kept[begin], np.flatnonzero(known), share)
 
 
 def fit(rows: Sequence[tuple[str, int]]) -> Model:
     """Train table and softmax together by Adam on small batches; the seed is fixed.
 
-    The first epochs read whole texts; the others read the window of each text that is
-    most toxic so far, as scoring does.
+    A few words of each clean text are learned from as a clean text too, so that short
+    texts without telling words are not in doubt.
     """
     label = np.array([toxic for _, toxic in rows], np.int64)
     if not label.any() or label.all():
-        return Model(np.zeros(1 << BITS), 0.0)
-    known = corpus([text for text, _ in rows])
-    usable = np.zeros(1 << BITS, bool)
-    usable[known.bucket] = True
+        return Model(np.zeros(1 << BITS), np.ones(1 << BITS), 0.0)
     rng = np.random.default_rng(7)
-    table = rng.normal(0, 0.02, (1 << BITS, DIM)).astype(np.float32)
-    table[~usable] = 0.0
+    rows = [*rows, *((piece(text, rng), 0) for text, toxic in rows if not toxic)]
+    label = np.array([toxic for _, toxic in rows], np.int64)
+    known = corpus([text for text, _ in rows])
+    n_rows = len(known.buckets)
+    table = rng.normal(0, 0.02, (n_rows, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params = (table, out, bias)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     kind_weight = 0.5 * len(label) / np.bincount(label, minlength=2)
-    begin, owner = windows(known.first)
-    step, n_steps = 0, EPOCHS * -(-len(rows) // BATCH)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        low, high = known.first[:-1], known.first[1:]
-        if epoch >= WHOLE_EPOCHS:
-            value = known.word_values(table @ (out[:, 1] - out[:, 0]))[known.number]
-            picked = worst(sums(value, begin) / np.maximum(np.diff(begin), 1), owner, len(rows))
-            low, high = begin[picked], begin[picked + 1]
-        for first in range(0, len(order), BATCH):
-            chosen = order[first : first + BATCH]
-            bucket, share, runs = known.entries(low[chosen], high[chosen])
-            step += 1
-            hidden = GAIN * sums(table[bucket] * share[:, None], runs)
-            logits = hidden @ out + bias
-            prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            prob[np.arange(len(chosen)), label[chosen]] -= 1.0
-            error = prob * kind_weight[label[chosen], None] / len(chosen)
-            back = np.repeat(GAIN * error @ out.T, np.diff(runs), axis=0) * share[:, None]
-            table_grad = np.stack(
-                [np.bincount(bucket, back[:, k], 1 << BITS) for k in range(DIM)], axis=1
-            )
-            grads = (table_grad + DECAY * table, hidden.T @ error, error.sum(axis=0))
-            rate = RATE * (1 - (step - 1) / n_steps)
-            for param, grad, (mean, square) in zip(params, grads, state):
-                mean += 0.1 * (grad - mean)
-                square += 0.01 * (grad * grad - square)
-                fair = mean / (1 - 0.9**step), square / (1 - 0.99**step)
-                param -= (rate * fair[0] / (np.sqrt(fair[1]) + 1e-6)).astype(np.float32)
-    weight = (GAIN * table @ (out[:, 1] - out[:, 0])).astype(np.float64)
-    return Model(weight, float(bias[1] - bias[0]))
+    order = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if not len(order):
+            order = rng.permutation(len(rows))
+        chosen, order = order[:BATCH], order[BATCH:]
+        row, part, runs = known.batch(chosen)
+        hidden = GAIN * sums(table[row] * part[:, None], runs)
+        logits = hidden @ out + bias
+        prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+        prob /= prob.sum(axis=1, keepdims=True)
+        prob[np.arange(len(chosen)), label[chosen]] -= 1.0
+        error = prob * kind_weight[label[chosen], None] / len(chosen)
+        back = np.repeat(GAIN * error @ out.T, np.diff(runs), axis=0) * part[:, None]
+        table_grad = np.stack([np.bincount(row, back[:, k], n_rows) for k in range(DIM)], axis=1)
+        grads = (table_grad + DECAY * table, hidden.T @ error, error.sum(axis=0))
+        rate = RATE * (1 - (step - 1) / STEPS)
+        for param, grad, (mean, square) in zip(params, grads, state):
+            mean += 0.1 * (grad - mean)
+            square += 0.01 * (grad * grad - square)
+            fair = mean / (1 - 0.9**step), square / (1 - 0.99**step)
+            param -= (rate * fair[0] / (np.sqrt(fair[1]) + 1e-6)).astype(np.float32)
+    weight = np.zeros(1 << BITS)
+    weight[known.buckets] = GAIN * table @ (out[:, 1] - out[:, 0])
+    return Model(weight, known.share, float(bias[1] - bias[0]))
+
+
+def piece(text: str, rng: np.random.Generator) -> str:
+    """Up to ``PIECE_WORDS`` consecutive words of a text, now and then none."""
+    words = text.split()
+    size = int(rng.integers(0, PIECE_WORDS + 1))
+    at = int(rng.integers(0, max(len(words) - size, 0) + 1))
+    return " ".join(words[at : at + size])
 
 
 def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,25 +226,6 @@ def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(first - begin[:-1], size) + np.arange(begin[-1]), begin
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the windows of texts begin, and the text of each.
-
-    A text is cut evenly into windows of ``WINDOW`` words or up to twice as many; a
-    shorter text is one window.
-    """
-    size = np.diff(first)
-    count = np.maximum(size // WINDOW, 1)
-    owner = np.repeat(np.arange(len(size)), count)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    return np.append(first[owner] + number * size[owner] // count[owner], first[-1]), owner
-
-
-def worst(logit: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
-    """For each text the window with the largest value, the first on ties."""
-    order = np.lexsort((-logit, owner))
-    return order[np.searchsorted(owner[order], np.arange(n_texts))]
-
-
 def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows; zero for none."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
@@ -249,10 +238,10 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     words = C.words(texts)
     number, names = words.encode()
     bags = subwords(names)
-    by_word = sums(model.weight[bags.bucket], bags.begin) / np.maximum(np.diff(bags.begin), 1)
-    begin, owner = windows(words.first)
-    logit = sums(by_word[number], begin) / np.maximum(np.diff(begin), 1)
-    logit = logit[worst(logit, owner, len(texts))] + model.bias
+    by_word = sums((model.weight * model.share)[bags.bucket], bags.begin)
+    counted = sums(model.share[bags.bucket], bags.begin)
+    total = sums(counted[number], words.first)
+    logit = sums(by_word[number], words.first) / np.where(total > 0, total, 1.0) + model.bias
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 

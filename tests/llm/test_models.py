@@ -122,7 +122,7 @@ def plain_score(model, text):
     def bucket(value, salt):
         return ((value + salt) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - T.BITS)
 
-    def value_of(word):
+    def bag_of(word):
         marked, found = f"<{word.lower()}>", []
         for n in (3, 4, 5):
             for i in range(len(marked) - n + 1):
@@ -131,12 +131,11 @@ def plain_score(model, text):
                     value = (value * 0x100000001B3 + ord(sign)) % 2**64
                 found.append(bucket(value, n))
         found.append(bucket(xxhash.xxh3_64_intdigest(marked.encode()), 0))
-        return np.mean([model.weight[b] for b in found])
+        return found
 
-    values = [value_of(w) for w in WORD.findall(text or "")]
-    count = max(len(values) // T.WINDOW, 1)
-    cuts = [i * len(values) // count for i in range(count + 1)]
-    logit = max(np.mean(values[a:b]) if b > a else 0.0 for a, b in zip(cuts, cuts[1:])) + model.bias
+    found = [b for w in WORD.findall(text or "") for b in bag_of(w)]
+    counted = sum(model.share[b] for b in found)
+    logit = sum(model.share[b] * model.weight[b] for b in found) / (counted or 1.0) + model.bias
     return 1 / (1 + math.exp(-logit))
 
 
@@ -154,13 +153,23 @@ def test_a_repeated_id_is_learned_from_by_the_same_text(as_docs, spark):
     assert len(found) == 1
 
 
-def test_windows_cover_the_text(monkeypatch):
-    monkeypatch.setattr(T, "WINDOW", 4)
-    first = np.array([0, 0, 3, 20, 24])
-    begin, owner = T.windows(first)
-    assert begin[0] == 0 and begin[-1] == 24 and (np.diff(begin) >= 0).all()
-    assert owner.tolist() == [0, 1, 2, 2, 2, 2, 3]
-    assert np.diff(begin).max() < 2 * T.WINDOW
+def test_shares_and_averages_of_the_sample():
+    texts = [t for t, _ in toxic_rows(6, 30)]
+    found = T.corpus(texts)
+    bags = []
+    for text in texts:
+        names = [w.encode() for w in WORD.findall(text)]
+        bags.append(Counter(T.subwords(names).bucket.tolist()))
+    met = Counter(b for bag in bags for b in bag)
+    known = sorted(b for b in met if met[b] >= T.LEAST_TEXTS)
+    assert found.buckets.tolist() == known
+    seen = {b: sum(bag[b] for bag in bags) for b in known}
+    share = {b: T.RARE / (T.RARE + seen[b] / sum(seen.values())) for b in known}
+    for i, bag in enumerate(bags):
+        row, part, _ = found.batch(np.array([i]))
+        total = sum(n * share.get(b, 1.0) for b, n in bag.items())
+        want = {known.index(b): n * share[b] / total for b, n in bag.items() if b in share}
+        assert dict(zip(row.tolist(), part.tolist())) == pytest.approx(want, rel=1e-4)
 
 
 def test_toxicity_query_shape(as_docs, spark):
