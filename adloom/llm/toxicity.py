@@ -36,7 +36,7 @@ STEPS, BATCH, RATE, DECAY = 900, 64, 0.02, 1e-4
 #: Sampled texts that must hold a bucket for it to be trained; the others stay zero.
 LEAST_TEXTS = 4
 #: Words in the pieces of clean texts that are learned from as well.
-PIECE_WORDS = 8
+PIECE_WORDS = 32
 #: Frequency at which a subword counts half.
 RARE = 1e-4
 #: Factor on the averaged vector, since one word among hundreds must be able to decide.
