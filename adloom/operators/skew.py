@@ -25,6 +25,11 @@ def is_small(df: DataFrame, column: str) -> bool:
     n, size = df.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))
     ).first()
+    return few(n, size)
+
+
+def few(n: int, size: int) -> bool:
+    """Whether so many rows and bytes may go to every executor."""
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 

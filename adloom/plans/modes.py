@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import html as H
@@ -14,6 +14,7 @@ from adloom.operators import backlog as B
 from adloom.operators import classify as C
 from adloom.operators import dedup as D
 from adloom.operators import extract, report, upsert
+from adloom.operators.counted import told_few, total_bytes, write_counted
 from adloom.operators.links import absolute_links
 from adloom.operators.skew import broadcast_if, is_small, matching
 from adloom.plans.state import Run, StateStore, newest
@@ -36,6 +37,17 @@ class Collected:
     advice: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Browsed:
+    """What a browse run did: urls that are new, and counts."""
+
+    new: DataFrame
+    n_new: int
+    n_distinct: int
+    #: Links met, repeats included.
+    n_input: int
+
+
 def links(
     pages: DataFrame, selectors: Sequence[H.Selector] = H.LISTING_LINKS
 ) -> DataFrame:
@@ -51,13 +63,31 @@ def browse(
     selectors: Sequence[H.Selector] = H.LISTING_LINKS,
 ) -> DataFrame:
     """Links of listing pages into the queue; returns the urls that are new."""
+    return browse_counted(store, pages, run, selectors).new
+
+
+def browse_counted(
+    store: StateStore,
+    pages: DataFrame,
+    run: Run,
+    selectors: Sequence[H.Selector] = H.LISTING_LINKS,
+) -> Browsed:
+    """As :func:`browse`; how many urls are new and were given is counted by its writes."""
     store.claim(run)
-    hits = links(pages, selectors).select(F.col("link").alias("url"))
-    # Written before it is measured and used, so that pages are parsed once.
-    found = store.write("found", hits.distinct(), run.id)
+    hits = links(pages, selectors).groupBy(F.col("link").alias("url"))
+    # Written before it is used, so that pages are parsed once. The number of times a url
+    # was met goes through the shuffle with it and is summed up where it is written.
+    found, told = store.write_told(
+        "found",
+        hits.agg(F.count(F.lit(1)).alias("given")),
+        run.id,
+        given=F.coalesce(F.sum("given"), F.lit(0)),
+        bytes=total_bytes("url"),
+    )
     known = store.log("url", before=run.id)
-    new = upsert.store_urls(known, found, B.timestamp(run.as_of), is_small(found, "url"))
-    return store.write("url", new, run.id)
+    new = upsert.store_urls(known, found, B.timestamp(run.as_of), told_few(told))
+    new, added = store.write_told("url", new, run.id)
+    return Browsed(new, added["rows"], told["rows"], told["given"])
 
 
 def collect(
@@ -158,19 +188,20 @@ def _store_pages(
     parsed = extract.outcomes(chosen.select("url", "html"), axes)
     # Written once: content, duplicates, and failures are all read from here.
     parsed = D.with_signature(parsed.withColumn("ts", B.timestamp(run.as_of)))
-    parsed = _kept_apart(store, parsed, "parsed")
-    read = parsed.filter(F.col("error").isNull()).drop("error")
+    whole = F.col("error").isNull()
+    parsed, told = _kept_apart(store, parsed, "parsed", bytes=total_bytes("sig", whole))
+    read = parsed.filter(whole).drop("error")
     # Probed by narrow rows, so that a signature that many texts share moves no text.
     signed = read.select("url", "sig", "ts")
     if limit is None:
         # Only signatures of this run are looked for; the others stay where they are.
         history = store.log("dupe", before=run.id)
-        known = newest("dupe", matching(history, signed, "sig", is_small(signed, "sig")))
+        known = newest("dupe", matching(history, signed, "sig", told_few(told)))
     else:
         known = store.snapshot(run.id, limit)
     # The history is looked through once; what is stored and what is not follow from this.
     repeated = signed.drop("ts").join(known.select("sig", "recent_url"), "sig")
-    repeated = _kept_apart(store, repeated, "repeated")
+    repeated, _ = _kept_apart(store, repeated, "repeated")
     admitted = signed.join(repeated.select("url"), "url", "left_anti")
     if within_batch:
         admitted = D.first_per_signature(admitted, ["ts", "url"])
@@ -186,11 +217,13 @@ def _store_pages(
     return Collected(content, repeated, refused.unionByName(failed), read)
 
 
-def _kept_apart(store: StateStore, rows: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read back."""
+def _kept_apart(
+    store: StateStore, rows: DataFrame, label: str, **told: Column
+) -> tuple[DataFrame, dict]:
+    """The rows, written to the shared folder and read back, and what was counted."""
     target = shared_dir(store.spark, label)
-    rows.write.parquet(target)
-    return store.spark.read.schema(rows.schema).parquet(target)
+    told = write_counted(rows, target, **told)
+    return store.spark.read.schema(rows.schema).parquet(target), told
 
 
 def fetch(pages: DataFrame, axes: Sequence[H.Selector] = H.AD_AXES) -> DataFrame:

@@ -441,6 +441,17 @@ ORACLES: dict[str, str] = {
             WHERE {ABSOLUTE} AND {STATUS} = 200)
         SELECT DISTINCT link AS url, '{T.AS_OF}' AS ts FROM usable
         WHERE link NOT IN (SELECT link FROM usable WHERE starts_with(url, 'http://'))""",
+    "q_browse_counts": f"""
+        WITH {LINKS}, usable AS (
+            SELECT link, starts_with(url, 'http://') AS early
+            FROM (SELECT *, page_url AS url FROM links) WHERE {ABSOLUTE} AND {STATUS} = 200),
+        urls AS (SELECT link, bool_or(early) AS early FROM usable GROUP BY 1)
+        SELECT 1 AS run, (SELECT count(*) FROM urls WHERE early) AS n_new,
+               (SELECT count(*) FROM urls WHERE early) AS n_distinct,
+               (SELECT count(*) FROM usable WHERE early) AS n_input
+        UNION ALL
+        SELECT 2, (SELECT count(*) FROM urls WHERE NOT early), (SELECT count(*) FROM urls),
+               (SELECT count(*) FROM usable)""",
     "q_mode_fetch": f"""
         SELECT url, {PAGE_TEXT} AS content FROM pages WHERE {ABSOLUTE} AND {STATUS} = 200""",
     "q_mode_collect": f"WITH {COLLECTED} SELECT url, content, {SHOWN} FROM collected",

@@ -492,6 +492,18 @@ def q_mode_browse(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(modes.browse(store, pages, SECOND, (T.NAV_LINKS,)))
 
 
+@query
+def q_browse_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of two browse runs as their writes tell them."""
+    pages, store = T.fetched(spark, sf), _store(spark, "counts")
+    half = pages.filter(F.col("url").startswith("http://"))
+    rows = []
+    for run, part in ((FIRST, half), (SECOND, pages)):
+        done = modes.browse_counted(store, part, run, (T.NAV_LINKS,))
+        rows.append((run.id, done.n_new, done.n_distinct, done.n_input))
+    return spark.createDataFrame(rows, "run long, n_new long, n_distinct long, n_input long")
+
+
 @query
 def q_mode_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return modes.fetch(T.fetched(spark, sf), T.PAGE_AXES)

@@ -26,12 +26,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom import schemas
 from adloom.operators.backlog import timestamp
+from adloom.operators.counted import write_counted
 from adloom.operators.dedup import keep_one, recent_signatures
 from adloom.operators.skew import without_known
 from adloom.plans.files import Files
@@ -251,6 +252,12 @@ class StateStore:
 
     def write(self, table: str, rows: DataFrame, run: int) -> DataFrame:
         """Replace the run's partition, and return it as read back from its own folder."""
+        return self.write_told(table, rows, run)[0]
+
+    def write_told(
+        self, table: str, rows: DataFrame, run: int, **told: Column
+    ) -> tuple[DataFrame, dict]:
+        """The same, and what :func:`write_counted` tells of the rows."""
         names = rows.columns if table == KEPT else TABLES[table].names
         target = f"{self.path(table)}/run={run}"
         folder = f"{self.path('bounds')}/{table}"
@@ -258,10 +265,9 @@ class StateStore:
         for name in self.files.names(folder):
             if name.split("_")[0] == str(run):
                 self.files.delete(f"{folder}/{name}")
-        rows = rows.select(*names)
-        bounds = written(rows, target)
+        bounds, told = written(rows, target, names, **told)
         self.files.mark(f"{folder}/{bounds.name(run)}")
-        return self.spark.read.schema(rows.schema).parquet(target)
+        return self.spark.read.schema(rows.select(*names).schema).parquet(target), told
 
     def claim(self, run: Run) -> Run:
         """Note down who a run belongs to before anything is written.
@@ -433,7 +439,7 @@ class StateStore:
             elif table == "visited":
                 rows = rows.groupBy("url").agg(F.min("run").alias("run"))
             name = f"segment-{uuid.uuid4().hex}"
-            bounds = written(rows, f"{target.path(table)}/{name}")
+            bounds, _ = written(rows, f"{target.path(table)}/{name}")
             if bounds.rows:
                 folders[table] = [name, bounds.rows, bounds.first, bounds.last]
             else:
@@ -472,12 +478,12 @@ def newest(table: str, rows: DataFrame) -> DataFrame:
     return keep_one(rows, SUPERSEDING[table], ["run"], last=True)
 
 
-def written(rows: DataFrame, target: str) -> Bounds:
-    """Write a folder anew; rows and times are observed on the way."""
-    seen = Observation()
-    told = [F.count(F.lit(1)).alias("rows")]
+def written(
+    rows: DataFrame, target: str, names: Sequence[str] | None = None, **told: Column
+) -> tuple[Bounds, dict]:
+    """Write a folder anew; rows, times and what is asked for are counted on the way."""
     if dict(rows.dtypes).get("ts") == "timestamp_ntz":
         in_micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-        told += [F.min(in_micros).alias("first"), F.max(in_micros).alias("last")]
-    rows.observe(seen, *told).write.mode("overwrite").parquet(target)
-    return Bounds(**seen.get)
+        told |= {"first": F.min(in_micros), "last": F.max(in_micros)}
+    seen = write_counted(rows, target, names, overwrite=True, **told)
+    return Bounds(seen["rows"], seen.get("first"), seen.get("last")), seen

@@ -403,3 +403,14 @@ def test_a_stream_knows_what_others_have_seen(spark, store, folded):
     go_on(*two, [("g", "three", START), ("h", "four", START), ("i", "one", START)])
     go_on(*one, [("j", "four", START), ("k", "five", START)])
     assert column(S.kept_rows(store)) == ["a", "c", "e", "h", "k"]
+
+
+def test_browse_counts_come_with_its_writes(spark, store):
+    first = modes.browse_counted(store, listing(spark, ["/a", "/a", "/b"]), run_at(1))
+    assert (first.n_new, first.n_distinct, first.n_input) == (2, 2, 3)
+    again = modes.browse_counted(store, listing(spark, ["/b", "/c", "/c"]), run_at(2))
+    assert (again.n_new, again.n_distinct, again.n_input) == (1, 2, 3)
+    repeated = modes.browse_counted(store, listing(spark, ["/b", "/c", "/c"]), run_at(2))
+    assert (repeated.n_new, repeated.n_distinct, repeated.n_input) == (1, 2, 3)
+    none = modes.browse_counted(store, listing(spark, ["/d"], 404), run_at(3))
+    assert (none.n_new, none.n_distinct, none.n_input) == (0, 0, 0)
