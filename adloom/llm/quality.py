@@ -2,9 +2,10 @@
 
 Every document is cut into overlapping byte 4-grams of its words joined by single
 spaces, and each 4-gram is hashed into a fixed number of buckets. Two multinomials over
-the buckets are counted: one over trusted documents (a bounded sample of those labelled
-good), one over all documents. A document's score is the mean over its 4-grams of
-log(trusted / raw); it is kept if the score reaches a threshold and no base rule fails.
+the buckets are counted: one over trusted documents (all that are labelled good), one over
+all documents. A document's score is the mean over its 4-grams of log(trusted / raw); it is
+kept if the score reaches a threshold, fitted on all labelled documents, and no base rule
+fails.
 
 Defined results: a null or empty text has no words, score 0 and fails the base rules. A
 null id is never a labelled one. Repeated rows are judged each for itself. With no
@@ -19,14 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.llm import common as C
+from adloom.operators.skew import matching
 
 BITS = 16
-#: Labelled documents of each kind that the trusted model and the threshold are fitted on.
-SAMPLE = 10_000
 #: Pseudo-count that every bucket starts with.
 SMOOTH = 0.5
 #: Base rules: fewest words, and largest percentage of words in repeated 3-word windows.
@@ -63,94 +63,112 @@ def buckets(words: C.Words) -> tuple[np.ndarray, np.ndarray]:
     return hashed[inside].astype(np.int64), before[np.minimum(begin, len(hashed))]
 
 
-def sample(labels: DataFrame, good: int, bound: int = SAMPLE) -> list[int]:
-    """Ids of at most ``bound`` documents with this label, spread by a hash."""
-    rows = (
-        labels.filter((F.col("quality") == good) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
-    )
-    return [row.doc_id for row in rows.collect()]
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Id and text of all labelled documents, with ``good`` 1 or 0, once for each label.
+
+    Texts without a label are told by a bitmap of the ids' hashes and not shuffled.
+    """
+    kind = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    kind = kind.select("doc_id", F.col("quality").cast("int").alias("good")).distinct()
+    rows = matching(docs.select("doc_id", C.text_or_empty()), kind, "doc_id")
+    # Merged at any size, so that the labels need not fit into an executor.
+    return C.staged(rows.join(kind.hint("merge"), "doc_id"), "labelled")
 
 
-def ratios(docs: DataFrame, trusted: list[int]) -> np.ndarray:
-    """log(trusted / raw) by bucket; raw counts cover all documents.
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket is met in all documents.
 
     Each task adds up its own documents and sends one row per bucket it has met.
     """
-    chosen = np.array(sorted(trusted), np.int64)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for part in C.slices(batch):
-                found, begin = buckets(C.words(part.column("text")))
-                total[0] += np.bincount(found, minlength=1 << BITS)
-                good = np.isin(ids(part), chosen)
-                mask = np.repeat(good, np.diff(begin))
-                total[1] += np.bincount(found[mask], minlength=1 << BITS)
-        met = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(met), pa.array(total[0][met]), pa.array(total[1][met])],
-            names=["bucket", "raw", "good"],
-        )
+                found, _ = buckets(C.words(part.column("text")))
+                total += np.bincount(found, minlength=1 << BITS)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
 
     counted = (
-        docs.select("doc_id", C.text_or_empty())
-        .mapInArrow(count, "bucket long, raw long, good long")
+        docs.select(C.text_or_empty())
+        .mapInArrow(count, "bucket long, n long")
         .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+        .agg(F.sum("n").alias("n"))
     )
-    both = np.full((2, 1 << BITS), SMOOTH)
+    result = np.zeros(1 << BITS)
     for row in counted.collect():  # one row per bucket at most
-        both[:, row.bucket] += row.raw, row.good
+        result[row.bucket] = row.n
+    return result
+
+
+def ratios(docs: DataFrame, trusted: DataFrame | None) -> np.ndarray:
+    """log(trusted / raw) by bucket; raw counts cover all documents."""
+    both = np.full((2, 1 << BITS), SMOOTH)
+    both[0] += gram_counts(docs)
+    if trusted:
+        both[1] += gram_counts(trusted)
     raw, good = np.log(both / both.sum(axis=1, keepdims=True))
     return (good - raw).astype(np.float32)
 
 
-def ids(part: pa.RecordBatch) -> np.ndarray:
-    """Document ids, with the smallest number in place of null."""
-    return part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(False)
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit the ratio, and the threshold that best tells the labelled documents apart."""
+    known = labelled(docs, labels)
+    ratio = ratios(docs, known.filter("good = 1"))
+    judged = with_statistics(known, ratio, "good int")
+    scored = judged.filter(~base_failed()).groupBy("doc_id", "good").agg(F.min("score").alias("score"))
+    return Model(ratio, best_threshold(scored))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Fit the ratio, and the threshold that best tells the labelled sample apart."""
-    spark = docs.sparkSession
-    good, bad = sample(labels, 1, bound), sample(labels, 0, bound)
-    ratio = ratios(docs, good)
-    if not good or not bad:
-        return Model(ratio, -np.inf)
-    kind = spark.createDataFrame(
-        [(i, 1) for i in good] + [(i, 0) for i in bad], "doc_id long, good int"
+def best_threshold(scored: DataFrame) -> float:
+    """The cut of ``score`` with the best balanced accuracy for ``good``; the middle of the
+    gap, the lowest on ties.
+
+    Scores are sorted by ranges. What lies before a range is added up on the driver, which
+    gets one row for each, and within a range by a window.
+    """
+    counts = scored.groupBy("score").agg(
+        F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")
     )
-    # At most 2 * bound ids: a few hundred kilobytes.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(kind), "doc_id")
-    judged = statistics(labelled, ratio).join(F.broadcast(kind), "doc_id")
-    rows = judged.filter(~base_failed()).groupBy("doc_id", "good").agg(F.min("score").alias("score"))
-    found = [(row.score, row.good) for row in rows.collect()]
-    return Model(ratio, best_threshold(found))
-
-
-def best_threshold(scored: list[tuple[float, int]]) -> float:
-    """The cut with the best balanced accuracy; the middle of the gap, the lowest on ties."""
-    scored = sorted(scored)
-    n_good = sum(good for _, good in scored)
-    n_bad = len(scored) - n_good
+    ranges = counts.repartitionByRange("score").withColumn("part", F.spark_partition_id())
+    ranges = C.staged(ranges, "scores")
+    summed = ranges.groupBy("part").agg(
+        F.min("score").alias("first"), F.sum("good").alias("good"), F.sum("bad").alias("bad")
+    )
+    parts = sorted(summed.collect(), key=lambda row: row.first)
+    n_good, n_bad = sum(row.good for row in parts), sum(row.bad for row in parts)
     if not n_good or not n_bad:
         return -np.inf
-    best, cut, lost_good, lost_bad = 0.0, -np.inf, 0, 0
-    for place, (score, good) in enumerate(scored[:-1]):
-        lost_good, lost_bad = lost_good + good, lost_bad + (1 - good)
-        gain = lost_bad / n_bad - lost_good / n_good
-        if gain > best and scored[place + 1][0] > score:
-            best, cut = gain, (score + scored[place + 1][0]) / 2
-    return float(cut)
+    before, lost_good, lost_bad = [], 0, 0
+    for row, after in zip(parts, [*parts[1:], None]):
+        before.append((row.part, lost_good, lost_bad, after.first if after else None))
+        lost_good, lost_bad = lost_good + row.good, lost_bad + row.bad
+    names = "part int, good_before long, bad_before long, first_after double"
+    known = F.broadcast(scored.sparkSession.createDataFrame(before, names))
+    order = Window.partitionBy("part").orderBy("score")
+    gain = (F.sum("bad").over(order) + F.col("bad_before")) / F.lit(n_bad) - (
+        F.sum("good").over(order) + F.col("good_before")
+    ) / F.lit(n_good)
+    cuts = ranges.join(known, "part").select(
+        "score", gain.alias("gain"), F.coalesce(F.lead("score").over(order), "first_after").alias("next")
+    )
+    best = cuts.filter("next IS NOT NULL AND gain > 0").agg(
+        F.min_by(F.struct("score", "next"), F.struct(-F.col("gain"), "score")).alias("cut")
+    )
+    cut = best.first().cut
+    return (cut.score + cut.next) / 2 if cut else -np.inf
 
 
 def statistics(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """Base counts and the score of every document."""
+    return with_statistics(docs.select("doc_id", C.text_or_empty()), ratio)
+
+
+def with_statistics(docs: DataFrame, ratio: np.ndarray, *more: str) -> DataFrame:
+    """The same behind further columns of ``docs``, given with their types."""
+    fields = [*more, *STATS.split(", ")]
+    names = [field.split()[0] for field in fields]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text")
@@ -160,6 +178,7 @@ def statistics(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         raw, places = C.padded(texts)
         visible = ~C.is_space(raw) & ((raw & 0xC0) != 0x80)
         columns = [
+            *(part.column(name) for name in names[: len(more)]),
             part.column("doc_id"),
             pa.array(words.counts),
             pa.array(C.per_text(visible, places)),
@@ -168,10 +187,9 @@ def statistics(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             pa.array(repeated_words(words)),
             pa.array(sums / np.maximum(np.diff(begin), 1)),
         ]
-        names = [field.split()[0] for field in STATS.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return C.map_slices(docs.select("doc_id", C.text_or_empty()), work, STATS)
+    return C.map_slices(docs, work, ", ".join(fields))
 
 
 def duplicate_lines(text: str) -> int:

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from adloom.llm import language as L
 from adloom.llm import quality as Q
@@ -245,3 +246,35 @@ def test_repeated_words_of_a_text_with_very_many_distinct_words():
     text += f" 5 1 {last} 9 5 1 0"
     found = Q.C.words(pa.array([text, "a b c a b c", text + " 7 8 9 5"]))
     assert Q.repeated_words(found).tolist() == [0, 6, 6]
+
+
+def test_every_labelled_document_counts(as_docs, spark):
+    """More labelled documents of a kind than any fixed number that a sample would have."""
+    n = 10_400
+    prose = lambda word, i: " ".join(f"{word}{i * 60 + j:x}" for j in range(60))
+    given = [prose("good", i) for i in range(n)] + [prose("junk", i) for i in range(60)]
+    docs = as_docs(given).repartition(8)
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(len(given))], "doc_id long, quality int")
+    counts = [np.bincount(Q.buckets(Q.C.words(pa.array(some)))[0], minlength=1 << Q.BITS) + Q.SMOOTH
+              for some in (given, given[:n])]
+    raw, good = (np.log(c / c.sum()) for c in counts)
+    model = Q.fit(docs, labels)
+    assert np.allclose(model.ratio, good - raw, atol=1e-5)
+    scores = {r.doc_id: r.score for r in Q.statistics(docs, model.ratio).collect()}
+    between = max(scores[i] for i in range(n, n + 60)), min(scores[i] for i in range(n))
+    assert model.threshold == sum(between) / 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_equals_that_of_all_sorted_scores(spark, seed):
+    rng = random.Random(seed)
+    rows = [(round(rng.gauss(kind, 1), 1 if seed else 6), kind) for kind in (0, 1) for _ in range(150)]
+    best = 0.0, -math.inf
+    values = sorted({score for score, _ in rows})
+    for low, high in zip(values, values[1:]):
+        gain = sum(s <= low and not k for s, k in rows) / 150 - sum(s <= low and k for s, k in rows) / 150
+        best = max(best, (gain, (low + high) / 2), key=lambda x: x[0])
+    frame = spark.createDataFrame(rows, "score double, good int").repartition(3)
+    assert Q.best_threshold(frame) == best[1]
+    assert Q.best_threshold(frame.filter("good = 1")) == -math.inf
+    assert Q.best_threshold(frame.withColumn("score", F.lit(1.0))) == -math.inf
