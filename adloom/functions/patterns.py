@@ -13,7 +13,7 @@ import functools
 import itertools
 import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -216,6 +216,8 @@ class Pattern:
     factors: tuple[str, ...]
     #: Where the longest match can't be written out: the pattern that resolves it.
     open_ended: str | None = None
+    #: The same as ``factors``, but the longest ones, however many they are.
+    needles: tuple[str, ...] = ()
 
     @staticmethod
     def compile(source: str) -> Pattern:
@@ -229,7 +231,8 @@ class Pattern:
             if exact:
                 widest = sorted(dict.fromkeys(shape.forms), key=lambda form: -form[0])
                 java = "|".join(form for _, form in widest)
-        return Pattern(source, FLAGS + java, _factors(shape), None if exact else shape.java)
+        open_ended = None if exact else shape.java
+        return Pattern(source, FLAGS + java, _factors(shape, GOOD_FACTOR), open_ended, _factors(shape))
 
     def found(self, text: Column, folded: Column | None = None) -> Column:
         """The first match in its original case, or null.
@@ -280,15 +283,18 @@ def _exact(java: str):
     return regex.compile(java, regex.POSIX | regex.IGNORECASE | regex.MULTILINE)
 
 
-def grams(folded: Column) -> Column:
-    """The distinct runs of ``GRAM`` characters of a text, overlapping ones included."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def grams(folded: Column, wanted: Sequence[str]) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text, overlapping ones included, that
+    have at each place a character that some wanted run has there."""
+    runs = "".join("[" + "".join(map(quote, sorted(set(chars)))) + "]" for chars in zip(*wanted))
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({runs}))"), F.lit(1)))
 
 
-def _factors(shape: Shape) -> tuple[str, ...]:
-    """Texts one of which is in every match; nothing if there are none of use."""
+def _factors(shape: Shape, enough: int | None = None) -> tuple[str, ...]:
+    """Texts one of which is in every match; nothing if there are none of use. One text of
+    the length that is enough is taken alone."""
     common = max(_foldable(shape.plain), key=len, default="")
-    if len(common) < GOOD_FACTOR:
+    if enough is None or len(common) < enough:
         longest = [max(_foldable(text), key=len, default="") for text in shape.texts]
         if len(longest) <= MAX_TEXTS and min(map(len, longest)) > max(len(common), 1):
             return tuple(

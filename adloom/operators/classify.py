@@ -84,12 +84,12 @@ def indexed_matches(
         for polarity in ("like", "dislike")
         for pos, pattern in enumerate(rules.compiled(polarity))
     ]
-    told = [(len(p.factors) > 0 and min(map(len, p.factors)) >= P.GRAM, *rule, p) for *rule, p in listed]
+    told = [(len(p.needles) > 0 and min(map(len, p.needles)) >= P.GRAM, *rule, p) for *rule, p in listed]
     rows = [
-        (gram, n, polarity, pos, p.java, [f for f in p.factors if f[: P.GRAM] == gram], p.open_ended)
+        (gram, n, polarity, pos, p.java, [f for f in p.needles if f[: P.GRAM] == gram], p.open_ended)
         for indexed, n, polarity, pos, p in told
         if indexed
-        for gram in sorted({f[: P.GRAM] for f in p.factors})
+        for gram in sorted({f[: P.GRAM] for f in p.needles})
     ]
     narrow = df.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     folded = narrow.withColumn("_folded", P.fold(F.col("_text")))
@@ -97,7 +97,9 @@ def indexed_matches(
     if rows:
         # As long as the rules, which the driver holds.
         index = F.broadcast(spark.createDataFrame(rows, INDEX))
-        grams = folded.withColumn("_gram", F.explode(P.grams(F.col("_folded"))))
+        # Most sequences of no rule go before the text is repeated for each of the others.
+        wanted = sorted({row[0] for row in rows})
+        grams = folded.withColumn("_gram", F.explode(P.grams(F.col("_folded"), wanted)))
         # The substring test comes first, since patterns are costly to compile for each row.
         whole = F.exists("_factors", lambda factor: F.col("_folded").contains(factor))
         hit = F.when(whole, F.rlike("_text", F.col("_java"))).otherwise(False)

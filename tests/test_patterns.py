@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from adloom.functions import patterns as P
 from adloom.functions.patterns import Pattern, fold
 from adloom.operators.classify import classify, classify_many, liked_rows, matches, negatives, verdict_counts
 from adloom.sources.rules import RuleSet, load_rules, rules_table
@@ -240,3 +241,20 @@ def test_many_rules_equal_one_by_one(spark):
     assert classify_many(df.limit(0), sets, "i", "t").count() == 0
     plan = classify_many(df, sets, "i", "t")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_text_is_repeated_only_for_the_letters_of_rules(spark):
+    """Sequences with letters that no rule has at their places are left out at once."""
+    wanted = ["bade", "ba]-", "^\\ &", "é\nab"]
+    texts = ["xbadebade" + "lorem ipsum " * 50, "ba]-^\\ &é\nab\U0001f600bade", "bad e", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(P.grams(F.col("t"), wanted)).collect()
+    assert [sorted(r[0]) if r[0] is not None else None for r in rows] == [
+        ["bade"], sorted(wanted), [], [], None
+    ]
+
+
+def test_rules_are_looked_up_by_all_that_their_matches_must_hold():
+    rule = Pattern.compile("bade(ka|tu)")
+    assert rule.factors == ("bade",) and rule.needles == ("badeka", "badetu")
+    assert Pattern.compile("bade(ka|tu)*").needles == ("bade",)
+    assert Pattern.compile("b(a|e)").needles == Pattern.compile("b(a|e)").factors == ("ba", "be")
