@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+import adloom
 from adloom.llm import substrings as W
 from adloom.llm import suffixes as B
 from adloom.llm import superkmers as S
@@ -194,3 +195,16 @@ def test_map_of_slots_keeps_slot_0_in_any_order():
     for order in (rows, rows[::-1]):
         kept = S.chosen(S.SuperKmers(minimiser, none, none, none, none), S.joined_map(order))
         assert kept.minimiser.tolist() == slots
+
+
+def test_what_tasks_get_does_not_hold_the_modules(spark, monkeypatch):
+    """Functions go to the executors by value where the package is registered so."""
+    monkeypatch.setattr(S.C, "staged", lambda rows, label: spark.createDataFrame(rows.collect()))
+    known = [m for m in (adloom, S) if m.__name__ not in cloudpickle.list_registry_pickle_by_value()]
+    for module in known:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        cloudpickle.dumps((S.Slices(B.SCHEME, B.METHOD, 1), B.METHOD.solve))
+    finally:
+        for module in known:
+            cloudpickle.unregister_pickle_by_value(module)
