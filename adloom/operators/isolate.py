@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 import adloom
 
+#: Rows whose values are held as Python objects at a time.
+ROWS = 200
 # Executors get the functions themselves and need no copy of this package.
 cloudpickle.register_pickle_by_value(adloom)
 
@@ -42,7 +44,11 @@ def isolated(function: Callable[[Any], Any], value_type: str) -> Callable[..., C
 
     @F.arrow_udf(result)
     def run(items: pa.Array) -> pa.Array:
-        return pa.array((attempt(item.as_py()) for item in items), type=arrow_result)
+        # A batch may have many rows; only some of them are Python objects at a time.
+        parts = (items.slice(first, ROWS) for first in range(0, max(len(items), 1), ROWS))
+        return pa.concat_arrays(
+            [pa.array([attempt(item.as_py()) for item in part], type=arrow_result) for part in parts]
+        )
 
     # Keeps the optimizer from evaluating it twice when a filter uses the result.
     return run.asNondeterministic()

@@ -1,5 +1,6 @@
 import time
 
+import pyarrow as pa
 import pytest
 from adloom.functions.html import (
     AD_AXES,
@@ -187,3 +188,23 @@ def test_pages_are_parsed_once(spark):
     for df in (extract.page_text(pages), links.absolute_links(pages)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_few_rows_of_a_batch_are_python_objects_at_a_time(spark):
+    alive, most = 0, 0
+
+    class Text(str):
+        def __init__(self, _):
+            nonlocal alive, most
+            alive += 1
+            most = max(most, alive)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    run = isolate.isolated(lambda page: Text(f"{page}!"), "string").func
+    found = run(pa.array([f"p{i}" for i in range(5000)]))
+    assert found.to_pylist() == [{"value": f"p{i}!", "error": None} for i in range(5000)]
+    assert most < 500
+    assert run(pa.array([], pa.string())).to_pylist() == []
